@@ -46,10 +46,14 @@ def environments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telemetry_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unvalidated telemetry with the columns of its input order."""
+    return telemetry_of(table(spark, sf_dir, "lineitem"))
+
+
+def telemetry_of(lineitem: DataFrame) -> DataFrame:
     o, s = F.col("l_orderkey"), F.col("l_suppkey")
     null = F.lit(None).cast("double")
     volume = F.when(s % 4 == 0, 2.0).when(s % 4 == 1, 5.0).when(s % 4 == 2, 10.0).otherwise(12.0)
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         F.col("l_shipdate").alias("timestamp"),
         F.when(o % 67 == 1, "env-unknown").otherwise(environment_id(s)).alias("environment_id"),
         F.when(o % 89 == 1, null)
