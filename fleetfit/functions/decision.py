@@ -18,46 +18,45 @@ INCOMPLETE = "INSUFFICIENT_TELEMETRY"
 NO_PRICE = "MISSING_PRICE"
 
 
-def _gates() -> list[tuple[str, Column, Column]]:
-    """(code, fires, text) in reporting order. A null comparison does not fire."""
+def _gates() -> list[tuple[str, Column]]:
+    """(code, fires) in reporting order. A null comparison does not fire."""
     c = F.col
+    return [
+        (NO_COST_BENEFIT, c("absolute_monthly_saving") <= 0),
+        (LATENCY_SLO, ~c("latency_satisfied")),
+        (AVAILABILITY_SLO, ~c("availability_satisfied")),
+        (CPU_LIMIT, c("peak_cpu") > c("max_cpu")),
+        (MEMORY_LIMIT, c("peak_mem") > c("max_mem")),
+    ]
+
+
+def _over_limit(metric: str, peak: str, bound: str) -> Column:
+    limit = F.col(bound)
+    # Whole limits print without a decimal point.
+    shown = F.when(limit == F.floor(limit), F.floor(limit).cast("string")).otherwise(limit.cast("string"))
+    return F.concat(
+        F.format_string(f"Projected peak {metric} = %.1f%% exceeds safe limit (", F.col(peak)), shown, F.lit("%)")
+    )
 
-    def limit(metric: str, peak: str, bound: str) -> Column:
-        # Whole limits print without a decimal point.
-        shown = F.when(c(bound) == F.floor(bound), F.floor(bound).cast("string")).otherwise(
-            c(bound).cast("string")
-        )
-        return F.concat(
-            F.format_string(f"Projected peak {metric} = %.1f%% exceeds safe limit (", c(peak)), shown, F.lit("%)")
-        )
 
+def _gate_texts() -> list[Column]:
+    """The texts of the gates, in the same order."""
+    latency, availability = F.col("projected_p95_latency"), F.col("projected_availability")
     return [
-        (
-            NO_COST_BENEFIT,
-            c("absolute_monthly_saving") <= 0,
-            F.lit("Candidate does not provide cost benefit."),
-        ),
-        (
-            LATENCY_SLO,
-            ~c("latency_satisfied"),
-            F.format_string("Projected P95 latency = %.2f ms (Target violated)", c("projected_p95_latency")),
-        ),
-        (
-            AVAILABILITY_SLO,
-            ~c("availability_satisfied"),
-            F.format_string("Projected availability = %.2f%% (Target violated)", c("projected_availability")),
-        ),
-        (CPU_LIMIT, c("peak_cpu") > c("max_cpu"), limit("CPU", "peak_cpu", "max_cpu")),
-        (MEMORY_LIMIT, c("peak_mem") > c("max_mem"), limit("memory", "peak_mem", "max_mem")),
+        F.lit("Candidate does not provide cost benefit."),
+        F.format_string("Projected P95 latency = %.2f ms (Target violated)", latency),
+        F.format_string("Projected availability = %.2f%% (Target violated)", availability),
+        _over_limit("CPU", "peak_cpu", "max_cpu"),
+        _over_limit("memory", "peak_mem", "max_mem"),
     ]
 
 
 def _compact(items: list[Column]) -> Column:
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    return F.array_compact(F.array(*items))
 
 
 def blocking_codes(require_price: bool = False, require_complete: bool = False) -> Column:
-    items = [F.when(fires, F.lit(code)) for code, fires, _ in _gates()]
+    items = [F.when(fires, F.lit(code)) for code, fires in _gates()]
     if require_price:
         items.append(F.when(F.col("absolute_monthly_saving").isNull(), F.lit(NO_PRICE)))
     if require_complete:
@@ -84,7 +83,7 @@ def reason_codes(rows: Column, quality: Column, codes: Column) -> Column:
 
 
 def reason_texts(decision: Column, rows: Column, require_price: bool = False, require_complete: bool = False) -> Column:
-    items = [F.when(fires, text) for _, fires, text in _gates()]
+    items = [F.when(fires, text) for (_, fires), text in zip(_gates(), _gate_texts())]
     if require_price:
         items.append(
             F.when(F.col("absolute_monthly_saving").isNull(), F.lit("No price is known for one of the types."))

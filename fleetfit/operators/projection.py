@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetfit import schemas as S
 from fleetfit.catalog import InstanceCatalog
@@ -76,22 +76,58 @@ def spike_key() -> Column:
 def with_profile_columns(
     telemetry: DataFrame, profiles: set[str], large: LargeGroups = NO_LARGE_GROUPS
 ) -> DataFrame:
-    """Adds what the profiles need to know about a row's environment, and nothing for the others.
+    """Adds what the profiles need to know about a row's environment, as far as it is needed.
 
-    ``is_peak``: at or above the environment's P90 of requests. ``is_spike``: among the 5 percent
-    (at least one) first rows in a hashed order. ``position``: 0-based row number in time.
+    ``is_peak``: at or above the environment's P90 of requests. ``is_spike``: among the first 5
+    percent (at least one) of its rows in a hashed order. ``position``: 0-based row number in time.
+
+    Environments of a known bound are handled by windows over one exchange by environment, which
+    the following aggregation reuses; large ones by counts per hour and per hash prefix. Expects
+    unique (timestamp, environment) keys, as validation leaves them.
     """
+    if not profiles & {"peak", "bursty", "seasonal"}:
+        return telemetry
+    usual, big = large.apart(telemetry)
+    parts = []
+    if usual is not None:
+        parts.append(_by_windows(usual, profiles))
+    if big is not None:
+        parts.append(_by_counts(big, profiles, large))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _spike_quota(rows: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(rows * F.lit(P.BURST_SHARE)))
+
+
+def _by_windows(telemetry: DataFrame, profiles: set[str]) -> DataFrame:
+    environment = W.partitionBy(ENV)
+    rows = telemetry
+    if "peak" in profiles:
+        p90 = F.percentile("request_volume", F.lit(P.PEAK_QUANTILE)).over(environment)
+        rows = rows.withColumn("is_peak", F.col("request_volume") >= p90)
+    if "bursty" in profiles:
+        rows = rows.withColumn("_key", spike_key())
+        nth = F.row_number().over(environment.orderBy("_key", "timestamp"))
+        quota = _spike_quota(F.count(F.lit(1)).over(environment))
+        rows = rows.withColumn("is_spike", nth <= quota).drop("_key")
+    if "seasonal" in profiles:
+        nth = F.row_number().over(environment.orderBy("timestamp"))
+        rows = rows.withColumn("position", nth.cast("long") - 1)
+    return rows
+
+
+def _by_counts(telemetry: DataFrame, profiles: set[str], large: LargeGroups) -> DataFrame:
+    """The same columns with nothing but counts gathered per environment."""
     rows = telemetry
     if "peak" in profiles:
         p90 = grouped(telemetry, [ENV], {"_p90": ("request_volume", P.PEAK_QUANTILE)}, [], large)
         rows = rows.join(p90, ENV, "left").withColumn("is_peak", F.col("request_volume") >= F.col("_p90")).drop("_p90")
     if "bursty" in profiles:
-        keyed = rows.withColumn("_spike_key", spike_key())
-        keyed = position_in_group(
-            keyed, [ENV], F.substring("_spike_key", 1, 4), ["_spike_key", "timestamp"], "_nth", total="_rows"
-        )
-        quota = F.greatest(F.lit(1), F.floor(F.col("_rows") * F.lit(P.BURST_SHARE)))
-        rows = keyed.withColumn("is_spike", F.col("_nth") <= quota).drop("_spike_key", "_nth", "_rows")
+        keys = telemetry.select(ENV, spike_key().alias("_key"))
+        keys = position_in_group(keys, [ENV], F.substring("_key", 1, 4), ["_key"], "_nth", total="_rows")
+        last = keys.where(F.col("_nth") == _spike_quota(F.col("_rows"))).select(ENV, F.col("_key").alias("_last"))
+        rows = rows.join(last, ENV, "left").withColumn("is_spike", spike_key() <= F.col("_last")).drop("_last")
     if "seasonal" in profiles:
         rows = position_in_group(rows, [ENV], F.date_trunc("hour", "timestamp"), ["timestamp"], "_nth")
         rows = rows.withColumn("position", F.col("_nth") - 1).drop("_nth")

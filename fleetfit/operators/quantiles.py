@@ -33,6 +33,15 @@ class LargeGroups:
     def __bool__(self) -> bool:
         return self.every or bool(self.ids)
 
+    def apart(self, rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """(rows of usual groups, rows of large groups), None where there are none."""
+        if not self:
+            return rows, None
+        if self.every:
+            return None, rows
+        listed = F.coalesce(F.col(self.key).isin(*self.ids), F.lit(False))
+        return rows.where(~listed), rows.where(listed)
+
 
 NO_LARGE_GROUPS = LargeGroups("environment_id")
 
@@ -65,14 +74,13 @@ def grouped(
 
     ``approx=True`` swaps the exact percentiles for Spark's bounded-memory sketch.
     """
-    if approx or not large:
-        return _one_aggregation(rows, keys, percentiles, aggregates, approx)
-    if large.every:
-        return _split_aggregation(rows, keys, percentiles, aggregates, bounded=False)
-    is_large = F.coalesce(F.col(large.key).isin(*large.ids), F.lit(False))
-    usual = _one_aggregation(rows.where(~is_large), keys, percentiles, aggregates, False)
-    split = _split_aggregation(rows.where(is_large), keys, percentiles, aggregates, bounded=True)
-    return usual.unionByName(split)
+    usual, big = (rows, None) if approx else large.apart(rows)
+    parts = []
+    if usual is not None:
+        parts.append(_one_aggregation(usual, keys, percentiles, aggregates, approx))
+    if big is not None:
+        parts.append(_split_aggregation(big, keys, percentiles, aggregates, bounded=not large.every))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _one_aggregation(rows, keys, percentiles, aggregates, approx) -> DataFrame:
@@ -93,7 +101,8 @@ def _one_aggregation(rows, keys, percentiles, aggregates, approx) -> DataFrame:
 
 
 def _split_aggregation(rows, keys, percentiles, aggregates, bounded) -> DataFrame:
-    base = rows.groupBy(*keys).agg(*aggregates)
+    # A group of nulls only has no percentile but keeps its row.
+    base = rows.groupBy(*keys).agg(*aggregates) if aggregates else rows.select(*keys).distinct()
     quantiles = split_percentiles(rows, keys, percentiles, bounded)
     return base.join(quantiles, keys, "left")
 

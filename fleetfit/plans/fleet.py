@@ -5,15 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetfit import session
 from fleetfit.catalog import DEFAULT_CATALOG, InstanceCatalog
 from fleetfit.operators import baseline, portfolio, validation, whatif
 from fleetfit.operators.projection import BASE, Variant
 from fleetfit.operators.quantiles import LargeGroups, find_large_groups
-from fleetfit.sources import adapters
-
+from fleetfit.sources import adapters, merge, readers
 
 @dataclass(frozen=True)
 class Fleet:
@@ -37,23 +36,37 @@ class Fleet:
             return validation.without_nan(self.raw.drop(*self.order))
         return validation.clean(self.raw, self.order, self.environments)
 
+    @cached_property
+    def table(self) -> DataFrame:
+        """The clean telemetry as a table in the shared folder.
+
+        For questions that pass over the telemetry more than twice: the table is read with only the
+        columns of each pass, where the plan alone would sort the whole input again for every pass.
+        """
+        return session.written(self.telemetry, "telemetry")
+
     @cached_property
     def large(self) -> LargeGroups:
         return find_large_groups(self.raw)
 
+    @property
+    def passes(self) -> DataFrame:
+        """The telemetry to aggregate: the table where large environments need several passes."""
+        return self.table if self.large else self.telemetry
+
     def what_if(self, policy: str, variants: tuple[Variant, ...] = BASE, **options) -> DataFrame:
         return whatif.what_if(
-            self.telemetry, self.environments, self.pricing, self.catalog, policy, variants, large=self.large, **options
+            self.passes, self.environments, self.pricing, self.catalog, policy, variants, large=self.large, **options
         )
 
     def decided(self, policy: str, variants: tuple[Variant, ...] = BASE, texts: bool = False, **options) -> DataFrame:
         return whatif.decide(self.what_if(policy, variants, **options), texts=texts)
 
     def baseline(self, families: list[str] | None = None) -> DataFrame:
-        return baseline.baseline(self.telemetry, families, self.large)
+        return baseline.baseline(self.passes, families, self.large)
 
     def portfolio(self) -> DataFrame:
-        return portfolio.detail(self.telemetry, self.environments, self.pricing, self.catalog, self.large)
+        return portfolio.detail(self.passes, self.environments, self.pricing, self.catalog, self.large)
 
     def naive(self) -> DataFrame:
         return whatif.naive_step_down(self.telemetry, self.environments, self.catalog)
@@ -69,3 +82,34 @@ def table_fleet(spark: SparkSession, sf_dir: str) -> Fleet:
         adapters.environments(spark, sf_dir),
         adapters.pricing(spark, sf_dir),
     )
+
+
+def folder_fleet(
+    spark: SparkSession,
+    folder: str,
+    fmt: str = "csv",
+    catalog: InstanceCatalog = DEFAULT_CATALOG,
+    prejoined: bool = False,
+    validate: bool = True,
+) -> Fleet:
+    """The fleet over a folder with the registry, the price history and the telemetry.
+
+    Telemetry is merged from the five metric histories, or read from ``full_telemetry`` where
+    ``prejoined``. Merged histories of unique keys have no duplicates left to order.
+    """
+    session.tune(spark)
+    if prejoined:
+        raw = readers.full_telemetry(spark, folder, fmt, ordered=True).drop("instance_type")
+        order = readers.INPUT_ORDER
+    else:
+        raw = merge.merge_histories(readers.histories(spark, folder, fmt)).withColumn("_row", F.lit(0))
+        order = ["_row"]
+    return Fleet(
+        spark,
+        raw,
+        order,
+        readers.environments(spark, folder, fmt),
+        readers.pricing(spark, folder, fmt),
+        catalog,
+        validate,
+    )

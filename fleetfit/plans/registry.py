@@ -156,8 +156,7 @@ def src_env_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_metric_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five tables written from wide telemetry, read back and summed up."""
     fleet = table_fleet(spark, sf_dir)
-    clean = session.written(fleet.telemetry, "telemetry")
-    paths = sinks.write_histories(clean, session.scratch_path(spark, "histories"))
+    paths = sinks.write_histories(fleet.table, session.scratch_path(spark, "histories"))
     out = None
     for name, path in paths.items():
         metric = S.HISTORIES[name]
@@ -345,7 +344,7 @@ def base_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _projected(spark: SparkSession, sf_dir: str, policy: str, variant: Variant, *flags: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
     return project_rows(
-        fleet.telemetry,
+        fleet.passes,
         fleet.environments,
         fleet.catalog,
         policy,
@@ -537,7 +536,7 @@ def decide_insufficient(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("current_instance_type", F.coalesce("current_instance_type", "expected_current"))
     )
     result = whatif.keep_all_moves(
-        moves, whatif.what_if(fleet.telemetry, moves, fleet.pricing, fleet.catalog, large=fleet.large)
+        moves, whatif.what_if(fleet.passes, moves, fleet.pricing, fleet.catalog, large=fleet.large)
     )
     grades = validation.quality_grade(fleet.raw, fleet.order, by=ENV).select(ENV, "quality")
     decided = whatif.decide(result.join(grades, ENV, "left"), F.col("quality"))
@@ -750,7 +749,7 @@ def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dist_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
     rows = project_rows(
-        fleet.telemetry, fleet.environments, fleet.catalog, "step_down", keep=("cpu_utilization_pct",)
+        fleet.passes, fleet.environments, fleet.catalog, "step_down", keep=("cpu_utilization_pct",)
     )
     return shown(views.five_numbers(rows, fleet.large))
 
@@ -759,7 +758,7 @@ def dist_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CPU and request volume of every environment with the position in time."""
     fleet = table_fleet(spark, sf_dir)
-    rows = with_profile_columns(fleet.telemetry, {"seasonal"})
+    rows = with_profile_columns(fleet.passes, {"seasonal"}, fleet.large)
     return shown(rows, ENV, "position", "timestamp", "cpu_utilization_pct", "request_volume")
 
 
@@ -781,7 +780,7 @@ def scenario_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prechecked(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
     return gate.precheck(
-        adapters.requests(spark, sf_dir), fleet.environments, fleet.telemetry, fleet.pricing, fleet.catalog, fleet.large
+        adapters.requests(spark, sf_dir), fleet.environments, fleet.passes, fleet.pricing, fleet.catalog, fleet.large
     )
 
 

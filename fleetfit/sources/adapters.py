@@ -20,8 +20,23 @@ HISTORY_GAPS = {
 BASE_PRICES = {"small": 0.05, "medium": 0.10, "large": 0.20}
 
 
+# Declared, so that no job has to read file footers before planning.
+SCHEMAS = {
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def environment_id(key: Column) -> Column:
@@ -138,5 +153,5 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select(
         environment_id(user).alias("environment_id"),
         F.when(user % 10 == 7, "large").otherwise(type_by_remainder(user)).alias("expected_current"),
-        F.lit("small").alias("candidate_instance_type"),
+        F.when(user.isNotNull(), "small").alias("candidate_instance_type"),
     )

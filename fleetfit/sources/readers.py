@@ -9,8 +9,13 @@ from fleetfit import schemas as S
 from fleetfit.functions.common import nan_to_null
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """A table with its declared schema; nothing is inferred, missing numbers become null."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", ordered: bool = False
+) -> DataFrame:
+    """A table with its declared schema; nothing is inferred, missing numbers become null.
+
+    With ``ordered`` the columns of ``INPUT_ORDER`` are added.
+    """
     reader = spark.read.schema(schema)
     if fmt == "csv":
         # Columns are matched by header name, so extra or reordered columns do no harm.
@@ -18,13 +23,33 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
         header = spark.read.option("header", True).csv(path).columns
         wide = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
         rows = spark.read.schema(wide).option("header", True).option("nanValue", "NaN").csv(path)
-        rows = rows.select(*[f.name for f in schema.fields if f.name in header])
+        declared_only = [f.name for f in schema.fields if f.name in header]
     else:
         rows = reader.format(fmt).load(path)
+        declared_only = rows.columns
+    rows = with_input_order(rows) if ordered else rows
+    rows = rows.select(*declared_only, *(INPUT_ORDER if ordered else []))
     floats = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType) and f.name in rows.columns]
     return rows.withColumns({c: nan_to_null(F.col(c)) for c in floats}) if floats else rows
 
 
+INPUT_ORDER = ["_file", "_block", "_row"]
+
+
+def with_input_order(rows: DataFrame) -> DataFrame:
+    """Adds the place of each row in its files, for rules that keep the first of several rows.
+
+    Rows of a file split are numbered as they are read, so (file, start of the split, number) is the
+    order of the input however the splits are spread over tasks.
+    """
+    return rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+
+
 def _location(folder: str, name: str, fmt: str) -> str:
     return f"{folder.rstrip('/')}/{name}.csv" if fmt == "csv" else f"{folder.rstrip('/')}/{name}"
 
@@ -45,10 +70,12 @@ def pricing(spark: SparkSession, folder: str, fmt: str = "csv") -> DataFrame:
     return read_table(spark, _location(folder, "pricing_history", fmt), S.PRICING, fmt)
 
 
-def full_telemetry(spark: SparkSession, folder: str, fmt: str = "csv", environment_id: str | None = None) -> DataFrame:
+def full_telemetry(
+    spark: SparkSession, folder: str, fmt: str = "csv", environment_id: str | None = None, ordered: bool = False
+) -> DataFrame:
     """The pre-joined fact; a filter on one environment reaches the scan."""
     schema = T.StructType(S.TELEMETRY.fields + [T.StructField("instance_type", T.StringType())])
-    rows = read_table(spark, _location(folder, "full_telemetry", fmt), schema, fmt)
+    rows = read_table(spark, _location(folder, "full_telemetry", fmt), schema, fmt, ordered)
     return rows if environment_id is None else rows.where(F.col("environment_id") == environment_id)
 
 
