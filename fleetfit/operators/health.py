@@ -47,7 +47,7 @@ def window_after(executed: DataFrame, readings: DataFrame, checkpoints: int = CH
     Readings are numbered per environment; a migration sees how many readings precede it on the
     common time line and asks for the next numbers, which is an equality join.
     """
-    order = F.date_trunc("hour", "ts")
+    order = F.date_trunc("minute", "ts")
     numbered = position_in_group(readings, [ENV], order, ["ts", "reading_id"], "_nth")
     line = readings.select(ENV, "ts", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("migration_seq")).unionByName(
         executed.select(ENV, F.col("migrated_at").alias("ts"), F.lit(0).alias("_kind"), "migration_seq")

@@ -82,7 +82,7 @@ def with_profile_columns(
     percent (at least one) of its rows in a hashed order. ``position``: 0-based row number in time.
 
     Environments of a known bound are handled by windows over one exchange by environment, which
-    the following aggregation reuses; large ones by counts per hour and per hash prefix. Expects
+    the following aggregation reuses; large ones by counts per minute and per hash prefix. Expects
     unique (timestamp, environment) keys, as validation leaves them.
     """
     if not profiles & {"peak", "bursty", "seasonal"}:
@@ -92,7 +92,7 @@ def with_profile_columns(
     if usual is not None:
         parts.append(_by_windows(usual, profiles))
     if big is not None:
-        parts.append(_by_counts(big, profiles, large))
+        parts.append(_by_counts(big, profiles, large.inside()))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -118,18 +118,23 @@ def _by_windows(telemetry: DataFrame, profiles: set[str]) -> DataFrame:
 
 
 def _by_counts(telemetry: DataFrame, profiles: set[str], large: LargeGroups) -> DataFrame:
-    """The same columns with nothing but counts gathered per environment."""
+    """The same columns with nothing but counts gathered per environment.
+
+    One row per environment is joined back; it is broadcast where the large ones are a listed few,
+    else left to the planner, which splits hot keys.
+    """
+    hint = F.broadcast if large.bounded else (lambda df: df)
     rows = telemetry
     if "peak" in profiles:
         p90 = grouped(telemetry, [ENV], {"_p90": ("request_volume", P.PEAK_QUANTILE)}, [], large)
-        rows = rows.join(p90, ENV, "left").withColumn("is_peak", F.col("request_volume") >= F.col("_p90")).drop("_p90")
+        rows = rows.join(hint(p90), ENV, "left").withColumn("is_peak", F.col("request_volume") >= F.col("_p90")).drop("_p90")
     if "bursty" in profiles:
         keys = telemetry.select(ENV, spike_key().alias("_key"))
         keys = position_in_group(keys, [ENV], F.substring("_key", 1, 4), ["_key"], "_nth", total="_rows")
         last = keys.where(F.col("_nth") == _spike_quota(F.col("_rows"))).select(ENV, F.col("_key").alias("_last"))
-        rows = rows.join(last, ENV, "left").withColumn("is_spike", spike_key() <= F.col("_last")).drop("_last")
+        rows = rows.join(hint(last), ENV, "left").withColumn("is_spike", spike_key() <= F.col("_last")).drop("_last")
     if "seasonal" in profiles:
-        rows = position_in_group(rows, [ENV], F.date_trunc("hour", "timestamp"), ["timestamp"], "_nth")
+        rows = position_in_group(rows, [ENV], F.date_trunc("minute", "timestamp"), ["timestamp"], "_nth")
         rows = rows.withColumn("position", F.col("_nth") - 1).drop("_nth")
     return rows
 

@@ -2,7 +2,8 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one task. That is the right plan
 for the usual group (some hundred to some million readings per environment) and the wrong one for
-an environment that holds a third of the table. So the row counts are looked at first:
+an environment that holds a third of the table. So the row counts are looked at first (the same
+look decides whether rows may be brought together by environment at all, see ``plans.fleet``):
 
 * no group above ``GROUP_LIMIT``: one aggregation with ``percentile``;
 * otherwise the large groups go through ``split_percentiles``, which only ever shuffles counts of
@@ -12,7 +13,7 @@ an environment that holds a third of the table. So the row counts are looked at
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -24,7 +25,10 @@ LINEAR_STEPS = 4096
 
 @dataclass(frozen=True)
 class LargeGroups:
-    """Groups above the limit: none, a short list of ids, or too many to list (``every``)."""
+    """Groups above the limit: none, a short list of ids, or too many to list (``every``).
+
+    ``every`` treats all rows as rows of large groups.
+    """
 
     key: str
     ids: tuple[str, ...] = ()
@@ -33,6 +37,15 @@ class LargeGroups:
     def __bool__(self) -> bool:
         return self.every or bool(self.ids)
 
+    @property
+    def bounded(self) -> bool:
+        """The large groups are a listed few, so one row each may be broadcast."""
+        return bool(self.ids)
+
+    def inside(self) -> "LargeGroups":
+        """For rows that are known to belong to the large groups only."""
+        return replace(self, every=True)
+
     def apart(self, rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
         """(rows of usual groups, rows of large groups), None where there are none."""
         if not self:
@@ -79,7 +92,7 @@ def grouped(
     if usual is not None:
         parts.append(_one_aggregation(usual, keys, percentiles, aggregates, approx))
     if big is not None:
-        parts.append(_split_aggregation(big, keys, percentiles, aggregates, bounded=not large.every))
+        parts.append(_split_aggregation(big, keys, percentiles, aggregates, large.bounded))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -118,7 +131,8 @@ def split_percentiles(
     partially aggregated before its shuffle and every window runs over ranges, not over rows.
 
     ``bounded`` says the caller knows the number of groups is small (a listed few), which bounds the
-    range selections and allows broadcasting them.
+    range selections and allows broadcasting them. Otherwise equal values are counted together
+    first, so that the joins below never see a value that fills a partition.
     """
     metrics = sorted({column for column, _ in percentiles.values()})
     values = rows.select(
@@ -129,6 +143,10 @@ def split_percentiles(
     ).select(*keys, "_m._metric", "_m._v")
     # + 0.0 folds negative zero, so that equal values fall together.
     values = values.where(F.col("_v").isNotNull()).withColumn("_v", F.col("_v") + F.lit(0.0))
+    if bounded:
+        values = values.withColumn("_w", F.lit(1).cast("long"))
+    else:
+        values = values.groupBy(*keys, "_metric", "_v").agg(F.count(F.lit(1)).alias("_w"))
     # Monotone in the value, so ranges are ordered like the values they hold.
     values = values.withColumn(
         "_range", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * F.lit(float(LOG_STEPS))).cast("long")
@@ -136,7 +154,7 @@ def split_percentiles(
     group = keys + ["_metric"]
 
     ranges = values.groupBy(*group, "_range").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     ranges = ranges.withColumn("_upto", F.sum("_n").over(_running(group, "_range"))).withColumn(
         "_total", F.sum("_n").over(W.partitionBy(*group))
@@ -181,7 +199,7 @@ def split_percentiles(
         F.when(width == 0, F.lit(0)).otherwise(F.floor((F.col("_v") - F.col("_lo")) / width * LINEAR_STEPS)).cast("long"),
     )
     in_range = group + ["_range"]
-    steps = inside.groupBy(*in_range, "_step").agg(F.count(F.lit(1)).alias("_n"))
+    steps = inside.groupBy(*in_range, "_step").agg(F.sum("_w").alias("_n"))
     steps = steps.withColumn("_upto", F.sum("_n").over(_running(in_range, "_step")))
     step_targets = (
         targets.join(steps, in_range)
@@ -199,7 +217,7 @@ def split_percentiles(
     # Pass 3: distinct values inside the chosen steps.
     in_step = in_range + ["_step"]
     few = inside.join(hint(step_targets.select(*in_step).distinct()), in_step, "left_semi")
-    counts = few.groupBy(*in_step, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = few.groupBy(*in_step, "_v").agg(F.sum("_w").alias("_n"))
     counts = counts.withColumn("_upto", F.sum("_n").over(_running(in_step, "_v")))
     found = (
         step_targets.join(counts, in_step)

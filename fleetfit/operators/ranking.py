@@ -18,7 +18,7 @@ def position_in_group(
 ) -> DataFrame:
     """1-based position of each row within its group; with ``counted``, of counted rows so far.
 
-    ``bucket`` must be ordered like ``order`` (an hour of a timestamp, a prefix of a hash) so that a
+    ``bucket`` must be ordered like ``order`` (the minute of a timestamp, a prefix of a hash) so that a
     position is the size of the earlier buckets plus the position inside the own bucket. Rows are
     only shuffled by (keys, bucket); what is accumulated per key is one count per bucket. With
     ``total`` the size of the group is attached under that name.

@@ -57,10 +57,22 @@ def what_if(
     """Projection, SLO evaluation, peaks and cost of every move of every environment.
 
     ``hours`` prices the move; by default the number of telemetry rows, as hourly readings.
-    Environments without telemetry have no row.
+    Environments without telemetry have no row. Telemetry that is already together by environment
+    is expanded and aggregated without another exchange.
     """
-    projected = project_rows(telemetry, moves, catalog, policy, variants, large, unmoved=unmoved)
-    result = evaluate_slo(projected, large, approx, means, completeness)
+
+    def evaluated(rows: DataFrame, groups: LargeGroups) -> DataFrame:
+        projected = project_rows(rows, moves, catalog, policy, variants, groups, unmoved=unmoved)
+        return evaluate_slo(projected, groups, approx, means, completeness)
+
+    usual, big = large.apart(telemetry)
+    if big is None:
+        result = evaluated(usual, large)
+    elif usual is None:
+        result = evaluated(big, large)
+    else:
+        # Brought together before the expansion to moves and variants, not after it.
+        result = evaluated(usual.repartition(ENV), NO_LARGE_GROUPS).unionByName(evaluated(big, large.inside()))
     result = with_variant_columns(result, variants)
     result = (
         result.withColumn("latency_satisfied", F.col("projected_p95_latency") <= F.col("latency_target"))

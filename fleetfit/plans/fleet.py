@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetfit import session
 from fleetfit.catalog import DEFAULT_CATALOG, InstanceCatalog
 from fleetfit.operators import baseline, portfolio, validation, whatif
-from fleetfit.operators.projection import BASE, Variant
+from fleetfit.operators.projection import BASE, ENV, Variant
 from fleetfit.operators.quantiles import LargeGroups, find_large_groups
 from fleetfit.sources import adapters, merge, readers
 
@@ -18,8 +18,8 @@ from fleetfit.sources import adapters, merge, readers
 class Fleet:
     """Raw telemetry with its input order, the registry, prices and the catalog.
 
-    ``validate=False`` takes the telemetry as it is. Row counts per environment are looked at once,
-    when the first percentile is asked for.
+    ``validate=False`` takes the telemetry as it is. The number of rows, and only in a table of more
+    rows than a group may have the rows per environment, are looked at before the plan is built.
     """
 
     spark: SparkSession
@@ -30,11 +30,24 @@ class Fleet:
     catalog: InstanceCatalog = DEFAULT_CATALOG
     validate: bool = True
 
+    @cached_property
+    def large(self) -> LargeGroups:
+        return find_large_groups(self.raw)
+
+    @cached_property
+    def input(self) -> DataFrame:
+        """The raw telemetry, brought together by environment unless an environment is large.
+
+        Keep-first, the registry joins, the windows of the profiles and the aggregations all run on
+        this one exchange. With a large environment rows stay spread by (timestamp, environment).
+        """
+        return self.raw if self.large else self.raw.repartition(ENV)
+
     @cached_property
     def telemetry(self) -> DataFrame:
         if not self.validate:
-            return validation.without_nan(self.raw.drop(*self.order))
-        return validation.clean(self.raw, self.order, self.environments)
+            return validation.without_nan(self.input.drop(*self.order))
+        return validation.clean(self.input, self.order, self.environments)
 
     @cached_property
     def table(self) -> DataFrame:
@@ -45,10 +58,6 @@ class Fleet:
         """
         return session.written(self.telemetry, "telemetry")
 
-    @cached_property
-    def large(self) -> LargeGroups:
-        return find_large_groups(self.raw)
-
     @property
     def passes(self) -> DataFrame:
         """The telemetry to aggregate: the table where large environments need several passes."""

@@ -70,9 +70,12 @@ def shown(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def _histories(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The five histories: raw telemetry after keep-first, each with its own gaps."""
-    raw = adapters.telemetry_raw(spark, sf_dir)
-    firsts = validation.keep_first(raw, adapters.INGEST_ORDER)
+    """The five histories: raw telemetry after keep-first, each with its own gaps.
+
+    Written once, as five stored tables would be; each history then reads its own column.
+    """
+    fleet = table_fleet(spark, sf_dir)
+    firsts = session.written(validation.keep_first(fleet.input, fleet.order), "firsts")
     return {
         name: firsts.where(F.col("l_orderkey") % gap != 2).select(*S.KEYS, S.HISTORIES[name])
         for name, gap in adapters.HISTORY_GAPS.items()
@@ -90,7 +93,6 @@ def src_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def src_metric_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and range of each history per environment."""
-    session.tune(spark)
     parts = [
         h.groupBy(ENV).agg(
             F.count(F.lit(1)).alias("readings"),
@@ -108,7 +110,6 @@ def src_metric_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def src_telemetry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session.tune(spark)
     # The histories come out of keep-first, so their keys are unique by construction.
     return shown(merge.merge_histories(_histories(spark, sf_dir), unique=True))
 
@@ -183,7 +184,7 @@ def sink_audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_audit_by_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of every environment with their number in write order."""
     ledger = adapters.audit(spark, sf_dir)
-    numbered = position_in_group(ledger, [ENV], F.date_trunc("hour", "timestamp"), ["timestamp", "seq"], "entry")
+    numbered = position_in_group(ledger, [ENV], F.date_trunc("minute", "timestamp"), ["timestamp", "seq"], "entry")
     return shown(numbered, ENV, "entry", "timestamp", "seq", "event")
 
 
@@ -221,13 +222,13 @@ def val_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def val_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = adapters.telemetry_raw(spark, sf_dir)
-    return shown(validation.keep_first(raw, adapters.INGEST_ORDER))
+    fleet = table_fleet(spark, sf_dir)
+    return shown(validation.keep_first(fleet.input, fleet.order))
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
-    return validation.tagged(fleet.raw, fleet.order, fleet.environments)
+    return validation.tagged(fleet.input, fleet.order, fleet.environments)
 
 
 def _rule_effect(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
@@ -286,23 +287,23 @@ def val_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def val_issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
-    return shown(validation.issue_report(fleet.raw, fleet.order, fleet.environments))
+    return shown(validation.issue_report(fleet.input, fleet.order, fleet.environments))
 
 
 @query
 def val_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of the whole input and of each environment's part of it."""
     fleet = table_fleet(spark, sf_dir)
-    whole = validation.status(fleet.raw, fleet.order, fleet.environments).withColumn(ENV, F.lit("(all)"))
-    parts = validation.status(fleet.raw, fleet.order, fleet.environments, by=ENV)
+    whole = validation.status(fleet.input, fleet.order, fleet.environments).withColumn(ENV, F.lit("(all)"))
+    parts = validation.status(fleet.input, fleet.order, fleet.environments, by=ENV)
     return shown(whole.unionByName(parts).withColumn("issue", F.coalesce("issue", F.lit(""))))
 
 
 @query
 def val_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
-    whole = validation.quality_grade(fleet.raw, fleet.order).withColumn(ENV, F.lit("(all)"))
-    return shown(whole.unionByName(validation.quality_grade(fleet.raw, fleet.order, by=ENV)))
+    whole = validation.quality_grade(fleet.input, fleet.order).withColumn(ENV, F.lit("(all)"))
+    return shown(whole.unionByName(validation.quality_grade(fleet.input, fleet.order, by=ENV)))
 
 
 # --- baselines ---------------------------------------------------------------------------------
@@ -538,7 +539,7 @@ def decide_insufficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = whatif.keep_all_moves(
         moves, whatif.what_if(fleet.passes, moves, fleet.pricing, fleet.catalog, large=fleet.large)
     )
-    grades = validation.quality_grade(fleet.raw, fleet.order, by=ENV).select(ENV, "quality")
+    grades = validation.quality_grade(fleet.input, fleet.order, by=ENV).select(ENV, "quality")
     decided = whatif.decide(result.join(grades, ENV, "left"), F.col("quality"))
     return shown(
         decided.withColumn("row_count", F.coalesce("row_count", F.lit(0))), *MOVE, "row_count", "decision", "reason_codes"
@@ -887,7 +888,7 @@ def error_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
-    tagged = validation.tagged(fleet.raw, fleet.order, fleet.environments)
+    tagged = validation.tagged(fleet.input, fleet.order, fleet.environments)
     return shown(errors.error_events(tagged, fleet.decided("step_down")))
 
 

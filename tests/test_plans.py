@@ -1,17 +1,22 @@
 """Shape of the physical plans."""
 
+import dataclasses
 import re
 
 import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as entry
+from fleetfit.operators import validation
+from fleetfit.operators.projection import Variant
+from fleetfit.operators.quantiles import LargeGroups
 from fleetfit.plans.fleet import table_fleet
 from fleetfit.plans.oracle import ORACLES
 from fleetfit.plans.registry import QUERIES
+from fleetfit.sources import adapters
 
 # Queries that write tables or run streams while they are built.
-EAGER = {n for n in QUERIES if n.startswith(("sink_", "stream_"))} | {"port_ranked"}
+EAGER = {n for n in QUERIES if n.startswith(("sink_", "stream_"))} | {"port_ranked", "src_telemetry_merge", "src_metric_histories"}
 LAZY = [n for n in QUERIES if n not in EAGER]
 
 
@@ -26,25 +31,37 @@ def test_no_cross_join_and_no_python_in_the_plan(spark, name):
     assert not re.search("Python|Pandas|MapPartitions|FlatMapGroups", text)
 
 
-def test_the_portfolio_has_two_exchanges_of_telemetry(spark):
-    text = plan(table_fleet(spark, TESTDATA).what_if("cheaper"))
-    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
-    fact = [e for e in exchanges if "environment_id" in e]
-    assert len(fact) == 2 and "timestamp" in fact[0] + fact[1]
+def fact_exchanges(df) -> list[str]:
+    return [e for e in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df)) if "environment_id" in e]
 
 
-def test_profiles_share_one_exchange_with_the_aggregation(spark):
-    from fleetfit.operators.projection import Variant
+def test_the_what_if_moves_the_telemetry_once(spark):
+    (only,) = fact_exchanges(table_fleet(spark, TESTDATA).what_if("cheaper"))
+    assert "timestamp" not in only
 
+
+def test_profiles_and_baselines_share_that_exchange(spark):
     variants = tuple(Variant(p, profile=p) for p in ("peak", "bursty", "seasonal"))
-    text = plan(table_fleet(spark, TESTDATA).what_if("step_down", variants))
-    fact = [e for e in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text) if "environment_id" in e]
-    assert len(fact) == 2
+    fleet = table_fleet(spark, TESTDATA)
+    assert len(fact_exchanges(fleet.what_if("step_down", variants))) == 1
+    assert len(fact_exchanges(fleet.baseline())) == 1
+
+
+def test_a_large_environment_is_spread_by_time(spark):
+    fleet = table_fleet(spark, TESTDATA)
+    hot = dataclasses.replace(fleet)
+    hot.__dict__["large"] = LargeGroups("environment_id", ids=("env-000003",))
+    (only,) = fact_exchanges(hot.telemetry)
+    assert "timestamp" in only
+    columns = ["environment_id", "candidate_instance_type", "row_count", "peak_cpu", "decision"]
+    usual, split = fleet.decided("cheaper").select(columns), hot.decided("cheaper").select(columns)
+    assert usual.exceptAll(split).count() == 0 and split.exceptAll(usual).count() == 0
 
 
 def test_duplicates_are_cut_before_the_shuffle(spark):
-    text = plan(table_fleet(spark, TESTDATA).telemetry)
-    assert text.count("WindowGroupLimit") == 2
+    raw = adapters.telemetry_raw(spark, TESTDATA)
+    before, after = plan(validation.keep_first(raw, adapters.INGEST_ORDER)).split("Exchange hashpartitioning")
+    assert "WindowGroupLimit" in before and "WindowGroupLimit" in after
 
 
 def test_scans_read_needed_columns_only(spark):
