@@ -35,6 +35,16 @@ EVENTS = [
     "ORIGINAL_CONFIGURATION_RESTORED",
     "RESTORATION_VERIFIED",
 ]
+# Events of an unattended run, kept in the same ledger.
+AGENT_EVENTS = [
+    "AGENT_VALIDATING",
+    "AGENT_BLOCKED",
+    "AGENT_APPROVED",
+    "AGENT_EXECUTED",
+    "AGENT_VERIFYING",
+    "AGENT_ROLLED_BACK",
+    "AGENT_COMPLETED",
+]
 WHEN = ("timestamp", "seq")
 
 
@@ -81,9 +91,9 @@ def state(audit: DataFrame, environments: DataFrame | None = None) -> DataFrame:
     )
 
 
-def funnel(audit: DataFrame) -> DataFrame:
+def funnel(audit: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Event counts in one row, with approval, block and rollback rates."""
-    counted = audit.agg(*[F.count_if(F.col("event") == e).alias(e.lower()) for e in EVENTS])
+    counted = audit.agg(*[F.count_if(F.col("event") == e).alias(e.lower()) for e in EVENTS + (extra or [])])
 
     def rate(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole) * 100.0)

@@ -17,7 +17,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-GROUP_LIMIT = 2_000_000
+GROUP_LIMIT = 250_000
 MAX_LISTED_GROUPS = 500
 LOG_STEPS = 512
 LINEAR_STEPS = 4096

@@ -122,7 +122,22 @@ def row_rule(columns: list[str], known: Column | None = None) -> Column:
 
 
 def valid_values(columns: list[str]) -> Column:
-    return row_rule(columns).isNull()
+    """True for rows that break no rule of ``row_rule``: a plain conjunction, which reaches the scan.
+
+    A comparison with a missing value is not true, so only the other columns need a null check.
+    """
+    c = F.col
+    valid = (
+        c("cpu_utilization_pct").between(0, S.UTILIZATION_CEILING)
+        & c("memory_utilization_pct").between(0, S.UTILIZATION_CEILING)
+        & (c("request_volume") >= 0)
+        & (c("latency_ms") >= 0)
+        & c("availability_pct").between(0, S.AVAILABILITY_CEILING)
+    )
+    for name in columns:
+        if name not in S.METRICS:
+            valid = valid & c(name).isNotNull()
+    return valid
 
 
 def known_environments(telemetry: DataFrame, environments: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetfit import session
@@ -71,6 +72,21 @@ class Fleet:
     def decided(self, policy: str, variants: tuple[Variant, ...] = BASE, texts: bool = False, **options) -> DataFrame:
         return whatif.decide(self.what_if(policy, variants, **options), texts=texts)
 
+    def simulate(
+        self, moves: list[tuple[str, str, str]], variants: tuple[Variant, ...] = BASE, **options
+    ) -> DataFrame:
+        """Decided what-if rows of named (environment, current type, candidate) moves.
+
+        The environments are filtered before anything else, so the filter reaches the scan. A move
+        whose environment has no telemetry is INSUFFICIENT DATA.
+        """
+        requests = session.local_rows(self.spark, moves, {name: pa.string() for name in whatif.MOVE})
+        telemetry = self.telemetry.where(F.col(ENV).isin([m[0] for m in moves]))
+        result = whatif.what_if(
+            telemetry, requests, self.pricing, self.catalog, variants=variants, large=self.large, **options
+        )
+        return whatif.decide(whatif.keep_all_moves(requests, result), texts=True)
+
     def baseline(self, families: list[str] | None = None) -> DataFrame:
         return baseline.baseline(self.passes, families, self.large)
 
@@ -103,16 +119,17 @@ def folder_fleet(
 ) -> Fleet:
     """The fleet over a folder with the registry, the price history and the telemetry.
 
-    Telemetry is merged from the five metric histories, or read from ``full_telemetry`` where
-    ``prejoined``. Merged histories of unique keys have no duplicates left to order.
+    Telemetry is merged from the five metric histories and written once, or read from
+    ``full_telemetry`` where ``prejoined``. Merged histories of unique keys have no duplicates left
+    to order.
     """
     session.tune(spark)
     if prejoined:
         raw = readers.full_telemetry(spark, folder, fmt, ordered=True).drop("instance_type")
         order = readers.INPUT_ORDER
     else:
-        raw = merge.merge_histories(readers.histories(spark, folder, fmt)).withColumn("_row", F.lit(0))
-        order = ["_row"]
+        merged = session.written(merge.merge_histories(readers.histories(spark, folder, fmt)), "merged")
+        raw, order = merged.withColumn("_row", F.lit(0)), ["_row"]
     return Fleet(
         spark,
         raw,

@@ -750,6 +750,21 @@ ORACLES: dict[str, str] = {
                  JOIN catalog k ON k.instance_type = r.candidate_instance_type"""
         ),
     ),
+    "decide_reasons": _simulated(
+        f"""SELECT {MOVE}, decision, CASE WHEN decision = 'SAFE TO RIGHTSIZE'
+                THEN 'Cost decreases while SLO targets and resource limits remain satisfied.'
+                ELSE concat_ws('|',
+                    CASE WHEN absolute_monthly_saving <= 0 THEN 'Candidate does not provide cost benefit.' END,
+                    CASE WHEN NOT latency_satisfied
+                         THEN printf('Projected P95 latency = %.2f ms (Target violated)', projected_p95_latency) END,
+                    CASE WHEN NOT availability_satisfied
+                         THEN printf('Projected availability = %.2f%% (Target violated)', projected_availability) END,
+                    CASE WHEN peak_cpu > 90 THEN printf('Projected peak CPU = %.1f%% exceeds safe limit (90%%)', peak_cpu) END,
+                    CASE WHEN peak_mem > 90 THEN printf('Projected peak memory = %.1f%% exceeds safe limit (90%%)', peak_mem) END)
+                END AS reasons
+            FROM decided""",
+        "cheaper_and_self",
+    ),
     # candidates
     "cand_generate": _simulated(f"SELECT {MOVE}, CAST(candidate_ordinal AS BIGINT) AS candidate_ordinal FROM moves", "cheaper"),
     "cand_headroom": _simulated(
@@ -915,6 +930,25 @@ ORACLES: dict[str, str] = {
         ),
         "cheaper_and_self",
     ),
+    "explain": _simulated(
+        _shown(
+            f"""SELECT {MOVE}, CASE WHEN decision = 'SAFE TO RIGHTSIZE' THEN 'SAFE' ELSE 'BLOCKED' END AS verdict,
+                       CASE WHEN decision = 'SAFE TO RIGHTSIZE' THEN 'SAFE' ELSE 'BLOCKED' END AS document_decision,
+                       candidate_instance_type AS document_candidate, peak_cpu AS cpu, peak_mem AS memory,
+                       projected_p95_latency AS latency, projected_availability AS availability,
+                       CASE WHEN decision = 'SAFE TO RIGHTSIZE' THEN absolute_monthly_saving ELSE 0 END AS cost_reduction,
+                       CASE WHEN decision = 'SAFE TO RIGHTSIZE' THEN 'All simulated metrics are within strict safety bounds.' ELSE '' END AS evidence,
+                       CAST(CASE WHEN decision = 'SAFE TO RIGHTSIZE' THEN 4 ELSE 0 END AS BIGINT) AS checks,
+                       CAST(CASE WHEN decision = 'SAFE TO RIGHTSIZE' THEN 0 ELSE len(string_split(reason_codes, '|')) END AS BIGINT) AS reasons
+                FROM decided""",
+            "cpu",
+            "memory",
+            "latency",
+            "availability",
+            "cost_reduction",
+        ),
+        "cheaper",
+    ),
     "view_infra": _simulated(
         _shown(
             """SELECT d.environment_id, 'INFRASTRUCTURE ENGINEER' AS view, d.peak_cpu AS resource_usage, d.decision AS safety,

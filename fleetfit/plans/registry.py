@@ -719,7 +719,28 @@ def tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(views.explain(table_fleet(spark, sf_dir).decided("cheaper", texts=True)))
+    """The explanation documents, read back field by field."""
+    told = views.explain(table_fleet(spark, sf_dir).decided("cheaper", texts=True))
+
+    def number(safe: str, blocked: str):
+        return F.coalesce(*[F.get_json_object("explanation", f"$.{f}") for f in (safe, blocked)]).cast("double")
+
+    return shown(
+        told.select(
+            *MOVE,
+            "verdict",
+            F.get_json_object("explanation", "$.decision").alias("document_decision"),
+            F.get_json_object("explanation", "$.candidate").alias("document_candidate"),
+            number("cpu_projection", "projected_cpu").alias("cpu"),
+            number("memory_projection", "projected_memory").alias("memory"),
+            number("latency_projection", "projected_latency").alias("latency"),
+            number("availability_projection", "projected_availability").alias("availability"),
+            F.coalesce(F.get_json_object("explanation", "$.cost_reduction").cast("double"), F.lit(0.0)).alias("cost_reduction"),
+            F.coalesce(F.get_json_object("explanation", "$.evidence"), F.lit("")).alias("evidence"),
+            F.coalesce(F.json_array_length(F.get_json_object("explanation", "$.passed_checks")), F.lit(0)).alias("checks"),
+            F.coalesce(F.json_array_length(F.get_json_object("explanation", "$.exact_reason")), F.lit(0)).alias("reasons"),
+        )
+    )
 
 
 @query

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime SQL settings, all changeable on a live session.
 #  - forceOptimizeSkewedJoin: joining telemetry with the environment registry by shuffle leaves a
 #    hot environment in one partition; splitting it is worth the extra (pre-aggregated) exchange.
-#  - sortBased.fallbackThreshold: exact percentiles keep one small buffer per environment; the
-#    default of 128 groups per task sorts nearly every task.
+#  - sortBased.fallbackThreshold: exact percentiles keep a buffer of values per group. The default
+#    of 128 groups sorts nearly every task; a few hundred keep the buffers of a task small, as
+#    groups beyond ``quantiles.GROUP_LIMIT`` rows never get there.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "512",
     "spark.sql.session.timeZone": "UTC",
 }
 

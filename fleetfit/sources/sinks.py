@@ -30,8 +30,11 @@ def long_metrics(telemetry: DataFrame) -> DataFrame:
 
 
 def append_audit(events: DataFrame, path: str) -> None:
-    """Append events to the ledger, partitioned by day."""
-    dated = events.withColumn("event_date", F.to_date("timestamp"))
+    """Append events to the ledger, partitioned by day.
+
+    Rebalancing gathers a day's events into few files and still splits a day that is large.
+    """
+    dated = events.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date")
     dated.write.mode("append").partitionBy("event_date").parquet(path)
 
 

@@ -154,6 +154,7 @@ def test_ledger_questions(ledger, registry):
     assert [r.seq for r in audit.events_of(ledger, "a").collect()] == [1, 2, 3, 4]
     counts = audit.funnel(ledger).first()
     assert counts.migration_executed == 2 and counts.rollback_rate_pct == 50.0 and counts.approval_rate_pct == 100.0
+    assert audit.funnel(ledger, audit.AGENT_EVENTS).first().agent_blocked == 0
     assert audit.state(ledger).count() == 2 and audit.event_counts(ledger).count() == 7
 
 

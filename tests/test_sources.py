@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fleetfit import schemas as S
 from fleetfit.operators import validation
+from fleetfit.operators.projection import Variant
 from fleetfit.plans.fleet import folder_fleet
+from fleetfit.schemas import INSUFFICIENT, SAFE, UNSAFE
 from fleetfit.sources import merge, readers, sinks
 
 
@@ -55,6 +57,15 @@ def test_fleet_from_the_prejoined_fact_keeps_the_first_rows_of_the_file(spark, f
     assert unchecked.telemetry.count() == 33
 
 
+def test_simulating_named_moves(spark, folder):
+    fleet = folder_fleet(spark, folder, prejoined=True)
+    moves = [("a", "large", "small"), ("b", "large", "small"), ("nobody", "large", "small")]
+    rows = {r.environment_id: r for r in fleet.simulate(moves).collect()}
+    assert {e: r.decision for e, r in rows.items()} == {"a": SAFE, "b": UNSAFE, "nobody": INSUFFICIENT}
+    swept = fleet.simulate(moves[:1], tuple(Variant(f"p{p}", cpu_pressure=p) for p in (0.0, 5.0)))
+    assert {r.variant_id: r.decision for r in swept.collect()} == {"p0.0": SAFE, "p5.0": UNSAFE}
+
+
 def test_lookup(spark, folder):
     fleet = folder_fleet(spark, folder)
     wanted = spark.createDataFrame([("a",), ("nobody",)], "environment_id string")
