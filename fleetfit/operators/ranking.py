@@ -43,15 +43,17 @@ def position_in_group(
 def position_in_table(rows: DataFrame, order: list[Column], out: str, restart: str | None = None) -> DataFrame:
     """1-based rank over the whole table in a total order, by range partitions.
 
-    The rows are range-partitioned and sorted once and written to the shared folder, since the
-    offsets and the rows must come from the same partitioning. What is accumulated in one task is
+    The rows are written first, as choosing the ranges takes a pass of its own over them, and again
+    once range-partitioned and sorted, since the offsets and the rows must come from the same
+    partitioning. What is accumulated in one task is
     one count per partition (and per value of ``restart``, a column of few values that leads the
     order and at which the rank starts again).
     """
     lead = [F.col(restart)] if restart else []
     partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = (
-        rows.repartitionByRange(partitions, *lead, *order)
+        written(rows, "unranked")
+        .repartitionByRange(partitions, *lead, *order)
         .sortWithinPartitions(*lead, *order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id())
