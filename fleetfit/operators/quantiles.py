@@ -27,12 +27,13 @@ LINEAR_STEPS = 4096
 class LargeGroups:
     """Groups above the limit: none, a short list of ids, or too many to list (``every``).
 
-    ``every`` treats all rows as rows of large groups.
+    ``every`` treats all rows as rows of large groups; ``rows`` is the number of rows looked at.
     """
 
     key: str
     ids: tuple[str, ...] = ()
     every: bool = False
+    rows: int = 0
 
     def __bool__(self) -> bool:
         return self.every or bool(self.ids)
@@ -66,13 +67,14 @@ def find_large_groups(rows: DataFrame, key: str = "environment_id", limit: int =
     footers. Beyond that one partially aggregated count per key decides. At most
     ``MAX_LISTED_GROUPS`` + 1 ids reach the driver.
     """
-    if rows.count() <= limit:
-        return LargeGroups(key)
+    total = rows.count()
+    if total <= limit:
+        return LargeGroups(key, rows=total)
     big = rows.groupBy(key).count().where(F.col("count") > limit).select(key)
     ids = [r[0] for r in big.limit(MAX_LISTED_GROUPS + 1).collect()]
     if len(ids) > MAX_LISTED_GROUPS:
-        return LargeGroups(key, every=True)
-    return LargeGroups(key, ids=tuple(ids))
+        return LargeGroups(key, every=True, rows=total)
+    return LargeGroups(key, ids=tuple(ids), rows=total)
 
 
 def grouped(

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetfit import schemas as S
 from fleetfit.functions.common import nan_to_null
-from fleetfit.session import local_rows
 
 # Rules in evaluation order with the text of their report line.
 RULES = [
@@ -41,11 +39,29 @@ def schema_check(telemetry: DataFrame) -> tuple[str, list[str], DataFrame]:
 
 
 def schema_report(telemetry: DataFrame) -> DataFrame:
-    """The schema check as a row per required column."""
+    """The schema check as a row per required column, with its known values (0 where absent).
+
+    One aggregation over the rows; the line per column is made from its single result row.
+    """
     present = set(telemetry.columns)
-    rows = [(i, c, c in present) for i, c in enumerate(S.TELEMETRY_COLUMNS)]
-    columns = {"ordinal": pa.int32(), "required_column": pa.string(), "present": pa.bool_()}
-    return local_rows(telemetry.sparkSession, rows, columns)
+    counted = telemetry.agg(
+        *[
+            (F.count(c) if c in present else F.lit(0)).cast("long").alias(c)
+            for c in S.TELEMETRY_COLUMNS
+        ]
+    )
+    lines = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("ordinal"),
+                F.lit(c).alias("required_column"),
+                F.lit(c in present).alias("present"),
+                F.col(c).alias("known_values"),
+            )
+            for i, c in enumerate(S.TELEMETRY_COLUMNS)
+        ]
+    )
+    return counted.select(F.explode(lines).alias("_line")).select("_line.*")
 
 
 def require_columns(telemetry: DataFrame) -> DataFrame:

@@ -33,7 +33,9 @@ class Fleet:
 
     @cached_property
     def large(self) -> LargeGroups:
-        return find_large_groups(self.raw)
+        found = find_large_groups(self.raw)
+        session.size_shuffles(self.spark, found.rows)
+        return found
 
     @cached_property
     def input(self) -> DataFrame:

@@ -574,12 +574,17 @@ ORACLES: dict[str, str] = {
     ),
     "sink_results": _simulated(f"SELECT {MOVE}, decision, reason_codes, row_count FROM decided", "step_down"),
     # validation
-    "val_schema": """
-        SELECT i.input, CAST(c.ordinal AS BIGINT) AS ordinal, c.name AS required_column,
-               NOT (i.input = 'without availability' AND c.name = 'availability_pct') AS present
-        FROM (VALUES ('telemetry'), ('without availability')) AS i(input),
-             (VALUES (0, 'timestamp'), (1, 'environment_id'), (2, 'cpu_utilization_pct'), (3, 'memory_utilization_pct'),
-                     (4, 'latency_ms'), (5, 'request_volume'), (6, 'availability_pct')) AS c(ordinal, name)""",
+    "val_schema": _with(
+        """SELECT i.input, CAST(c.ordinal AS BIGINT) AS ordinal, c.name AS required_column,
+                  NOT (i.input = 'without availability' AND c.name = 'availability_pct') AS present,
+                  CASE WHEN i.input = 'without availability' AND c.name = 'availability_pct' THEN 0
+                       WHEN c.name = 'cpu_utilization_pct' THEN (SELECT count(*) FROM lineitem WHERE l_orderkey % 89 <> 1)
+                       ELSE (SELECT count(*) FROM raw) END AS known_values
+           FROM (VALUES ('telemetry'), ('without availability')) AS i(input),
+                (VALUES (0, 'timestamp'), (1, 'environment_id'), (2, 'cpu_utilization_pct'), (3, 'memory_utilization_pct'),
+                        (4, 'latency_ms'), (5, 'request_volume'), (6, 'availability_pct')) AS c(ordinal, name)""",
+        "raw",
+    ),
     "val_timestamp": _with(
         """SELECT environment_id, count(*) AS row_count, count(*) FILTER (l_orderkey % 101 = 1) AS bad_timestamps,
                   CASE WHEN count(*) FILTER (l_orderkey % 101 = 1) > 0 THEN 'INVALID' ELSE 'VALID' END AS status

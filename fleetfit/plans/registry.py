@@ -205,7 +205,7 @@ def sink_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def val_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required columns of the merged histories and of the raw telemetry."""
+    """Required columns of the raw telemetry, whole and with a column missing."""
     raw = adapters.telemetry_raw(spark, sf_dir)
     whole = validation.schema_report(raw).withColumn("input", F.lit("telemetry"))
     part = validation.schema_report(raw.drop("availability_pct")).withColumn("input", F.lit("without availability"))

@@ -30,6 +30,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+ROWS_PER_PARTITION = 1_500_000
+
+
+def size_shuffles(spark: SparkSession, rows: int) -> None:
+    """Raise the number of shuffle partitions to the size of the input, never lower it.
+
+    Some 100 MB of telemetry per partition; adaptive execution merges what turns out smaller.
+    """
+    wanted = -(-rows // ROWS_PER_PARTITION)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables, as named by the cluster.
 

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fleetfit import session
 from fleetfit.operators import quantiles as Q
 
 PS = {"q0": 0.0, "q50": 0.5, "q90": 0.9, "q95": 0.95, "q100": 1.0}
@@ -88,3 +89,14 @@ def test_a_group_of_nulls_keeps_its_row(spark, large):
     df = frame(spark, {"a": [None, None]})
     (row,) = Q.grouped(df, ["environment_id"], {"p": ("v", 0.5)}, [F.count(F.lit(1)).alias("n")], large).collect()
     assert row.n == 2 and row.p is None
+
+
+def test_shuffles_grow_with_the_input_and_never_shrink(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        session.size_shuffles(spark, 10)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        session.size_shuffles(spark, 100 * session.ROWS_PER_PARTITION + 1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "101"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
