@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from fleetfit import schemas as S
+from fleetfit.functions.common import fixed
 
 # Gate codes in reporting order.
 NO_COST_BENEFIT = "NO_COST_BENEFIT"
@@ -35,7 +36,7 @@ def _over_limit(metric: str, peak: str, bound: str) -> Column:
     # Whole limits print without a decimal point.
     shown = F.when(limit == F.floor(limit), F.floor(limit).cast("string")).otherwise(limit.cast("string"))
     return F.concat(
-        F.format_string(f"Projected peak {metric} = %.1f%% exceeds safe limit (", F.col(peak)), shown, F.lit("%)")
+        F.lit(f"Projected peak {metric} = "), fixed(F.col(peak), 1), F.lit("% exceeds safe limit ("), shown, F.lit("%)")
     )
 
 
@@ -44,8 +45,8 @@ def _gate_texts() -> list[Column]:
     latency, availability = F.col("projected_p95_latency"), F.col("projected_availability")
     return [
         F.lit("Candidate does not provide cost benefit."),
-        F.format_string("Projected P95 latency = %.2f ms (Target violated)", latency),
-        F.format_string("Projected availability = %.2f%% (Target violated)", availability),
+        F.concat(F.lit("Projected P95 latency = "), fixed(latency, 2), F.lit(" ms (Target violated)")),
+        F.concat(F.lit("Projected availability = "), fixed(availability, 2), F.lit("% (Target violated)")),
         _over_limit("CPU", "peak_cpu", "max_cpu"),
         _over_limit("memory", "peak_mem", "max_mem"),
     ]

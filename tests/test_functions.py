@@ -1,13 +1,14 @@
 """Boundaries of the row functions."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetfit import schemas as S
 from fleetfit.functions import labels, performance
-from fleetfit.functions.common import nan_to_null, r6
+from fleetfit.functions.common import fixed, nan_to_null, r6
 
 
 def values(spark, column, rows, schema):
@@ -112,3 +113,13 @@ def test_accuracy(spark, predicted, observed, absolute, percent):
 def test_operational_risk(spark):
     got = values(spark, labels.operational_risk(F.col("d")), [(S.SAFE,), (S.UNSAFE,)], "d string")
     assert got == ["LOW", "HIGH"]
+
+
+def test_fixed_digits_round_the_binary_value(spark):
+    rng = random.Random(4)
+    hard = [97.25, 97.35, 0.35, 2.675, 0.125, 0.375, 99.995, 1.005, 8191.995, 8192.125, 150.0, 12345.675, 9.999, -2.5, -0.001, 3e9]
+    hard += [rng.randrange(0, 400000) / 1000 for _ in range(300)] + [rng.uniform(4, 20000) for _ in range(300)]
+    rows = spark.createDataFrame([(x,) for x in hard], "x double")
+    got = rows.select("x", fixed(F.col("x"), 1).alias("one"), fixed(F.col("x"), 2).alias("two")).collect()
+    assert not [r for r in got if (r.one, r.two) != (f"{r.x:.1f}", f"{r.x:.2f}")]
+    assert spark.range(1).select(fixed(F.lit(None).cast("double"), 1)).first()[0] is None
