@@ -1,8 +1,9 @@
 """The instance catalog: a small configuration object, never data.
 
 Type order matters (it breaks ties between candidates), so the catalog keeps an ordinal per type.
-Move tables derived from it are local relations whose exact size Spark knows, which is what lets
-the planner choose a broadcast join for them, and something else for an unusually large catalog.
+Tables derived from it are local relations of known size. Up to ``BROADCAST_ROWS`` rows they ask to
+be broadcast, whatever the session's threshold: a shuffle by instance type would gather a third of
+the telemetry in one task. Beyond that the planner decides by their size.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetfit.session import local_rows
 
+BROADCAST_ROWS = 100_000
+
 TYPE_COLUMNS = {
     "ordinal": pa.int32(),
     "instance_type": pa.string(),
@@ -30,6 +33,10 @@ MOVE_COLUMNS = {
 }
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 @dataclass(frozen=True)
 class InstanceType:
     name: str
@@ -44,7 +51,7 @@ class InstanceCatalog:
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t.name, t.vcpu, t.memory_gb, t.base_price) for i, t in enumerate(self.types)]
-        return local_rows(spark, rows, TYPE_COLUMNS)
+        return _small(local_rows(spark, rows, TYPE_COLUMNS), len(rows))
 
     def pairs(self, policy: str) -> list[tuple[InstanceType, InstanceType, int]]:
         """(current, candidate, candidate ordinal) for a policy.
@@ -80,7 +87,7 @@ class InstanceCatalog:
             (a.name, b.name, ordinal, a.vcpu / b.vcpu, a.memory_gb / b.memory_gb)
             for a, b, ordinal in self.pairs(policy)
         ]
-        return local_rows(spark, rows, MOVE_COLUMNS)
+        return _small(local_rows(spark, rows, MOVE_COLUMNS), len(rows))
 
 
 # The three types every published run uses, in catalog order.

@@ -52,9 +52,9 @@ CODE_OF_RULE = {
 
 
 def error_table(spark: SparkSession) -> DataFrame:
-    return local_rows(
-        spark, ERRORS, {"error_code": pa.string(), "reason": pa.string(), "recovery_action": pa.string()}
-    )
+    """The catalog as a table of 18 rows, small enough to broadcast in any session."""
+    columns = {"error_code": pa.string(), "reason": pa.string(), "recovery_action": pa.string()}
+    return F.broadcast(local_rows(spark, ERRORS, columns))
 
 
 def explained(failures: DataFrame) -> DataFrame:

@@ -177,7 +177,11 @@ def project_rows(
     if "candidate_instance_type" in moves.columns:
         on.append("candidate_instance_type")
     rows = with_profile_columns(telemetry, profiles, large)
-    rows = rows.join(moves.select(ENV, *on), ENV).join(
+    registered = moves.select(ENV, *on)
+    if large.every and large.bounded:
+        # Rows of a listed few: their moves are that few times the types at most.
+        registered = F.broadcast(registered.where(F.col(ENV).isin(*large.ids)))
+    rows = rows.join(registered, ENV).join(
         catalog.moves(spark, policy), on, "left" if unmoved else "inner"
     )
 

@@ -47,6 +47,18 @@ def test_profiles_and_baselines_share_that_exchange(spark):
     assert len(fact_exchanges(fleet.baseline())) == 1
 
 
+def test_without_automatic_broadcasts_only_the_registry_is_shuffled_to_the_telemetry(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(table_fleet(spark, TESTDATA).what_if("cheaper"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = re.findall(r"Exchange hashpartitioning\((\w+)#", text)
+    assert "SortMergeJoin [environment_id" in text and keys.count("environment_id") == 3
+    assert set(keys) == {"environment_id", "instance_type"}  # prices are aggregated by type
+
+
 def test_a_large_environment_is_spread_by_time(spark):
     fleet = table_fleet(spark, TESTDATA)
     hot = dataclasses.replace(fleet)
