@@ -67,6 +67,24 @@ def window_after(executed: DataFrame, readings: DataFrame, checkpoints: int = CH
     )
 
 
+def window_after_last(last: DataFrame, readings: DataFrame, checkpoints: int = CHECKPOINTS) -> DataFrame:
+    """``window_after`` for one migration per environment, such as the last one.
+
+    With one migration each, joining does not multiply readings, and the row-number filter leaves a
+    few rows per environment and map task before anything is shuffled for it.
+    """
+    after = readings.join(last.select(ENV, "migration_seq", "migrated_at"), ENV).where(F.col("ts") >= F.col("migrated_at"))
+    first = W.partitionBy(ENV).orderBy("ts", "reading_id")
+    after = after.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= checkpoints)
+    number = (F.col("_nth") - 1).cast("int")
+    return (
+        after.withColumn("checkpoint_no", number)
+        .withColumn("checkpoint", F.concat(F.lit("T+"), number.cast("string")))
+        .withColumn("health_status", labels.health(*[F.col(c) for c in READING]))
+        .select(ENV, "migration_seq", "checkpoint_no", "checkpoint", "ts", *READING, "health_status")
+    )
+
+
 def first_readings(readings: DataFrame, checkpoints: int = CHECKPOINTS) -> DataFrame:
     """The first readings of each environment with their health.
 
@@ -92,7 +110,7 @@ def verdicts(checkpoints: DataFrame, keys: list[str]) -> DataFrame:
 def rollback_list(audit: DataFrame, readings: DataFrame) -> DataFrame:
     """Environments to restore, with the type to restore, judged on their last migration."""
     last = latest_migrations(audit)
-    judged = verdicts(window_after(last, readings), [ENV, "migration_seq"])
+    judged = verdicts(window_after_last(last, readings), [ENV, "migration_seq"])
     return last.join(judged.where(F.col("verdict") == labels.ROLLBACK), [ENV, "migration_seq"]).select(
         ENV,
         "migration_seq",

@@ -747,7 +747,7 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def view_infra(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
     last = health.latest_migrations(adapters.audit(spark, sf_dir))
-    judged = health.verdicts(health.window_after(last, adapters.readings(spark, sf_dir)), [ENV])
+    judged = health.verdicts(health.window_after_last(last, adapters.readings(spark, sf_dir)), [ENV])
     return shown(views.infrastructure_view(fleet.decided("step_down"), judged))
 
 
@@ -876,7 +876,7 @@ def accuracy_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accuracy_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
     last = health.latest_migrations(adapters.audit(spark, sf_dir))
-    observed = health.last_checkpoint(health.window_after(last, adapters.readings(spark, sf_dir)))
+    observed = health.last_checkpoint(health.window_after_last(last, adapters.readings(spark, sf_dir)))
     return shown(accuracy.compare(fleet.what_if("step_down"), observed))
 
 

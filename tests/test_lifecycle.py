@@ -80,6 +80,22 @@ def test_window_after_equals_brute_force(spark):
     assert {r.checkpoint for r in got} == {f"T+{i}" for i in range(5)}
 
 
+def test_window_after_the_last_migration_equals_the_general_form(spark):
+    rng = np.random.default_rng(12)
+    readings, events = [], []
+    for i in range(1500):
+        env, at = f"e{rng.integers(0, 9)}", START + timedelta(minutes=int(rng.integers(0, 900)))
+        readings.append((env, at, i, float(rng.integers(0, 100)), 40.0, 60.0, 100.0))
+        if rng.random() < 0.1:
+            events.append((env, i, at, health.EXECUTED, "", "medium", "small"))
+    last = health.latest_migrations(spark.createDataFrame(events, LEDGER))
+    seen = spark.createDataFrame(readings, READING)
+    general, special = health.window_after(last, seen), health.window_after_last(last, seen)
+    assert sorted(general.collect()) == sorted(special.collect()) and special.columns == general.columns
+    text = special._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit") == 2
+
+
 @pytest.mark.parametrize(
     "cpus, latency, verdict",
     [
