@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetfit.llm import exact_dedup
+from fleetfit.llm import bpe, exact_dedup, mixing, token_counts
 from fleetfit.llm.common import table
 
+#: The tokenizer file that the queries use, by its public name.
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,10 +22,36 @@ def query(build):
     return build
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *columns)
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document the mix takes."""
+    return mixing.mix(documents(spark, sf_dir, "text", "source")).drop("source")
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts, as digests."""
+    found = bpe.encode_documents(documents(spark, sf_dir, "text"), public_tokenizers.path(TOKENIZER))
+    return found.select(
+        "doc_id", "n_tokens", bpe.digest("ids").alias("ids_sha256"), bpe.digest("decoded").alias("decoded_sha256")
+    )
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts; the cache begins empty."""
+    cache = token_counts.new_cache(spark)
+    return token_counts.token_counts(documents(spark, sf_dir, "text"), public_tokenizers.path(TOKENIZER), cache)
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal texts stays."""
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir, "text"))
 
 
 ORACLES["op8_exact_dedup"] = """
@@ -29,3 +59,36 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+ORACLES["op3_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), t AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM d GROUP BY source
+), b AS (
+  SELECT *, 3 * source_size AS most, sum(source_size) OVER ()::BIGINT AS all_size, sum(weight) OVER ()::BIGINT AS all_weight,
+         coalesce(sum(3 * source_size) OVER f, 0)::BIGINT AS most_before, coalesce(sum(weight) OVER f, 0)::BIGINT AS weight_before
+  FROM t WINDOW f AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c AS (
+  SELECT *, most * (all_weight - weight_before) <= (all_size - most_before) * weight AS limited FROM b
+), g AS (
+  SELECT source, source_size, most,
+         CASE WHEN limited THEN most::DOUBLE
+              ELSE (all_size - coalesce(sum(most) FILTER (limited) OVER (), 0))::BIGINT::DOUBLE
+                   / (all_weight - coalesce(sum(weight) FILTER (limited) OVER (), 0))::BIGINT::DOUBLE * weight END AS target
+  FROM c
+), w AS (
+  SELECT *, least(floor(target + 0.5)::BIGINT, most) AS words FROM g
+), s AS (
+  SELECT doc_id, size, w.source_size, target, words,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0
+            ELSE (words // source_size) * size + greatest(0, least(start + size, words % source_size) - start) END::BIGINT AS taken
+FROM s
+"""
