@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetfit.llm import bpe, exact_dedup, mixing, token_counts
+from fleetfit.llm import bpe, exact_dedup, html_extract, mixing, pii, syncmers, token_counts, toxicity
 from fleetfit.llm.common import table
 
 #: The tokenizer file that the queries use, by its public name.
@@ -26,12 +26,37 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
+@query
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model trained outside the held-out fold."""
+    docs = documents(spark, sf_dir, "text")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document the mix takes."""
     return mixing.mix(documents(spark, sf_dir, "text", "source")).drop("source")
 
 
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data; counts and digest are those of the base spans."""
+    found = pii.personal_data(documents(spark, sf_dir, "text"))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts, as digests."""
@@ -54,6 +79,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir, "text"))
 
 
+@query
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and edited texts, and how alike they are."""
+    return syncmers.edited_likeness(documents(spark, sf_dir, "text"))
+
+
 ORACLES["op8_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
