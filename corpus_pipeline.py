@@ -4,24 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetfit.llm import exact_dedup
+from fleetfit.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from fleetfit.llm.common import stored, table
+from fleetfit.llm.queries import TOKENIZER
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it is trained on labels outside the held-out fold."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by five-word shingles at a similarity of 0.8 or more the one with the smallest id stays."""
+    return jaccard_join.one_of_each(docs, words=5, num=80, den=100)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, repeated or left out so that each source's words come near its target."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and digests of the ids and of the text that they decode to."""
+    found = bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER))
+    return found.select(
+        "doc_id", "n_tokens", "ids", bpe.digest("ids").alias("ids_sha256"), bpe.digest("decoded").alias("decoded_sha256")
+    )
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
 ]
 
-#: Not expressible in SQL: a learned filter and a tokenizer; tested against a brute-force version.
+#: A learned filter and a tokenizer cannot be said in SQL; tested against a brute-force version instead.
 ORACLE_SQL = None
 
 

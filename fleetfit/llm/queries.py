@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetfit.llm import bpe, exact_dedup, html_extract, mixing, pii, syncmers, token_counts, toxicity
+from fleetfit.llm import bpe, exact_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, syncmers, token_counts, toxicity
 from fleetfit.llm.common import table
 
 #: The tokenizer file that the queries use, by its public name.
@@ -73,12 +73,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir, "text"), public_tokenizers.path(TOKENIZER), cache)
 
 
+@query
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those outside the held-out tenth."""
+    return ngram_lm.held_out_scores(documents(spark, sf_dir, "text"))
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal texts stays."""
     return exact_dedup.exact_duplicates(documents(spark, sf_dir, "text"))
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their three-word shingles."""
+    return jaccard_join.jaccard_components(documents(spark, sf_dir, "text"), words=3, num=90, den=100)
+
+
 @query
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of texts and edited texts, and how alike they are."""
