@@ -128,8 +128,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(text_of().cast("binary"), 256))
-    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_sha"] == kept["_sha"]), "left_semi")
-    first = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(1))
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_sha")
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    keyed = docs.withColumn("_row_sha", F.sha2(text_of().cast("binary"), 256))
+    same = keyed["doc_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_row_sha"] == kept["_kept_sha"])
+    first = Window.partitionBy("doc_id", "_row_sha").orderBy(F.lit(1))
+    rows = keyed.join(kept, same, "left_semi").withColumn("_row_no", F.row_number().over(first))
+    return rows.where("_row_no = 1").select(*docs.columns)

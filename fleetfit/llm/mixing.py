@@ -174,8 +174,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     found = mix(docs).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count(F.lit(1))).alias("words"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("words") / F.col("size") + 0.5)).cast("int")
-    times = found.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), times.alias("times"))
-    sized = docs.withColumn("_size", F.size(F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z"))
-    rows = sized.join(times, same).where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "times")))
+    times = found.select(
+        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), times.alias("_mix_times")
+    )
+    sized = docs.withColumn("_own_size", F.size(F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))).cast("long"))
+    same = sized["doc_id"].eqNullSafe(times["_mix_id"]) & sized["source"].eqNullSafe(times["_mix_source"]) & (sized["_own_size"] == times["_mix_size"])
+    rows = sized.join(times, same).where("_mix_times > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_times")))
     return rows.select(*docs.columns)
