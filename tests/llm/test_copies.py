@@ -6,6 +6,8 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from text_fixtures import documents  # noqa: F401
+from fleetfit.llm import components as connected
 from fleetfit.llm import exact_dedup, jaccard_join, syncmers
 from pyspark.sql import functions as F
 
@@ -142,3 +144,17 @@ def test_edited_texts(documents):
             assert edited != text or r.near_edited == 1
     # The two texts without words have the same, empty fingerprint.
     assert {r.fingerprint for r in found if r.doc_id in (900, 901)} == {""}
+
+
+@pytest.mark.parametrize("tasks", [1, 6])
+def test_connected_components(spark, tasks):
+    """Chains, stars and cycles, contracted in one task or in several."""
+    random.seed(9)
+    nodes = random.sample(range(10**12), 400)
+    edges = [(nodes[i], nodes[i + 1]) for i in range(0, 120)] + [(nodes[150], n) for n in nodes[151:260]]
+    edges += [(a, b) for a, b in zip(nodes[300:340], nodes[301:340] + [nodes[300]])] + [(nodes[399], nodes[399])]
+    random.shuffle(edges)
+    table = spark.createDataFrame(edges + edges[:50], "u long, v long").repartition(6)
+    found = {r.node: r.label for r in connected.components(table, -(-table.count() // tasks)).collect()}
+    parts = [nodes[:121], nodes[150:260], nodes[300:340]]
+    assert found == {n: min(p) for p in parts for n in p}

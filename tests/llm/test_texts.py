@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from text_fixtures import documents  # noqa: F401
 from fleetfit.llm import html_extract, pii, toxicity
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>";</script></head><body>

@@ -9,6 +9,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from text_fixtures import documents  # noqa: F401
 from fleetfit.llm import bpe, mixing, ngram_lm, token_counts, wordhash, wordpieces
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
