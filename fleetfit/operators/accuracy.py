@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetfit.functions import labels
 from fleetfit.operators.projection import ENV
+from fleetfit.operators.whatif import MOVE
 
 # Metric name -> (predicted column, observed column).
 COMPARED = {
@@ -24,7 +25,11 @@ def with_errors(rows: DataFrame, predicted: str = "predicted", observed: str = "
 
 
 def compare(predictions: DataFrame, observations: DataFrame) -> DataFrame:
-    """One row per environment and metric; a missing value counts as 0."""
+    """One row per migrated environment and metric; a missing value counts as 0.
+
+    An observation meets the prediction of the very move that was made: environment, type before
+    and type after.
+    """
     pairs = F.array(
         *[
             F.struct(
@@ -35,5 +40,5 @@ def compare(predictions: DataFrame, observations: DataFrame) -> DataFrame:
             for name, (predicted, observed) in COMPARED.items()
         ]
     )
-    joined = predictions.join(observations, ENV)
+    joined = predictions.join(observations, MOVE)
     return with_errors(joined.select(ENV, F.explode(pairs).alias("_pair")).select(ENV, "_pair.*"))

@@ -18,6 +18,11 @@ def with_headroom(decided: DataFrame) -> DataFrame:
     return decided.withColumn("headroom", F.when(F.col("peak_cpu").isNotNull(), spare))
 
 
+def keys_of(decided: DataFrame) -> list[str]:
+    """A choice is made per environment and, where there are several, per set of assumptions."""
+    return [c for c in (ENV, "variant_id") if c in decided.columns]
+
+
 def _pick(decided: DataFrame, catalog: InstanceCatalog) -> tuple[DataFrame, Column, Column]:
     """Decided rows with headroom and ordinal, the chosen row and its order (null if not eligible)."""
     order = catalog.table(decided.sparkSession).select(
@@ -25,31 +30,28 @@ def _pick(decided: DataFrame, catalog: InstanceCatalog) -> tuple[DataFrame, Colu
     )
     rows = with_headroom(decided).join(order, "candidate_instance_type", "left")
     eligible = (F.col("decision") == S.SAFE) & (F.col("headroom") > LEAST_HEADROOM) & F.col("candidate_ordinal").isNotNull()
-    chosen = F.struct(*[F.col(c) for c in rows.columns if c != ENV])
+    chosen = F.struct(*[F.col(c) for c in rows.columns if c not in keys_of(decided)])
     return rows, chosen, F.when(eligible, F.struct(-F.col("headroom"), F.col("candidate_ordinal")))
 
 
 def best_candidate(decided: DataFrame, catalog: InstanceCatalog) -> DataFrame:
-    """The safe candidate of most headroom per environment, ties by catalog order."""
+    """The safe candidate of most headroom per environment and variant, ties by catalog order."""
     rows, chosen, order = _pick(decided, catalog)
-    return (
-        rows.where(order.isNotNull())
-        .groupBy(ENV)
-        .agg(F.min_by(chosen, order).alias("_best"))
-        .select(ENV, "_best.*")
-    )
+    keys = keys_of(decided)
+    return rows.where(order.isNotNull()).groupBy(*keys).agg(F.min_by(chosen, order).alias("_best")).select(*keys, "_best.*")
 
 
 def best_or_none(decided: DataFrame, catalog: InstanceCatalog) -> DataFrame:
-    """Per environment with telemetry: the best candidate (or nulls), its cost today and the best
-    saving among the moves the gate blocks, in one aggregation.
+    """Per environment with telemetry (and variant): the best candidate (or nulls), its cost today and
+    the best saving among the moves the gate blocks, in one aggregation.
 
     Expects what-if rows of the ``cheaper`` policy with ``unmoved`` environments kept.
     """
     rows, chosen, order = _pick(decided, catalog)
     blocked = F.col("candidate_instance_type").isNotNull() & (F.col("decision") != S.SAFE)
+    keys = keys_of(decided)
     return (
-        rows.groupBy(ENV)
+        rows.groupBy(*keys)
         .agg(
             F.min_by(chosen, order).alias("_best"),
             F.max("baseline_monthly_cost").alias("current_monthly_cost"),
@@ -57,7 +59,7 @@ def best_or_none(decided: DataFrame, catalog: InstanceCatalog) -> DataFrame:
             F.max("row_count").alias("readings"),
         )
         .select(
-            ENV,
+            *keys,
             "current_monthly_cost",
             "best_unsafe_saving",
             "readings",
@@ -80,6 +82,6 @@ def selection(environments: DataFrame, best: DataFrame) -> DataFrame:
 def prevented_by_gate(naive: DataFrame, decided_step_down: DataFrame) -> DataFrame:
     """Environments the naive rule would shrink although the gate blocks the same move."""
     blocked = decided_step_down.where(F.col("decision") != S.SAFE).select(
-        ENV, F.col("candidate_instance_type").alias("recommended"), "decision", "reason_codes"
+        *keys_of(decided_step_down), F.col("candidate_instance_type").alias("recommended"), "decision", "reason_codes"
     )
     return naive.where(F.col("recommended").isNotNull()).join(blocked, [ENV, "recommended"])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from fleetfit.functions import labels
 from fleetfit.operators.projection import ENV
 from fleetfit.operators.ranking import position_in_group
+from fleetfit.session import written
 
 CHECKPOINTS = 5
 EXECUTED = "MIGRATION_EXECUTED"
@@ -48,14 +49,21 @@ def window_after(executed: DataFrame, readings: DataFrame, checkpoints: int = CH
     common time line and asks for the next numbers, which is an equality join.
     """
     order = F.date_trunc("minute", "ts")
-    numbered = position_in_group(readings, [ENV], order, ["ts", "reading_id"], "_nth")
-    line = readings.select(ENV, "ts", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("migration_seq")).unionByName(
-        executed.select(ENV, F.col("migrated_at").alias("ts"), F.lit(0).alias("_kind"), "migration_seq")
+    none = F.lit(None)
+    line = readings.select(
+        ENV, "ts", F.lit(1).alias("_kind"), none.cast("long").alias("migration_seq"), "reading_id", *READING
+    ).unionByName(
+        executed.select(ENV, F.col("migrated_at").alias("ts"), F.lit(0).alias("_kind"), "migration_seq"), allowMissingColumns=True
     )
-    # At equal times the migration comes first, so a reading of that instant belongs to it.
-    line = position_in_group(
-        line, [ENV], order, ["ts", "_kind", "migration_seq"], "_seen", counted=F.col("_kind") == 1
+    # At equal times the migration comes first, so a reading of that instant belongs to it. A reading's
+    # own count is its number; both sides of the join below are read from the one numbered line.
+    line = written(
+        position_in_group(
+            line, [ENV], order, ["ts", "_kind", "migration_seq", "reading_id"], "_seen", counted=F.col("_kind") == 1
+        ),
+        "time-line",
     )
+    numbered = line.where("_kind = 1").select(ENV, "ts", F.col("_seen").alias("_nth"), *READING)
     wanted = line.where("_kind = 0").select(
         ENV, "migration_seq", F.posexplode(F.sequence(F.col("_seen") + 1, F.col("_seen") + checkpoints)).alias("_t", "_nth")
     )
@@ -85,6 +93,12 @@ def window_after_last(last: DataFrame, readings: DataFrame, checkpoints: int = C
     )
 
 
+def finalised(checkpoints: DataFrame) -> DataFrame:
+    """The checkpoints of migrations that are kept: those whose window does not ask for a rollback."""
+    kept = verdicts(checkpoints, [ENV, "migration_seq"]).where(F.col("verdict") != labels.ROLLBACK)
+    return checkpoints.join(kept.select(ENV, "migration_seq"), [ENV, "migration_seq"], "left_semi")
+
+
 def first_readings(readings: DataFrame, checkpoints: int = CHECKPOINTS) -> DataFrame:
     """The first readings of each environment with their health.
 
@@ -128,3 +142,10 @@ def last_checkpoint(checkpoints: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct(*READING), F.col("checkpoint_no")).alias("_last"))
         .select(ENV, "_last.*")
     )
+
+
+def observed_moves(last: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """The last checkpoint of each migration that is kept, with the move that was made."""
+    types = {"current_instance": "current_instance_type", "candidate_instance": "candidate_instance_type"}
+    moves = last.select(ENV, *types).withColumnsRenamed(types)
+    return last_checkpoint(finalised(checkpoints)).join(moves, ENV)

@@ -69,8 +69,13 @@ def with_variant_columns(rows: DataFrame, variants: tuple[Variant, ...]) -> Data
 
 def spike_key() -> Column:
     """Stable pseudo-random order of an environment's rows."""
-    stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return F.md5(F.concat(F.col(ENV), F.lit("|"), stamp).cast("binary"))
+    stamp = F.coalesce(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))
+    return F.md5(F.concat(F.coalesce(F.col(ENV), F.lit("")), F.lit("|"), stamp).cast("binary"))
+
+
+def time_order(telemetry: DataFrame) -> list[str]:
+    """Columns that put an environment's rows in order of time, equal times by their measurements."""
+    return ["timestamp", *sorted(m for m in S.METRICS if m in telemetry.columns)]
 
 
 def with_profile_columns(
@@ -79,11 +84,12 @@ def with_profile_columns(
     """Adds what the profiles need to know about a row's environment, as far as it is needed.
 
     ``is_peak``: at or above the environment's P90 of requests. ``is_spike``: among the first 5
-    percent (at least one) of its rows in a hashed order. ``position``: 0-based row number in time.
+    percent (at least one) of its rows in a hashed order, with all rows of the last key.
+    ``position``: 0-based row number in time, null times first.
 
     Environments of a known bound are handled by windows over one exchange by environment, which
-    the following aggregation reuses; large ones by counts per minute and per hash prefix. Expects
-    unique (timestamp, environment) keys, as validation leaves them.
+    the following aggregation reuses; large ones by counts per minute and per hash prefix. Both give
+    the same, also for repeated keys and null timestamps.
     """
     if not profiles & {"peak", "bursty", "seasonal"}:
         return telemetry
@@ -108,11 +114,13 @@ def _by_windows(telemetry: DataFrame, profiles: set[str]) -> DataFrame:
         rows = rows.withColumn("is_peak", F.col("request_volume") >= p90)
     if "bursty" in profiles:
         rows = rows.withColumn("_key", spike_key())
-        nth = F.row_number().over(environment.orderBy("_key", "timestamp"))
+        rows = rows.withColumn("_nth", F.row_number().over(environment.orderBy("_key")))
         quota = _spike_quota(F.count(F.lit(1)).over(environment))
-        rows = rows.withColumn("is_spike", nth <= quota).drop("_key")
+        rows = rows.withColumn("_at", F.col("_nth") == quota)
+        last = F.max(F.when(F.col("_at"), F.col("_key"))).over(environment)
+        rows = rows.withColumn("is_spike", F.col("_key") <= last).drop("_key", "_nth", "_at")
     if "seasonal" in profiles:
-        nth = F.row_number().over(environment.orderBy("timestamp"))
+        nth = F.row_number().over(environment.orderBy(*time_order(telemetry)))
         rows = rows.withColumn("position", nth.cast("long") - 1)
     return rows
 
@@ -120,21 +128,21 @@ def _by_windows(telemetry: DataFrame, profiles: set[str]) -> DataFrame:
 def _by_counts(telemetry: DataFrame, profiles: set[str], large: LargeGroups) -> DataFrame:
     """The same columns with nothing but counts gathered per environment.
 
-    One row per environment is joined back; it is broadcast where the large ones are a listed few,
-    else left to the planner, which splits hot keys.
+    One row per environment is joined back, by the planner's choice: hot keys are split.
     """
-    hint = F.broadcast if large.bounded else (lambda df: df)
     rows = telemetry
+    own = F.col(ENV).eqNullSafe(F.col("_env"))
     if "peak" in profiles:
         p90 = grouped(telemetry, [ENV], {"_p90": ("request_volume", P.PEAK_QUANTILE)}, [], large)
-        rows = rows.join(hint(p90), ENV, "left").withColumn("is_peak", F.col("request_volume") >= F.col("_p90")).drop("_p90")
+        rows = rows.join(p90.withColumnRenamed(ENV, "_env"), own, "left")
+        rows = rows.withColumn("is_peak", F.col("request_volume") >= F.col("_p90")).drop("_p90", "_env")
     if "bursty" in profiles:
         keys = telemetry.select(ENV, spike_key().alias("_key"))
         keys = position_in_group(keys, [ENV], F.substring("_key", 1, 4), ["_key"], "_nth", total="_rows")
-        last = keys.where(F.col("_nth") == _spike_quota(F.col("_rows"))).select(ENV, F.col("_key").alias("_last"))
-        rows = rows.join(hint(last), ENV, "left").withColumn("is_spike", spike_key() <= F.col("_last")).drop("_last")
+        last = keys.where(F.col("_nth") == _spike_quota(F.col("_rows"))).select(F.col(ENV).alias("_env"), F.col("_key").alias("_last"))
+        rows = rows.join(last, own, "left").withColumn("is_spike", spike_key() <= F.col("_last")).drop("_last", "_env")
     if "seasonal" in profiles:
-        rows = position_in_group(rows, [ENV], F.date_trunc("minute", "timestamp"), ["timestamp"], "_nth")
+        rows = position_in_group(rows, [ENV], F.date_trunc("minute", "timestamp"), time_order(telemetry), "_nth")
         rows = rows.withColumn("position", F.col("_nth") - 1).drop("_nth")
     return rows
 
@@ -177,10 +185,8 @@ def project_rows(
     if "candidate_instance_type" in moves.columns:
         on.append("candidate_instance_type")
     rows = with_profile_columns(telemetry, profiles, large)
-    registered = moves.select(ENV, *on)
-    if large.every and large.bounded:
-        # Rows of a listed few: their moves are that few times the types at most.
-        registered = F.broadcast(registered.where(F.col(ENV).isin(*large.ids)))
+    # A move or a registry row that is repeated is one move.
+    registered = moves.select(ENV, *on).distinct()
     rows = rows.join(registered, ENV).join(
         catalog.moves(spark, policy), on, "left" if unmoved else "inner"
     )

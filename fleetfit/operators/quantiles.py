@@ -17,31 +17,30 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fleetfit.session import written
+
 GROUP_LIMIT = 250_000
-MAX_LISTED_GROUPS = 500
 LOG_STEPS = 512
 LINEAR_STEPS = 4096
 
 
 @dataclass(frozen=True)
 class LargeGroups:
-    """Groups above the limit: none, a short list of ids, or too many to list (``every``).
+    """Groups above the limit: named by the caller (``ids``) or found (``table``, a stored column of ids).
 
-    ``every`` treats all rows as rows of large groups; ``rows`` is the number of rows looked at.
+    ``every`` says that all rows belong to large groups; ``rows`` is the number of rows looked at;
+    ``strangers`` tells that an unknown id has as many rows.
     """
 
     key: str
     ids: tuple[str, ...] = ()
+    table: DataFrame | None = None
     every: bool = False
     rows: int = 0
+    strangers: bool = False
 
     def __bool__(self) -> bool:
-        return self.every or bool(self.ids)
-
-    @property
-    def bounded(self) -> bool:
-        """The large groups are a listed few, so one row each may be broadcast."""
-        return bool(self.ids)
+        return self.every or bool(self.ids) or self.table is not None
 
     def inside(self) -> "LargeGroups":
         """For rows that are known to belong to the large groups only."""
@@ -53,6 +52,8 @@ class LargeGroups:
             return rows, None
         if self.every:
             return None, rows
+        if self.table is not None:
+            return rows.join(self.table, self.key, "left_anti"), rows.join(self.table, self.key, "left_semi")
         listed = F.coalesce(F.col(self.key).isin(*self.ids), F.lit(False))
         return rows.where(~listed), rows.where(listed)
 
@@ -60,21 +61,26 @@ class LargeGroups:
 NO_LARGE_GROUPS = LargeGroups("environment_id")
 
 
-def find_large_groups(rows: DataFrame, key: str = "environment_id", limit: int = GROUP_LIMIT) -> LargeGroups:
+def find_large_groups(
+    rows: DataFrame, key: str = "environment_id", limit: int = GROUP_LIMIT, known: DataFrame | None = None
+) -> LargeGroups:
     """Look at the row counts of ``rows`` (an upper bound is fine, so pass unvalidated input).
 
     A table of at most ``limit`` rows is settled by its total, which for parquet comes from the
-    footers. Beyond that one partially aggregated count per key decides. At most
-    ``MAX_LISTED_GROUPS`` + 1 ids reach the driver.
+    footers. Beyond that one partially aggregated count per key decides. With ``known`` only its ids
+    can make a group large: rows of others are dropped before they are brought together. The ids
+    found stay a table, however many they are.
     """
     total = rows.count()
     if total <= limit:
         return LargeGroups(key, rows=total)
-    big = rows.groupBy(key).count().where(F.col("count") > limit).select(key)
-    ids = [r[0] for r in big.limit(MAX_LISTED_GROUPS + 1).collect()]
-    if len(ids) > MAX_LISTED_GROUPS:
-        return LargeGroups(key, every=True, rows=total)
-    return LargeGroups(key, ids=tuple(ids), rows=total)
+    big = written(rows.groupBy(key).count().where(F.col("count") > limit).select(key), "large-groups")
+    strangers = False
+    if known is not None:
+        strangers = not big.join(known.select(key), key, "left_anti").isEmpty()
+        big = big.join(known.select(key), key, "left_semi")
+    table = None if big.isEmpty() else big
+    return LargeGroups(key, table=table, rows=total, strangers=strangers)
 
 
 def grouped(
@@ -94,7 +100,7 @@ def grouped(
     if usual is not None:
         parts.append(_one_aggregation(usual, keys, percentiles, aggregates, approx))
     if big is not None:
-        parts.append(_split_aggregation(big, keys, percentiles, aggregates, large.bounded))
+        parts.append(_split_aggregation(big, keys, percentiles, aggregates))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -115,26 +121,22 @@ def _one_aggregation(rows, keys, percentiles, aggregates, approx) -> DataFrame:
     return out.drop(*[f"_pct_{c}" for c in wanted])
 
 
-def _split_aggregation(rows, keys, percentiles, aggregates, bounded) -> DataFrame:
-    # A group of nulls only has no percentile but keeps its row.
+def _split_aggregation(rows, keys, percentiles, aggregates) -> DataFrame:
+    # A group of nulls only has no percentile but keeps its row; a null key is a key.
     base = rows.groupBy(*keys).agg(*aggregates) if aggregates else rows.select(*keys).distinct()
-    quantiles = split_percentiles(rows, keys, percentiles, bounded)
-    return base.join(quantiles, keys, "left")
+    quantiles = split_percentiles(rows, keys, percentiles).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return base.join(quantiles, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def split_percentiles(
-    rows: DataFrame, keys: list[str], percentiles: dict[str, tuple[str, float]], bounded: bool = False
-) -> DataFrame:
+def split_percentiles(rows: DataFrame, keys: list[str], percentiles: dict[str, tuple[str, float]]) -> DataFrame:
     """Exact percentiles by narrowing value ranges; one row per key with a column per alias.
 
     Pass 1 counts the values of each group per logarithmic range (a few thousand ranges at most,
     whatever the group size) and finds the range holding each wanted rank. Pass 2 cuts those ranges
     into equal steps, pass 3 counts the distinct values of the one step that is left. Every count is
-    partially aggregated before its shuffle and every window runs over ranges, not over rows.
-
-    ``bounded`` says the caller knows the number of groups is small (a listed few), which bounds the
-    range selections and allows broadcasting them. Otherwise equal values are counted together
-    first, so that the joins below never see a value that fills a partition.
+    partially aggregated before its shuffle and every window runs over ranges, not over rows. Equal
+    values are counted together first, so that the joins never see a value that fills a partition.
     """
     metrics = sorted({column for column, _ in percentiles.values()})
     values = rows.select(
@@ -145,10 +147,7 @@ def split_percentiles(
     ).select(*keys, "_m._metric", "_m._v")
     # + 0.0 folds negative zero, so that equal values fall together.
     values = values.where(F.col("_v").isNotNull()).withColumn("_v", F.col("_v") + F.lit(0.0))
-    if bounded:
-        values = values.withColumn("_w", F.lit(1).cast("long"))
-    else:
-        values = values.groupBy(*keys, "_metric", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    values = values.groupBy(*keys, "_metric", "_v").agg(F.count(F.lit(1)).alias("_w"))
     # Monotone in the value, so ranges are ordered like the values they hold.
     values = values.withColumn(
         "_range", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * F.lit(float(LOG_STEPS))).cast("long")
@@ -191,12 +190,10 @@ def split_percentiles(
             (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_local"),
         )
     )
-    hint = F.broadcast if bounded else (lambda df: df)
-
     # Pass 2: equal steps inside the chosen ranges.
     chosen = targets.select(*group, "_range", "_lo", "_hi").distinct()
     width = F.col("_hi") - F.col("_lo")
-    inside = values.join(hint(chosen), group + ["_range"]).withColumn(
+    inside = values.join(chosen, group + ["_range"]).withColumn(
         "_step",
         F.when(width == 0, F.lit(0)).otherwise(F.floor((F.col("_v") - F.col("_lo")) / width * LINEAR_STEPS)).cast("long"),
     )
@@ -218,7 +215,7 @@ def split_percentiles(
 
     # Pass 3: distinct values inside the chosen steps.
     in_step = in_range + ["_step"]
-    few = inside.join(hint(step_targets.select(*in_step).distinct()), in_step, "left_semi")
+    few = inside.join(step_targets.select(*in_step).distinct(), in_step, "left_semi")
     counts = few.groupBy(*in_step, "_v").agg(F.sum("_w").alias("_n"))
     counts = counts.withColumn("_upto", F.sum("_n").over(_running(in_step, "_v")))
     found = (

@@ -32,11 +32,14 @@ def position_in_group(
     if total:
         sizes = sizes.withColumn(total, F.sum("_size").over(W.partitionBy(*keys)))
     within = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # A null key or bucket is a value like any other: no row may be lost.
+    sizes = sizes.drop("_size").withColumnsRenamed({p: f"_s{p}" for p in parts})
+    same = [F.col(p).eqNullSafe(F.col(f"_s{p}")) for p in parts]
     return (
         tagged.withColumn("_local", F.sum("_one").over(within))
-        .join(sizes.drop("_size"), parts)
+        .join(sizes, same)
         .withColumn(out, F.col("_before") + F.col("_local"))
-        .drop("_bucket", "_one", "_local", "_before")
+        .drop("_bucket", "_one", "_local", "_before", *[f"_s{p}" for p in parts])
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import pyarrow as pa
@@ -33,24 +33,31 @@ class Fleet:
 
     @cached_property
     def large(self) -> LargeGroups:
-        found = find_large_groups(self.raw)
-        session.size_shuffles(self.spark, found.rows)
-        return found
+        """Registered environments of many rows."""
+        return find_large_groups(self.raw, known=self.environments)
 
-    @cached_property
+    @property
     def input(self) -> DataFrame:
-        """The raw telemetry, brought together by environment unless an environment is large.
+        """The raw telemetry with the rows of unregistered ids, as the validation report needs them."""
+        return self.raw
+
+    @cached_property
+    def known(self) -> DataFrame:
+        """The raw telemetry, brought together by environment unless a registered one is large.
 
         Keep-first, the registry joins, the windows of the profiles and the aggregations all run on
         this one exchange. With a large environment rows stay spread by (timestamp, environment).
+        Rows of an unregistered id, if they are many, are dropped before the exchange.
         """
-        return self.raw if self.large else self.raw.repartition(ENV)
+        strangers = self.validate and self.large.strangers
+        rows = validation.known_environments(self.raw, self.environments) if strangers else self.raw
+        return rows if self.large else rows.repartition(session.partitions_for(self.spark, self.large.rows), ENV)
 
     @cached_property
     def telemetry(self) -> DataFrame:
         if not self.validate:
-            return validation.without_nan(self.input.drop(*self.order))
-        return validation.clean(self.input, self.order, self.environments)
+            return validation.without_nan(self.known.drop(*self.order))
+        return validation.clean(self.known, self.order, self.environments)
 
     @cached_property
     def table(self) -> DataFrame:
@@ -79,13 +86,14 @@ class Fleet:
     ) -> DataFrame:
         """Decided what-if rows of named (environment, current type, candidate) moves.
 
-        The environments are filtered before anything else, so the filter reaches the scan. A move
+        The environments are filtered before anything else, so the filter reaches the scan and only
+        their rows are counted. A move
         whose environment has no telemetry is INSUFFICIENT DATA.
         """
         requests = session.local_rows(self.spark, moves, {name: pa.string() for name in whatif.MOVE})
-        telemetry = self.telemetry.where(F.col(ENV).isin([m[0] for m in moves]))
+        named = replace(self, raw=self.raw.where(F.col(ENV).isin([m[0] for m in moves])))
         result = whatif.what_if(
-            telemetry, requests, self.pricing, self.catalog, variants=variants, large=self.large, **options
+            named.passes, requests, self.pricing, self.catalog, variants=variants, large=named.large, **options
         )
         return whatif.decide(whatif.keep_all_moves(requests, result), texts=True)
 
@@ -96,7 +104,7 @@ class Fleet:
         return portfolio.detail(self.passes, self.environments, self.pricing, self.catalog, self.large)
 
     def naive(self) -> DataFrame:
-        return whatif.naive_step_down(self.telemetry, self.environments, self.catalog)
+        return whatif.naive_step_down(self.passes, self.environments, self.catalog)
 
 
 def table_fleet(spark: SparkSession, sf_dir: str) -> Fleet:

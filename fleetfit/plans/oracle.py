@@ -286,7 +286,7 @@ def _model(policy: str | None = None, variants: list[dict] | None = None, moves:
         "best": f"""
             SELECT * FROM (
                 SELECT d.*, least(100 - peak_cpu, 100 - peak_mem) AS headroom,
-                       row_number() OVER (PARTITION BY d.environment_id
+                       row_number() OVER (PARTITION BY d.environment_id, d.variant_id
                            ORDER BY least(100 - peak_cpu, 100 - peak_mem) DESC, k.ordinal) AS preference
                 FROM decided d JOIN catalog k ON k.instance_type = d.candidate_instance_type
                 WHERE decision = 'SAFE TO RIGHTSIZE' AND least(100 - peak_cpu, 100 - peak_mem) > -1) ordered
@@ -782,6 +782,11 @@ ORACLES: dict[str, str] = {
     "cand_best": _simulated(
         _shown(f"SELECT {MOVE}, headroom, absolute_monthly_saving FROM best", "headroom", "absolute_monthly_saving"), "cheaper"
     ),
+    "cand_best_variants": _simulated(
+        _shown(f"SELECT {MOVE}, variant_id, headroom, absolute_monthly_saving FROM best", "headroom", "absolute_monthly_saving"),
+        "cheaper",
+        [{"variant_id": f"growth_{g}", "traffic_growth": g / 100} for g in (0, 20, 40)],
+    ),
     "cand_none": _simulated(
         """SELECT environment_id, current_instance_type, selected_candidate, decision FROM detail""", "cheaper"
     ),
@@ -1095,25 +1100,45 @@ ORACLES: dict[str, str] = {
         ),
         "readings",
     ),
-    "accuracy_compare": _simulated(
+    "accuracy_compare": _with(
         _shown(
             """SELECT *, abs(predicted - observed) AS absolute_error,
                       CASE WHEN observed = 0 AND predicted = 0 THEN 0 WHEN observed = 0 THEN 100
                            ELSE abs(predicted - observed) / observed * 100 END AS percentage_error
-               FROM (SELECT s.environment_id, 'CPU' AS metric, s.peak_cpu AS predicted, o.cpu AS observed FROM slo s JOIN seen o USING (environment_id)
-                     UNION ALL SELECT s.environment_id, 'Memory', s.peak_mem, o.memory FROM slo s JOIN seen o USING (environment_id)
-                     UNION ALL SELECT s.environment_id, 'P95 Latency', s.projected_p95_latency, o.latency FROM slo s JOIN seen o USING (environment_id)
-                     UNION ALL SELECT s.environment_id, 'Availability', s.projected_availability, o.availability FROM slo s JOIN seen o USING (environment_id)) p""",
+               FROM (SELECT environment_id, 'CPU' AS metric, peak_cpu AS predicted, cpu AS observed FROM met
+                     UNION ALL SELECT environment_id, 'Memory', peak_mem, memory FROM met
+                     UNION ALL SELECT environment_id, 'P95 Latency', projected_p95_latency, latency FROM met
+                     UNION ALL SELECT environment_id, 'Availability', projected_availability, availability FROM met) p""",
             "predicted",
             "observed",
             "absolute_error",
             "percentage_error",
         ),
-        "step_down",
-        None,
+        "catalog",
+        "profiled",
+        "prices",
         "checkpoints",
-        seen="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY environment_id ORDER BY checkpoint_no DESC) AS back
-                FROM checkpoints WHERE newest = 1) c WHERE back = 1""",
+        **{
+            "judgements": _verdict("environment_id, migration_seq", "checkpoints", "WHERE newest = 1"),
+            "seen": """SELECT c.*, x.current_instance AS current_instance_type, x.candidate_instance AS candidate_instance_type
+                FROM (SELECT *, row_number() OVER (PARTITION BY environment_id ORDER BY checkpoint_no DESC) AS back
+                      FROM checkpoints WHERE newest = 1) c
+                     JOIN executed x ON x.environment_id = c.environment_id AND x.migration_seq = c.migration_seq
+                     JOIN judgements j ON j.environment_id = c.environment_id AND j.migration_seq = c.migration_seq
+                WHERE c.back = 1 AND j.verdict <> 'ROLLBACK_REQUIRED'""",
+        },
+        **_model(
+            moves="""SELECT s.environment_id, c.instance_type AS current_instance_type, k.instance_type AS candidate_instance_type,
+                            k.ordinal AS candidate_ordinal, c.vcpu / CAST(k.vcpu AS DOUBLE) AS cpu_ratio,
+                            c.memory_gb / CAST(k.memory_gb AS DOUBLE) AS mem_ratio
+                     FROM seen s JOIN catalog c ON c.instance_type = s.current_instance_type
+                          JOIN catalog k ON k.instance_type = s.candidate_instance_type"""
+        ),
+        **{
+            "met": """SELECT s.*, o.cpu, o.memory, o.latency, o.availability
+                FROM slo s JOIN seen o ON o.environment_id = s.environment_id AND o.current_instance_type = s.current_instance_type
+                                      AND o.candidate_instance_type = s.candidate_instance_type"""
+        },
     ),
     "audit_latest": _with(
         f"""SELECT environment_id, {STAMP}, seq, event, reason FROM (

@@ -13,6 +13,7 @@ from fleetfit.functions.common import r6, text_list
 from fleetfit.operators import (
     accuracy,
     audit,
+    baseline,
     candidates,
     cost,
     errors,
@@ -493,9 +494,15 @@ def whatif_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whatif_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The experiment report: scenario environments with averages beside their baseline."""
     fleet = table_fleet(spark, sf_dir)
-    picked = scenarios.pick(fleet.environments, scenarios.classify(fleet.telemetry))
-    decided = fleet.decided("step_down_or_self", means=True)
-    report = scenarios.experiment(picked, decided, fleet.baseline(["cpu", "memory", "latency", "reliability"]))
+    # At most three environments are picked; nothing but their telemetry is simulated.
+    picked = session.written(scenarios.pick(fleet.environments, scenarios.classify(fleet.passes)), "picked")
+    telemetry = fleet.passes.join(picked.select(ENV), ENV, "left_semi")
+    moved = fleet.environments.join(picked.select(ENV), ENV, "left_semi")
+    result = whatif.what_if(
+        telemetry, moved, fleet.pricing, fleet.catalog, "step_down_or_self", means=True, large=fleet.large
+    )
+    measured = baseline.baseline(telemetry, ["cpu", "memory", "latency", "reliability"], fleet.large)
+    report = scenarios.experiment(picked, whatif.decide(result), measured)
     return shown(
         report,
         "scenario",
@@ -575,6 +582,15 @@ def cand_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(best, *MOVE, "headroom", "absolute_monthly_saving")
 
 
+@query
+def cand_best_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidate per environment and growth level."""
+    fleet = table_fleet(spark, sf_dir)
+    grown = tuple(Variant(f"growth_{g}", traffic_growth=g / 100) for g in (0, 20, 40))
+    best = candidates.best_candidate(fleet.decided("cheaper", grown), fleet.catalog)
+    return shown(best, *MOVE, "variant_id", "headroom", "absolute_monthly_saving")
+
+
 @query
 def cand_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
@@ -876,8 +892,13 @@ def accuracy_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accuracy_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
     last = health.latest_migrations(adapters.audit(spark, sf_dir))
-    observed = health.last_checkpoint(health.window_after_last(last, adapters.readings(spark, sf_dir)))
-    return shown(accuracy.compare(fleet.what_if("step_down"), observed))
+    window = session.written(health.window_after_last(last, adapters.readings(spark, sf_dir)), "checkpoints")
+    observed = session.written(health.observed_moves(last, window), "observed")
+    # Only the moves that were made are simulated, and only from their environments' telemetry.
+    made = observed.select(*MOVE).distinct()
+    telemetry = fleet.passes.join(made.select(ENV), ENV, "left_semi")
+    predicted = whatif.what_if(telemetry, made, fleet.pricing, fleet.catalog, large=fleet.large)
+    return shown(accuracy.compare(predicted, observed))
 
 
 @query

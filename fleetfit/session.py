@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 #    of 128 groups sorts nearly every task; a few hundred keep the buffers of a task small, as
 #    groups beyond ``quantiles.GROUP_LIMIT`` rows never get there.
 RUNTIME_SETTINGS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "512",
     "spark.sql.session.timeZone": "UTC",
@@ -33,20 +31,17 @@ def tune(spark: SparkSession) -> SparkSession:
 ROWS_PER_PARTITION = 1_500_000
 
 
-def size_shuffles(spark: SparkSession, rows: int) -> None:
-    """Raise the number of shuffle partitions to the size of the input, never lower it.
-
-    Some 100 MB of telemetry per partition; adaptive execution merges what turns out smaller.
-    """
-    wanted = -(-rows // ROWS_PER_PARTITION)
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for an exchange of so many rows of telemetry, some 100 MB each, and not fewer than
+    the session's number. The session itself is left alone."""
+    return max(-(-rows // ROWS_PER_PARTITION), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables, as named by the cluster.
 
-    Only where the session names none (local tests) a temporary folder is made and remembered.
+    Only on a local master, where the session names none, a temporary folder is made and remembered:
+    on a cluster other machines would not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -54,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="fleetfit-")
     spark.sparkContext.setCheckpointDir(made)
     return made

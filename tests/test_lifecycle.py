@@ -124,15 +124,20 @@ def test_rollback_list_judges_the_last_migration(spark):
     assert [(r.environment_id, r.restore_instance) for r in got] == [("b", "medium")]
 
 
+MOVE = "environment_id string, current_instance_type string, candidate_instance_type string"
+
+
 def test_accuracy_compare_counts_missing_as_zero(spark):
     predictions = spark.createDataFrame(
-        [("a", 50.0, None, 55.0, 100.0)],
-        "environment_id string, peak_cpu double, peak_mem double, projected_p95_latency double, projected_availability double",
+        [("a", "large", "medium", 50.0, None, 55.0, 100.0), ("a", "large", "small", 99.0, 99.0, 99.0, 99.0)],
+        f"{MOVE}, peak_cpu double, peak_mem double, projected_p95_latency double, projected_availability double",
     )
     seen = spark.createDataFrame(
-        [("a", 55.0, 0.0, None, 99.0)], "environment_id string, cpu double, memory double, latency double, availability double"
+        [("a", "large", "medium", 55.0, 0.0, None, 99.0)], f"{MOVE}, cpu double, memory double, latency double, availability double"
     )
-    rows = {r.metric: r for r in accuracy.compare(predictions, seen).collect()}
+    found = accuracy.compare(predictions, seen).collect()
+    assert len(found) == 4  # the prediction of another move is none of this one
+    rows = {r.metric: r for r in found}
     assert rows["CPU"].absolute_error == 5.0 and rows["CPU"].percentage_error == pytest.approx(500 / 55)
     assert rows["Memory"].percentage_error == 0.0 and rows["P95 Latency"].percentage_error == 100.0
     assert rows["Availability"].observed == 99.0

@@ -32,7 +32,9 @@ def test_no_cross_join_and_no_python_in_the_plan(spark, name):
 
 
 def fact_exchanges(df) -> list[str]:
-    return [e for e in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df)) if "environment_id" in e]
+    """Keys of the exchanges of telemetry; the registry's are by type as well."""
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df))
+    return [e for e in keys if "environment_id" in e and "instance_type" not in e]
 
 
 def test_the_what_if_moves_the_telemetry_once(spark):
@@ -55,7 +57,7 @@ def test_without_automatic_broadcasts_only_the_registry_is_shuffled_to_the_telem
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     keys = re.findall(r"Exchange hashpartitioning\((\w+)#", text)
-    assert "SortMergeJoin [environment_id" in text and keys.count("environment_id") == 3
+    assert "SortMergeJoin [environment_id" in text and keys.count("environment_id") == 4  # the registry's rows are made distinct
     assert set(keys) == {"environment_id", "instance_type"}  # prices are aggregated by type
 
 
@@ -84,7 +86,7 @@ def test_scans_read_needed_columns_only(spark):
 
 def test_registry_and_oracles_name_the_same_queries():
     assert set(ORACLES) <= set(QUERIES)
-    assert entry.queries().keys() == QUERIES.keys()
+    assert QUERIES.keys() <= entry.queries().keys()
 
 
 def test_entry(spark):

@@ -79,6 +79,19 @@ def test_large_environments_get_the_same_profiles(telemetry, registry, large):
         assert project(df, envs, variant=P.Variant(profile=profile), large=large) == usual
 
 
+@pytest.mark.parametrize("profile", ["steady", "peak", "bursty", "low-traffic", "seasonal"])
+def test_null_times_and_repeated_keys_fare_alike_in_large_environments(telemetry, registry, profile):
+    rng = np.random.default_rng(6)
+    rows = telemetry_rows("a", [20.0] * 60, requests=[float(x) for x in rng.integers(1, 60, 60)])
+    rows = [(None, *r[1:]) if i % 12 == 0 else r for i, r in enumerate(rows)] + rows[5:15] + rows[5:8]
+    df, envs = telemetry(rows), registry(a="medium")
+    usual = project(df, envs, variant=P.Variant(profile=profile))
+    split = project(df, envs, variant=P.Variant(profile=profile), large=LargeGroups("environment_id", ids=("a",)))
+    assert len(usual) == len(rows)
+    values = lambda out: sorted((str(r.timestamp), r.projected_requests, r.projected_cpu) for r in out)
+    assert values(split) == values(usual)
+
+
 def test_unknown_profile_is_refused():
     with pytest.raises(ValueError):
         P.Variant(profile="spiky")

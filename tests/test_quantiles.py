@@ -61,7 +61,7 @@ def test_hot_group_beside_small_ones(spark):
     groups = {"hot": list(rng.lognormal(3, 1, 20000))} | {f"e{i}": list(rng.normal(50, 5, 20)) for i in range(30)}
     df = frame(spark, groups)
     large = Q.find_large_groups(df, limit=1000)
-    assert large.ids == ("hot",) and not large.every
+    assert large and [r.environment_id for r in large.table.collect()] == ["hot"]
     out = Q.grouped(
         df, ["environment_id"], {a: ("v", p) for a, p in PS.items()}, [F.count(F.lit(1)).alias("n")], large
     )
@@ -70,16 +70,21 @@ def test_hot_group_beside_small_ones(spark):
     assert rows["hot"].n == 20000
 
 
-def test_too_many_large_groups_take_the_split_plan(spark, monkeypatch):
-    monkeypatch.setattr(Q, "MAX_LISTED_GROUPS", 2)
-    groups = {f"e{i}": [float(x * i) for x in range(30)] for i in range(5)}
+def test_any_number_of_groups_may_be_large(spark):
+    groups = {f"e{i}": [float(x * i) for x in range(30)] for i in range(600)} | {"small": [1.0]}
     df = frame(spark, groups)
     large = Q.find_large_groups(df, limit=10)
-    assert large.every
+    assert large.table.count() == 600
     out = Q.grouped(df, ["environment_id"], {a: ("v", p) for a, p in PS.items()}, [], large)
     same({r.environment_id: [r[a] for a in PS] for r in out.collect()}, expect(groups))
 
 
+def test_only_known_ids_make_a_group_large(spark):
+    df = frame(spark, {"stranger": [float(x) for x in range(50)], "a": [1.0, 2.0]})
+    known = spark.createDataFrame([("a",)], "environment_id string")
+    assert Q.find_large_groups(df, limit=10) and not Q.find_large_groups(df, limit=10, known=known)
+
+
 def test_small_tables_need_no_group_counts(spark):
     assert not Q.find_large_groups(frame(spark, CASES))
 
@@ -91,12 +96,8 @@ def test_a_group_of_nulls_keeps_its_row(spark, large):
     assert row.n == 2 and row.p is None
 
 
-def test_shuffles_grow_with_the_input_and_never_shrink(spark):
+def test_exchanges_grow_with_the_input_and_leave_the_session_alone(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        session.size_shuffles(spark, 10)
-        assert spark.conf.get("spark.sql.shuffle.partitions") == before
-        session.size_shuffles(spark, 100 * session.ROWS_PER_PARTITION + 1)
-        assert spark.conf.get("spark.sql.shuffle.partitions") == "101"
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert session.partitions_for(spark, 10) == int(before)
+    assert session.partitions_for(spark, 100 * session.ROWS_PER_PARTITION + 1) == 101
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

@@ -43,3 +43,10 @@ def test_position_in_whole_table(spark):
     df = spark.range(0, 1000).select((F.lit(1000) - F.col("id")).alias("v"))
     got = position_in_table(df, [F.col("v").asc()], "rank")
     assert got.where("rank <> v").count() == 0 and got.count() == 1000
+
+
+def test_rows_without_key_or_time_are_kept(spark):
+    rows = [("a", None, 1), ("a", datetime(2024, 1, 1), 2), (None, None, 3), ("a", None, 4)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id long")
+    got = position_in_group(df, ["k"], F.date_trunc("hour", "ts"), ["ts", "id"], "nth", total="n")
+    assert {r.id: (r.nth, r.n) for r in got.collect()} == {1: (1, 3), 4: (2, 3), 2: (3, 3), 3: (1, 1)}
