@@ -8,6 +8,7 @@ the telemetry in one task. Beyond that the planner decides by their size.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -53,6 +54,19 @@ class InstanceCatalog:
         rows = [(i, t.name, t.vcpu, t.memory_gb, t.base_price) for i, t in enumerate(self.types)]
         return _small(local_rows(spark, rows, TYPE_COLUMNS), len(rows))
 
+    def ratios(self, moves: DataFrame) -> DataFrame:
+        """``moves`` that name current and candidate type, with their capacity ratios; linear in the types.
+
+        Moves of a type that the catalog does not have are left out."""
+        table = self.table(moves.sparkSession)
+        own = table.select(F.col("instance_type").alias("current_instance_type"), F.col("vcpu").alias("_cpu"), F.col("memory_gb").alias("_mem"))
+        other = table.select(
+            F.col("instance_type").alias("candidate_instance_type"), F.col("ordinal").alias("candidate_ordinal"), "vcpu", "memory_gb"
+        )
+        both = moves.join(own, "current_instance_type").join(other, "candidate_instance_type")
+        ratio = {"cpu_ratio": F.col("_cpu") / F.col("vcpu"), "mem_ratio": F.col("_mem") / F.col("memory_gb")}
+        return both.withColumns(ratio).drop("_cpu", "_mem", "vcpu", "memory_gb")
+
     def pairs(self, policy: str) -> list[tuple[InstanceType, InstanceType, int]]:
         """(current, candidate, candidate ordinal) for a policy.
 
@@ -61,9 +75,11 @@ class InstanceCatalog:
         cheapest type paired with itself.
         """
         by_price = sorted(enumerate(self.types), key=lambda item: (item[1].base_price, item[0]))
+        prices = [t.base_price for _, t in by_price]
         out = []
-        for position, (own_ordinal, current) in enumerate(by_price):
-            cheaper = [(o, t) for o, t in by_price if t.base_price < current.base_price]
+        for own_ordinal, current in by_price:
+            first = bisect_left(prices, current.base_price)
+            cheaper = by_price[:first] if policy.startswith("cheaper") else by_price[max(first - 1, 0) : first]
             if policy == "any":
                 chosen = list(enumerate(self.types))
             elif policy == "self":

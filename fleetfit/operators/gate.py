@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from fleetfit import schemas as S
 from fleetfit.catalog import InstanceCatalog
-from fleetfit.operators.projection import ENV
+from fleetfit.operators.projection import BASE, ENV, Variant
 from fleetfit.operators.quantiles import NO_LARGE_GROUPS, LargeGroups
-from fleetfit.operators.whatif import decide, what_if
+from fleetfit.operators.whatif import decide, keep_all_moves, name_unknown_types, what_if
 
 # Audit events of the gate.
 STARTED = "PRECHECK_STARTED"
@@ -17,6 +18,16 @@ BLOCKED = "MIGRATION_BLOCKED"
 APPROVED = "MIGRATION_APPROVED"
 
 REQUEST = [ENV, "expected_current", "candidate_instance_type"]
+LEDGER = T.StructType(
+    [
+        T.StructField(ENV, T.StringType()),
+        T.StructField("current_instance", T.StringType()),
+        T.StructField("candidate_instance", T.StringType()),
+        T.StructField("seq", T.IntegerType()),
+        T.StructField("event", T.StringType()),
+        T.StructField("reason", T.StringType()),
+    ]
+)
 
 
 def precheck(
@@ -26,14 +37,17 @@ def precheck(
     pricing: DataFrame,
     catalog: InstanceCatalog,
     large: LargeGroups = NO_LARGE_GROUPS,
+    variant: Variant = BASE[0],
 ) -> DataFrame:
     """Requests with their outcome: first failing check, or the safety decision.
 
-    ``state`` holds the registered type and status per environment. Only requests that pass the
-    state checks are simulated.
+    ``state`` holds the registered type per environment, and its status (RUNNING where there is no
+    such column). Only requests that pass the state checks are simulated, under the targets and
+    limits of ``variant``.
     """
+    status = F.col("status") if "status" in state.columns else F.lit("RUNNING")
     registered = state.select(
-        ENV, F.col("current_instance_type").alias("actual_current"), "status", F.lit(True).alias("_found")
+        ENV, F.col("current_instance_type").alias("actual_current"), status.alias("status"), F.lit(True).alias("_found")
     )
     checked = requests.join(registered, ENV, "left")
     check = (
@@ -48,7 +62,8 @@ def precheck(
         .select(ENV, F.col("expected_current").alias("current_instance_type"), "candidate_instance_type")
         .distinct()
     )
-    decided = decide(what_if(telemetry, eligible, pricing, catalog, large=large), texts=True).select(
+    result = keep_all_moves(eligible, what_if(telemetry, eligible, pricing, catalog, variants=(variant,), large=large))
+    decided = name_unknown_types(decide(result, texts=True), catalog).select(
         ENV,
         F.col("current_instance_type").alias("expected_current"),
         "candidate_instance_type",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import types as T
 
 from fleetfit.functions import labels
 from fleetfit.operators.projection import ENV
@@ -12,6 +13,16 @@ from fleetfit.session import written
 CHECKPOINTS = 5
 EXECUTED = "MIGRATION_EXECUTED"
 READING = ["cpu", "memory", "latency", "availability"]
+#: Rows of a window before they are numbered.
+CANDIDATES = T.StructType(
+    [
+        T.StructField(ENV, T.StringType()),
+        T.StructField("migration_seq", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        *[T.StructField(c, T.DoubleType()) for c in READING],
+        T.StructField("reading_id", T.LongType()),
+    ]
+)
 
 
 def classified(readings: DataFrame, **limits) -> DataFrame:
@@ -41,7 +52,9 @@ def latest_migrations(audit: DataFrame) -> DataFrame:
     )
 
 
-def window_after(executed: DataFrame, readings: DataFrame, checkpoints: int = CHECKPOINTS) -> DataFrame:
+def window_after(
+    executed: DataFrame, readings: DataFrame, checkpoints: int = CHECKPOINTS, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The first readings at or after each migration, labelled T+0, T+1, ...
 
     An environment may have many migrations and very many readings, so the pairs are never built.
@@ -63,7 +76,7 @@ def window_after(executed: DataFrame, readings: DataFrame, checkpoints: int = CH
         ),
         "time-line",
     )
-    numbered = line.where("_kind = 1").select(ENV, "ts", F.col("_seen").alias("_nth"), *READING)
+    numbered = line.where("_kind = 1").select(ENV, "ts", F.col("_seen").alias("_nth"), *READING, *keep)
     wanted = line.where("_kind = 0").select(
         ENV, "migration_seq", F.posexplode(F.sequence(F.col("_seen") + 1, F.col("_seen") + checkpoints)).alias("_t", "_nth")
     )
@@ -71,7 +84,7 @@ def window_after(executed: DataFrame, readings: DataFrame, checkpoints: int = CH
         wanted.join(numbered, [ENV, "_nth"])
         .withColumn("checkpoint", F.concat(F.lit("T+"), F.col("_t").cast("string")))
         .withColumn("health_status", labels.health(*[F.col(c) for c in READING]))
-        .select(ENV, "migration_seq", F.col("_t").alias("checkpoint_no"), "checkpoint", "ts", *READING, "health_status")
+        .select(ENV, "migration_seq", F.col("_t").alias("checkpoint_no"), "checkpoint", "ts", *READING, "health_status", *keep)
     )
 
 

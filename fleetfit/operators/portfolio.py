@@ -8,7 +8,7 @@ from fleetfit import schemas as S
 from fleetfit.catalog import InstanceCatalog
 from fleetfit.functions import labels
 from fleetfit.operators.candidates import best_or_none
-from fleetfit.operators.projection import ENV
+from fleetfit.operators.projection import BASE, ENV, Variant
 from fleetfit.operators.quantiles import NO_LARGE_GROUPS, LargeGroups
 from fleetfit.operators.ranking import position_in_table
 from fleetfit.operators.whatif import decide, what_if
@@ -21,6 +21,7 @@ def detail(
     catalog: InstanceCatalog,
     large: LargeGroups = NO_LARGE_GROUPS,
     approx: bool = False,
+    variant: Variant = BASE[0],
 ) -> DataFrame:
     """One row per registered environment: selected candidate, costs, decision, risk, reason.
 
@@ -28,9 +29,9 @@ def detail(
     from the same pass over the telemetry.
     """
     result = what_if(
-        telemetry, environments, pricing, catalog, "cheaper", large=large, approx=approx, unmoved=True
+        telemetry, environments, pricing, catalog, "cheaper", (variant,), large=large, approx=approx, unmoved=True
     )
-    best = best_or_none(decide(result), catalog)
+    best = best_or_none(decide(result), catalog).drop("variant_id")
     rows = environments.select(ENV, "current_instance_type").join(best, ENV, "left")
     selected = F.col("selected_candidate")
     chosen = selected.isNotNull()

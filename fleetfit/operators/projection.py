@@ -187,9 +187,11 @@ def project_rows(
     rows = with_profile_columns(telemetry, profiles, large)
     # A move or a registry row that is repeated is one move.
     registered = moves.select(ENV, *on).distinct()
-    rows = rows.join(registered, ENV).join(
-        catalog.moves(spark, policy), on, "left" if unmoved else "inner"
-    )
+    rows = rows.join(registered, ENV)
+    if len(on) > 1:
+        rows = catalog.ratios(rows)
+    else:
+        rows = rows.join(catalog.moves(spark, policy), on, "left" if unmoved else "inner")
 
     fields = [
         F.struct(F.lit(i).alias("variant_no"), *_literal(v, ROW_FIELDS))

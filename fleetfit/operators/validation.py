@@ -78,10 +78,10 @@ def parse_timestamps(telemetry: DataFrame, column: str = "timestamp") -> DataFra
     """
     if dict(telemetry.dtypes)[column] != "string":
         return telemetry.withColumn("bad_timestamp", F.lit(False))
-    parsed = F.coalesce(
-        F.expr(f"try_cast({column} as timestamp_ntz)"),
-        F.to_utc_timestamp(F.expr(f"try_cast({column} as timestamp)"), "UTC").cast("timestamp_ntz"),
-    )
+    # Casting a text with a zone to a time without one drops the zone, so those go by the instant.
+    zoned = F.col(column).rlike(r"[0-9]\s*(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})\s*$") & F.col(column).contains(":")
+    instant = F.expr(f"convert_timezone(current_timezone(), 'UTC', cast(try_cast({column} as timestamp) as timestamp_ntz))")
+    parsed = F.when(zoned, instant).otherwise(F.expr(f"try_cast({column} as timestamp_ntz)"))
     return telemetry.withColumn("bad_timestamp", parsed.isNull() & F.col(column).isNotNull()).withColumn(
         column, parsed
     )

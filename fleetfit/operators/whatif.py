@@ -104,11 +104,28 @@ def decide(
     return out
 
 
+UNKNOWN_TYPE = "UNKNOWN_INSTANCE_TYPE"
+UNKNOWN_TEXT = "Instance type is not in the catalog."
+
+
 def keep_all_moves(moves: DataFrame, result: DataFrame) -> DataFrame:
     """What-if rows with an empty row for every move whose environment had no telemetry."""
     return moves.select(*MOVE).join(result, MOVE, "left")
 
 
+def name_unknown_types(decided: DataFrame, catalog: InstanceCatalog) -> DataFrame:
+    """Decided rows where a move from or to a type outside the catalog says so instead of missing telemetry."""
+    types = catalog.table(decided.sparkSession).select("instance_type")
+    out = decided
+    for column, flag in (("current_instance_type", "_from"), ("candidate_instance_type", "_to")):
+        out = out.join(types.select(F.col("instance_type").alias(column), F.lit(True).alias(flag)), column, "left")
+    unknown = F.col("_from").isNull() | F.col("_to").isNull()
+    changed = {"reason_codes": F.when(unknown, F.array(F.lit(UNKNOWN_TYPE))).otherwise(F.col("reason_codes"))}
+    if "reasons" in decided.columns:
+        changed["reasons"] = F.when(unknown, F.array(F.lit(UNKNOWN_TEXT))).otherwise(F.col("reasons"))
+    return out.withColumns(changed).select(*decided.columns)
+
+
 def fleet_moves(environments: DataFrame, catalog: InstanceCatalog, policy: str) -> DataFrame:
     """The moves of a policy for every registered environment of a known type."""
     return environments.join(catalog.moves(environments.sparkSession, policy), "current_instance_type")

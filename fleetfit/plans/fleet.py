@@ -78,8 +78,20 @@ class Fleet:
             self.passes, self.environments, self.pricing, self.catalog, policy, variants, large=self.large, **options
         )
 
-    def decided(self, policy: str, variants: tuple[Variant, ...] = BASE, texts: bool = False, **options) -> DataFrame:
-        return whatif.decide(self.what_if(policy, variants, **options), texts=texts)
+    def decided(
+        self, policy: str, variants: tuple[Variant, ...] = BASE, texts: bool = False, grades: DataFrame | None = None, **options
+    ) -> DataFrame:
+        """Decided what-if rows; ``grades`` (environment, quality) turns those of LOW quality to INSUFFICIENT DATA."""
+        result = self.what_if(policy, variants, **options)
+        if grades is None:
+            return whatif.decide(result, texts=texts)
+        graded = result.join(grades.select(ENV, "quality"), ENV, "left")
+        return whatif.decide(graded, F.coalesce("quality", F.lit("HIGH")), texts=texts).drop("quality")
+
+    @property
+    def grades(self) -> DataFrame:
+        """Quality grade of each environment's raw telemetry."""
+        return validation.quality_grade(self.input, self.order, by=ENV).select(ENV, "quality")
 
     def simulate(
         self, moves: list[tuple[str, str, str]], variants: tuple[Variant, ...] = BASE, **options
@@ -95,13 +107,15 @@ class Fleet:
         result = whatif.what_if(
             named.passes, requests, self.pricing, self.catalog, variants=variants, large=named.large, **options
         )
-        return whatif.decide(whatif.keep_all_moves(requests, result), texts=True)
+        decided = whatif.decide(whatif.keep_all_moves(requests, result), texts=True)
+        return whatif.name_unknown_types(decided, self.catalog)
 
     def baseline(self, families: list[str] | None = None) -> DataFrame:
         return baseline.baseline(self.passes, families, self.large)
 
-    def portfolio(self) -> DataFrame:
-        return portfolio.detail(self.passes, self.environments, self.pricing, self.catalog, self.large)
+    def portfolio(self, variant: Variant = BASE[0]) -> DataFrame:
+        """The portfolio under the assumptions, targets and limits of ``variant``."""
+        return portfolio.detail(self.passes, self.environments, self.pricing, self.catalog, self.large, variant=variant)
 
     def naive(self) -> DataFrame:
         return whatif.naive_step_down(self.passes, self.environments, self.catalog)

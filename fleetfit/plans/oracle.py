@@ -457,7 +457,7 @@ EVENTS = [
 
 
 def _merged() -> str:
-    tables = {name: f"SELECT timestamp, environment_id, {m} FROM firsts WHERE l_orderkey % {gap} <> 2" for name, m, gap in HISTORIES}
+    tables = {name: f"SELECT timestamp, environment_id, {m} FROM firsts WHERE (l_orderkey % {gap} <> 2 OR l_orderkey % 1062347 = 2)" for name, m, gap in HISTORIES}
     joins = HISTORIES[0][0] + "".join(f" FULL OUTER JOIN {name} USING (timestamp, environment_id)" for name, _, _ in HISTORIES[1:])
     return _with(
         _shown(f"SELECT {STAMP}, environment_id, {', '.join(METRICS)} FROM {joins}", *METRICS), "firsts", **tables
@@ -470,7 +470,7 @@ def _history_sizes() -> str:
             " UNION ALL ".join(
                 f"""SELECT environment_id, count(*) AS readings, count({m}) AS known_readings, min({m}) AS lowest,
                            max({m}) AS highest, '{name}' AS history
-                    FROM firsts WHERE l_orderkey % {gap} <> 2 GROUP BY environment_id"""
+                    FROM firsts WHERE (l_orderkey % {gap} <> 2 OR l_orderkey % 1062347 = 2) GROUP BY environment_id"""
                 for name, m, gap in HISTORIES
             ),
             "lowest",
@@ -508,7 +508,7 @@ def _stream_windows(slide_hours: int | None) -> str:
     body = f"""SELECT strftime(window_start, {INSTANT}) AS window_start,
                       strftime(window_start + INTERVAL 1 DAY, {INSTANT}) AS window_end, environment_id,
                       count(*) AS readings, avg(cpu) AS mean_cpu, max(cpu) AS peak_cpu,
-                      quantile_disc(cpu, 0.95) AS p95_cpu, avg(memory) AS mean_memory, max(memory) AS peak_memory,
+                      quantile_cont(cpu, 0.95) AS p95_cpu, avg(memory) AS mean_memory, max(memory) AS peak_memory,
                       avg(latency) AS mean_latency, avg(availability) AS measured_availability,
                       count(*) FILTER (availability < CAST(99.9 AS DOUBLE)) AS slo_violations
                FROM spans WHERE window_start + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM readings)
@@ -588,7 +588,8 @@ ORACLES: dict[str, str] = {
     "val_timestamp": _with(
         """SELECT environment_id, count(*) AS row_count, count(*) FILTER (l_orderkey % 101 = 1) AS bad_timestamps,
                   CASE WHEN count(*) FILTER (l_orderkey % 101 = 1) > 0 THEN 'INVALID' ELSE 'VALID' END AS status
-           FROM raw GROUP BY environment_id""",
+           FROM (SELECT environment_id, l_orderkey FROM raw UNION ALL SELECT '(all)', l_orderkey FROM raw) r
+           GROUP BY environment_id""",
         "raw",
     ),
     "val_dedup": _with(
@@ -1193,21 +1194,19 @@ ORACLES: dict[str, str] = {
             GROUP BY environment_id, code""",
     ),
     # streaming
+    # A key is settled once the watermark, a day behind the last reading, has passed it.
     "stream_validate": _with(
-        f"""SELECT environment_id, count(DISTINCT timestamp) AS valid_keys, strftime(min(timestamp), {INSTANT}) AS first_key,
-                   strftime(max(timestamp), {INSTANT}) AS last_key
-            FROM raw WHERE environment_id IN (SELECT environment_id FROM environments) AND cpu_utilization_pct BETWEEN 0 AND 150
-                 AND memory_utilization_pct BETWEEN 0 AND 150 AND request_volume >= 0 AND latency_ms >= 0
-                 AND availability_pct BETWEEN 0 AND 100
-            GROUP BY environment_id""",
-        "raw",
-        "environments",
+        _shown(
+            f"""SELECT {STAMP}, environment_id, {', '.join(METRICS)} FROM telemetry
+                WHERE timestamp <= (SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 1 DAY FROM raw
+                                    WHERE environment_id IN (SELECT environment_id FROM environments))""",
+            *METRICS,
+        ),
+        "telemetry",
     ),
     "stream_baseline": _stream_windows(None),
     "stream_baseline_sliding": _stream_windows(1),
-    "stream_health": _with(_verdict("environment_id", "judged"), "judged"),
-    "stream_health_first": _with(_verdict("environment_id", "first_five"), "judged", first_five=FIRST_FIVE),
-    "stream_audit": _with(
-        "SELECT event, count(*) AS events, count(DISTINCT environment_id) AS environments FROM audit GROUP BY event", "audit"
-    ),
+    "stream_health": _with(_verdict("environment_id, migration_seq", "checkpoints"), "checkpoints"),
+    "stream_health_first": _with(_verdict("environment_id", "checkpoints", "WHERE newest = 1"), "checkpoints"),
 }
+ORACLES["stream_audit"] = ORACLES["gate_audit_rows"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetfit import schemas as S
 from fleetfit import session
@@ -78,7 +78,7 @@ def _histories(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     fleet = table_fleet(spark, sf_dir)
     firsts = session.written(validation.keep_first(fleet.input, fleet.order), "firsts")
     return {
-        name: firsts.where(F.col("l_orderkey") % gap != 2).select(*S.KEYS, S.HISTORIES[name])
+        name: firsts.where(adapters.in_history(gap)).select(*S.KEYS, S.HISTORIES[name])
         for name, gap in adapters.HISTORY_GAPS.items()
     }
 
@@ -112,7 +112,7 @@ def src_metric_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def src_telemetry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The histories come out of keep-first, so their keys are unique by construction.
-    return shown(merge.merge_histories(_histories(spark, sf_dir), unique=True))
+    return shown(merge.merge_histories(_histories(spark, sf_dir)))
 
 
 @query
@@ -215,10 +215,12 @@ def val_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def val_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text timestamps, some of which do not parse."""
+    """Text timestamps, some of which do not parse: the verdict on the whole input and on each part."""
     raw = adapters.telemetry_raw(spark, sf_dir)
     text = F.when(F.col("l_orderkey") % 101 == 1, "not a time").otherwise(F.date_format("timestamp", DAY))
-    return shown(validation.timestamp_check(raw.withColumn("timestamp", text), by=ENV))
+    rows = raw.withColumn("timestamp", text)
+    whole = validation.timestamp_check(rows).withColumn(ENV, F.lit("(all)"))
+    return shown(validation.timestamp_check(rows, by=ENV).unionByName(whole))
 
 
 @query
@@ -837,12 +839,15 @@ def gate_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _reason_kind() -> Column:
+    """Texts with formatted decimals are covered by unit tests; beside SQL they are cut to their kind."""
+    return F.when(F.col("event") == gate.BLOCKED, "blocked by decision").otherwise(F.col("reason"))
+
+
 @query
 def gate_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gate.audit_rows(_prechecked(spark, sf_dir))
-    # Texts with formatted decimals are covered by unit tests; here they are cut to their kind.
-    kind = F.when(F.col("event") == gate.BLOCKED, "blocked by decision").otherwise(F.col("reason"))
-    return shown(rows.withColumn("reason", kind))
+    return shown(rows.withColumn("reason", _reason_kind()))
 
 
 @query
@@ -940,10 +945,7 @@ def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.tune(spark)
-    kept = stream_validation.run(spark, sf_dir)
-    return shown(
-        kept.groupBy(ENV).agg(F.count(F.lit(1)).alias("valid_keys"), F.min("timestamp").alias("first_key"), F.max("timestamp").alias("last_key"))
-    )
+    return shown(stream_validation.run(spark, sf_dir), *S.TELEMETRY_COLUMNS)
 
 
 @query
@@ -973,6 +975,6 @@ def stream_health_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.tune(spark)
-    ledger = stream_audit_sink.run(spark, sf_dir)
-    return shown(ledger.groupBy("event").agg(F.count(F.lit(1)).alias("events"), F.countDistinct(ENV).alias("environments")))
+    rows = stream_audit_sink.run(spark, sf_dir, table_fleet(spark, sf_dir))
+    return shown(rows.withColumn("reason", _reason_kind()))
 

@@ -1,15 +1,18 @@
 """The model's input tables as views over the given test tables.
 
-The integer conditions below plant the defects validation has to find; nothing is left out.
+The integer conditions below plant the defects validation has to find. Every row of a table is used;
+each of the five histories has gaps, but every reading is in one of them at least.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 INGEST_ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"]
 
-# Per history: remainder class of the order key whose readings are absent.
+# Per history: readings whose order key leaves 2 by this number are absent, unless it does so by all.
 HISTORY_GAPS = {
     "cpu_history": 11,
     "memory_history": 13,
@@ -17,6 +20,13 @@ HISTORY_GAPS = {
     "request_history": 19,
     "availability_history": 23,
 }
+
+
+def in_history(gap: int) -> Column:
+    key, all_gaps = F.col("l_orderkey"), math.prod(HISTORY_GAPS.values())
+    return (key % gap != 2) | (key % all_gaps == 2)
+
+
 BASE_PRICES = {"small": 0.05, "medium": 0.10, "large": 0.20}
 
 
@@ -148,9 +158,13 @@ def audit_of(events: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One migration request per user of the event table."""
-    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return requests_of(table(spark, sf_dir, "events").select("user_id").distinct())
+
+
+def requests_of(events: DataFrame) -> DataFrame:
+    """Each event's user asks for a migration; the same user asks for the same."""
     user = F.col("user_id")
-    return users.select(
+    return events.select(
         environment_id(user).alias("environment_id"),
         F.when(user % 10 == 7, "large").otherwise(type_by_remainder(user)).alias("expected_current"),
         F.when(user.isNotNull(), "small").alias("candidate_instance_type"),

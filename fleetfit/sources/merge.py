@@ -13,32 +13,42 @@ def _metric(name: str) -> str:
     return S.HISTORIES[name]
 
 
-def has_duplicate_keys(history: DataFrame) -> bool:
-    """Whether a (timestamp, environment) occurs twice; stops at the first one found."""
-    repeated = history.groupBy(*S.KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return not repeated.limit(1).isEmpty()
-
-
 def merge_histories(histories: dict[str, DataFrame], unique: bool | None = None) -> DataFrame:
     """Full outer merge on (timestamp, environment).
 
-    With unique keys the outer merge equals one aggregation over the union of all histories, which
-    costs one exchange instead of the eight of a chain of outer joins. ``unique=None`` looks at the
-    keys first; duplicate keys multiply rows and need the joins.
+    One aggregation over the union of all histories, which costs one exchange instead of the eight of
+    a chain of outer joins. A key that is repeated in some history keeps its values as lists, and only
+    such rows are multiplied, as the joins would; a null key meets no other row. ``unique=True`` says
+    that no key is repeated.
     """
-    if unique is None:
-        unique = not any(has_duplicate_keys(h) for h in histories.values())
-    return merge_by_union(histories) if unique else merge_by_joins(histories)
+    return merge_by_union(histories) if unique else merge_with_copies(histories)
 
 
-def merge_by_union(histories: dict[str, DataFrame]) -> DataFrame:
+def _union(histories: dict[str, DataFrame]) -> tuple[list[str], DataFrame]:
     metrics = [_metric(n) for n in histories]
     parts = []
     for name, history in histories.items():
         own = _metric(name)
         empty = {m: F.lit(None).cast("double") for m in metrics if m != own}
-        parts.append(history.select(*S.KEYS, own).withColumns(empty).select(*S.KEYS, *metrics))
-    rows = reduce(DataFrame.unionByName, parts)
+        part = history.select(*S.KEYS, own).withColumns(empty).select(*S.KEYS, *metrics)
+        parts.append(part.withColumn("_of", F.lit(own)))
+    return metrics, reduce(DataFrame.unionByName, parts)
+
+
+def merge_with_copies(histories: dict[str, DataFrame]) -> DataFrame:
+    metrics, rows = _union(histories)
+    keyed = F.col("timestamp").isNotNull() & F.col("environment_id").isNotNull()
+    # Lists hold the copies of one key; a key is repeated a few times, not without bound.
+    values = [F.collect_list(F.when(F.col("_of") == m, F.struct(F.col(m).alias("v")))).alias(m) for m in metrics]
+    merged = rows.where(keyed).groupBy(*S.KEYS).agg(*values)
+    for m in metrics:
+        missing = F.array(F.struct(F.lit(None).cast("double").alias("v")))
+        merged = merged.withColumn(m, F.explode(F.when(F.size(m) > 0, F.col(m)).otherwise(missing))).withColumn(m, F.col(f"{m}.v"))
+    return merged.unionByName(rows.where(~keyed).drop("_of"))
+
+
+def merge_by_union(histories: dict[str, DataFrame]) -> DataFrame:
+    metrics, rows = _union(histories)
     return rows.groupBy(*S.KEYS).agg(*[F.max(m).alias(m) for m in metrics])
 
 

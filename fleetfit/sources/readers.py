@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from fleetfit import schemas as S
 from fleetfit.functions.common import nan_to_null
+from fleetfit.operators.validation import parse_timestamps
 
 
 def read_table(
@@ -22,7 +23,8 @@ def read_table(
         declared = {f.name: f for f in schema.fields}
         header = spark.read.option("header", True).csv(path).columns
         wide = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
-        rows = spark.read.schema(wide).option("header", True).option("nanValue", "NaN").csv(path)
+        # Files of a folder whose header names other columns are refused instead of read by position.
+        rows = spark.read.schema(wide).option("header", True).option("enforceSchema", False).option("nanValue", "NaN").csv(path)
         declared_only = [f.name for f in schema.fields if f.name in header]
     else:
         rows = reader.format(fmt).load(path)
@@ -55,7 +57,10 @@ def _location(folder: str, name: str, fmt: str) -> str:
 
 
 def environments(spark: SparkSession, folder: str, fmt: str = "csv") -> DataFrame:
-    return read_table(spark, _location(folder, "environments", fmt), S.ENVIRONMENTS, fmt)
+    """The registry with ``seq``, its order in the file, and ``status``, RUNNING as at registration."""
+    rows = read_table(spark, _location(folder, "environments", fmt), S.ENVIRONMENTS, fmt, ordered=True)
+    seq = F.struct(*INPUT_ORDER)
+    return rows.withColumns({"seq": seq, "status": F.lit("RUNNING")}).drop(*INPUT_ORDER)
 
 
 def history(spark: SparkSession, folder: str, name: str, fmt: str = "csv") -> DataFrame:
@@ -80,7 +85,13 @@ def full_telemetry(
 
 
 def audit_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+    """The ledger with ``seq``, the order of its entries; as CSV with a header and ISO times."""
+    if fmt != "csv":
+        rows = spark.read.format(fmt).load(path)
+        return rows if "seq" in rows.columns else with_input_order(rows).withColumn("seq", F.struct(*INPUT_ORDER)).drop(*INPUT_ORDER)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in S.AUDIT.fields])
+    rows = parse_timestamps(read_table(spark, path, text, "csv", ordered=True)).drop("bad_timestamp")
+    return rows.withColumn("seq", F.struct(*INPUT_ORDER)).drop(*INPUT_ORDER)
 
 
 def lookup(wanted: DataFrame, environments: DataFrame, telemetry: DataFrame) -> DataFrame:

@@ -1,17 +1,31 @@
-"""Appending audit events of a stream to the ledger exactly once."""
+"""Gate decisions of a stream of migration requests, appended to the ledger exactly once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetfit.operators import gate
+from fleetfit.plans.fleet import Fleet
 from fleetfit.sources import adapters
 from fleetfit.streaming.runner import run_batches, table_stream
 
 
-def ledger(events: DataFrame) -> DataFrame:
-    """The ledger table after all available events have been appended."""
-    return run_batches(events, "stream-audit").drop("batch_id")
+def decisions(requests: DataFrame, fleet: Fleet) -> DataFrame:
+    """The ledger's entries for all requests of a stream, each request decided once.
 
+    Requests are told apart by environment and types; every micro-batch is decided against the
+    fleet's telemetry and written to a partition of its own.
+    """
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(adapters.audit_of(table_stream(spark, sf_dir, "events")))
+    def decided(batch: DataFrame) -> DataFrame:
+        checked = gate.precheck(
+            batch, fleet.environments, fleet.passes, fleet.pricing, fleet.catalog, fleet.large
+        )
+        return gate.audit_rows(checked)
+
+    once = requests.dropDuplicates(gate.REQUEST)
+    return run_batches(once, "stream-audit", prepare=decided, schema=gate.LEDGER).drop("batch_id")
+
+
+def run(spark: SparkSession, sf_dir: str, fleet: Fleet) -> DataFrame:
+    return decisions(adapters.requests_of(table_stream(spark, sf_dir, "events")), fleet)

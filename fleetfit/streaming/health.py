@@ -2,49 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from fleetfit.operators import health
 from fleetfit.operators.projection import ENV
 from fleetfit.sources import adapters
 from fleetfit.streaming.runner import run_batches, table_stream
 
+MIGRATION = [ENV, "migration_seq"]
 
-def running_verdicts(readings: DataFrame) -> DataFrame:
-    """Verdict per environment over all its readings so far; state is two counts and a total."""
-    return health.verdicts(health.classified(readings), [ENV])
 
+def after_migrations(batch: DataFrame, executed: DataFrame) -> DataFrame:
+    """What a micro-batch can add to the windows after migrations: its first readings after each, a few rows each."""
+    return health.window_after(executed, batch, keep=("reading_id",)).drop("checkpoint_no", "checkpoint", "health_status")
 
-def current(updates: DataFrame) -> DataFrame:
-    """The newest verdict of each environment from the update table of the stream."""
-    fields = [c for c in updates.columns if c not in (ENV, "batch_id")]
-    return (
-        updates.groupBy(ENV).agg(F.max_by(F.struct(*fields), "batch_id").alias("_last")).select(ENV, "_last.*")
-    )
 
+def window_verdicts(candidates: DataFrame, checkpoints: int = health.CHECKPOINTS) -> DataFrame:
+    """Verdict per migration over its first readings by event time, from the candidates of all micro-batches.
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    readings = adapters.readings_of(table_stream(spark, sf_dir, "events"))
-    return current(run_batches(running_verdicts(readings), "stream-health", mode="update"))
+    A late reading takes its place in the window whenever it arrives.
+    """
+    first = W.partitionBy(*MIGRATION).orderBy("ts", "reading_id")
+    rows = candidates.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= checkpoints)
+    return health.verdicts(health.classified(rows), MIGRATION)
 
 
-def first_of_batch(batch: DataFrame) -> DataFrame:
-    """What a micro-batch can add to the first readings of its environments: a few rows each."""
-    return health.first_readings(batch).drop("health_status", "checkpoint_no")
+def judge(readings: DataFrame, executed: DataFrame, label: str = "stream-health") -> DataFrame:
+    """Run a stream of readings against executed migrations; the verdict of each migration with readings after it."""
+    rows = run_batches(readings, label, prepare=lambda batch: after_migrations(batch, executed), schema=health.CANDIDATES)
+    return window_verdicts(rows.drop("batch_id"))
 
 
-def first_verdicts(candidates: DataFrame) -> DataFrame:
-    """Verdict over the first readings by event time, from the candidates of all micro-batches."""
-    return health.verdicts(health.first_readings(candidates.drop("batch_id")), [ENV])
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every migration."""
+    readings = adapters.readings_of(table_stream(spark, sf_dir, "events"))
+    return judge(readings, health.migrations(adapters.audit(spark, sf_dir)))
 
 
 def run_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict over each environment's first five readings.
-
-    Every micro-batch adds at most five rows per environment to a table, so late readings are
-    handled by the final pass and no per-environment state is kept in one task.
-    """
+    """The verdict of each environment's last migration."""
     readings = adapters.readings_of(table_stream(spark, sf_dir, "events"))
-    return first_verdicts(run_batches(readings, "stream-first", prepare=first_of_batch))
-
-
+    last = health.latest_migrations(adapters.audit(spark, sf_dir))
+    return judge(readings, last, "stream-first").drop("migration_seq")

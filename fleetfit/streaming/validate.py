@@ -12,20 +12,28 @@ from fleetfit.streaming.runner import run_append, table_stream
 LATENESS = "1 day"
 
 
-def validated(telemetry: DataFrame, environments: DataFrame | None = None, lateness: str = LATENESS) -> DataFrame:
+def validated(
+    telemetry: DataFrame, order: list[str], environments: DataFrame | None = None, lateness: str = LATENESS
+) -> DataFrame:
     """Valid readings of known environments, one per (timestamp, environment).
 
-    A stream has no input order but arrival, so the first valid arrival of a key is kept. Rules run
-    before the state, which then holds valid keys only and forgets them behind the watermark.
+    As in the batch form the first row of a key is kept, and rules are applied to it afterwards: a key
+    whose first row is invalid has no reading. ``order`` states the input order, so rows may arrive in
+    any; a key is settled, and forgotten, once the watermark has passed its time.
     """
-    rows = validation.without_nan(telemetry.select(*S.TELEMETRY_COLUMNS))
+    rows = validation.without_nan(telemetry.select(*S.TELEMETRY_COLUMNS, *order))
     rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    rows = rows.where(validation.valid_values(S.TELEMETRY_COLUMNS))
     if environments is not None:
-        rows = validation.known_environments(rows, environments).select(*S.TELEMETRY_COLUMNS)
-    return rows.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(S.KEYS)
+        rows = validation.known_environments(rows, environments)
+    # Order columns under names of their own: the least struct is the first row.
+    places = [F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)]
+    first = F.min(F.struct(*places, *S.METRICS)).alias("_first")
+    firsts = rows.withWatermark("timestamp", lateness).groupBy(*S.KEYS).agg(first)
+    out = firsts.select(*S.KEYS, *[F.col(f"_first.{m}").alias(m) for m in S.METRICS])
+    return out.where(validation.valid_values(S.TELEMETRY_COLUMNS))
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = adapters.telemetry_of(table_stream(spark, sf_dir, "lineitem"))
-    return run_append(validated(raw, adapters.environments(spark, sf_dir)), "stream-validate")
+    kept = validated(raw, adapters.INGEST_ORDER, adapters.environments(spark, sf_dir))
+    return run_append(kept, "stream-validate").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

@@ -6,7 +6,7 @@ from conftest import START, telemetry_rows
 from pyspark.sql import functions as F
 
 from fleetfit import schemas as S
-from fleetfit.operators import validation
+from fleetfit.operators import audit, gate, portfolio, scenarios, validation, whatif
 from fleetfit.operators.projection import Variant
 from fleetfit.plans.fleet import folder_fleet
 from fleetfit.schemas import INSUFFICIENT, SAFE, UNSAFE
@@ -34,7 +34,9 @@ def folder(tmp_path_factory):
 
 
 def test_csv_tables(spark, folder):
-    assert readers.environments(spark, folder).schema == S.ENVIRONMENTS
+    registry = readers.environments(spark, folder)
+    assert registry.select(S.ENVIRONMENTS.names).schema == S.ENVIRONMENTS
+    assert {r.status for r in registry.collect()} == {"RUNNING"} and "seq" in registry.columns
     prices = readers.pricing(spark, folder)
     assert prices.columns == ["timestamp", "instance_type", "hourly_price"] and prices.count() == 3
     assert prices.agg(F.sum("hourly_price")).first()[0] == pytest.approx(0.35)
@@ -66,6 +68,57 @@ def test_simulating_named_moves(spark, folder):
     assert {r.variant_id: r.decision for r in swept.collect()} == {"p0.0": SAFE, "p5.0": UNSAFE}
 
 
+def test_every_question_on_a_folder(spark, folder, tmp_path):
+    """Ranking, scenarios, gate and ledger need nothing that the tables do not have."""
+    fleet = folder_fleet(spark, folder)
+    steps = portfolio.step_down_rows(fleet.decided("step_down"))
+    ranks = [(r.environment_id, r["rank"]) for r in portfolio.ranked(steps, fleet.environments).orderBy("rank").collect()]
+    assert ranks == [("a", 1), ("b", 2)] or ranks == [("b", 1), ("a", 2)]
+    assert portfolio.top_safe(steps, fleet.environments, 1).count() == 1
+    picked = {r.scenario: r.environment_id for r in scenarios.pick(fleet.environments, scenarios.classify(fleet.telemetry)).collect()}
+    assert picked == {"normal": "a", "peak": "a", "bursty": "a"}
+    asked = [("a", "large", "medium"), ("a", "large", "tiny"), ("b", "medium", "small"), ("nobody", "large", "small")]
+    requests = spark.createDataFrame(asked, "environment_id string, expected_current string, candidate_instance_type string")
+    checked = gate.precheck(requests, fleet.environments, fleet.passes, fleet.pricing, fleet.catalog)
+    rows = {(r.environment_id, r.candidate_instance_type): r for r in checked.collect()}
+    assert rows["a", "medium"].event == gate.APPROVED and rows["b", "small"].state_check == "INSTANCE_MISMATCH"
+    assert rows["nobody", "small"].state_check == "NOT_FOUND"
+    assert rows["a", "tiny"].reason_codes == [whatif.UNKNOWN_TYPE] and whatif.UNKNOWN_TEXT in rows["a", "tiny"].message
+    strict = gate.precheck(requests, fleet.environments, fleet.passes, fleet.pricing, fleet.catalog, variant=Variant(max_cpu=5.0))
+    assert strict.where("candidate_instance_type = 'medium'").first().event == gate.BLOCKED
+    ledger = str(tmp_path / "ledger")
+    sinks.append_audit(sinks.stamped(gate.audit_rows(checked).drop("seq")), ledger)
+    assert audit.latest(readers.audit_log(spark, ledger)).count() == 3
+    grades = fleet.grades.withColumn("quality", F.lit("LOW"))
+    assert {r.decision for r in fleet.decided("step_down", grades=grades).collect()} == {INSUFFICIENT}
+
+
+def test_ledger_as_csv(spark, tmp_path):
+    path = tmp_path / "audit.csv"
+    lines = ["timestamp,environment_id,current_instance,candidate_instance,event,reason"]
+    lines += [f"2024-01-01T0{i}:00:00Z,a,large,medium,{e},r{i}" for i, e in enumerate(("PRECHECK_STARTED", "MIGRATION_EXECUTED"))]
+    lines += ["2024-01-01T07:00:00+05:00,b,large,medium,MIGRATION_APPROVED,x"]
+    path.write_text("\n".join(lines) + "\n")
+    rows = readers.audit_log(spark, str(path), "csv")
+    assert {r.environment_id: (r.event, r.timestamp.hour) for r in audit.latest(rows).collect()} == {
+        "a": ("MIGRATION_EXECUTED", 1),
+        "b": ("MIGRATION_APPROVED", 2),
+    }
+
+
+def test_repeated_moves_are_one_move(spark, folder):
+    fleet = folder_fleet(spark, folder, prejoined=True)
+    move = ("a", "large", "small")
+    (once,) = fleet.simulate([move]).collect()
+    twice = fleet.simulate([move, move]).collect()
+    assert [(r.row_count, r.simulated_monthly_cost) for r in twice] == [(once.row_count, once.simulated_monthly_cost)] * 2
+
+
+def test_a_type_outside_the_catalog_is_named(spark, folder):
+    (row,) = folder_fleet(spark, folder, prejoined=True).simulate([("a", "large", "xlarge")]).collect()
+    assert row.decision == INSUFFICIENT and row.reason_codes == [whatif.UNKNOWN_TYPE] and row.reasons == [whatif.UNKNOWN_TEXT]
+
+
 def test_lookup(spark, folder):
     fleet = folder_fleet(spark, folder)
     wanted = spark.createDataFrame([("a",), ("nobody",)], "environment_id string")
@@ -96,8 +149,15 @@ def test_union_merge_equals_the_outer_joins(spark):
 
 def test_duplicate_keys_multiply_rows(spark):
     parts = histories(spark, repeat=True)
-    assert merge.has_duplicate_keys(parts["memory_history"])
-    assert merge.merge_histories(parts).where("environment_id = 'e5'").count() == 2
+    merged, joined = (f(parts).select(S.TELEMETRY_COLUMNS) for f in (merge.merge_histories, merge.merge_by_joins))
+    assert merged.where("environment_id = 'e5'").count() == 2
+    assert sorted(merged.collect(), key=key) == sorted(joined.collect(), key=key)
+
+
+def test_null_keys_meet_no_other_row(spark):
+    parts = {n: h.unionByName(h.limit(1).withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))) for n, h in histories(spark).items()}
+    merged, joined = (f(parts).select(S.TELEMETRY_COLUMNS) for f in (merge.merge_histories, merge.merge_by_joins))
+    assert sorted(merged.collect(), key=key) == sorted(joined.collect(), key=key)
 
 
 def test_histories_round_trip(spark, telemetry, tmp_path):

@@ -6,7 +6,8 @@ import pytest
 from conftest import START, TESTDATA, telemetry_rows
 from pyspark.sql import functions as F
 
-from fleetfit.operators import health
+from fleetfit.operators import gate, health
+from fleetfit.plans.fleet import table_fleet
 from fleetfit.schemas import TELEMETRY
 from fleetfit.sources import adapters
 from fleetfit.streaming import audit as stream_audit
@@ -32,24 +33,13 @@ def stream(spark, folder):
     return runner.folder_stream(spark, folder, adapters.SCHEMAS["events"], files_per_batch=1)
 
 
-def test_running_verdicts_end_at_the_batch_result(spark, events_folder):
-    updates = runner.run_batches(
-        stream_health.running_verdicts(adapters.readings_of(stream(spark, events_folder))), "test-health", mode="update"
-    )
-    assert updates.select("batch_id").distinct().count() >= 5
+def test_verdicts_over_micro_batches(spark, events_folder):
+    """Every migration, and each environment's last one, are judged as in the batch form."""
     readings = adapters.readings(spark, TESTDATA)
-    want = health.verdicts(health.classified(readings), ["environment_id"])
-    got = stream_health.current(updates).select(want.columns)
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
-
-
-def test_first_readings_over_micro_batches(spark, events_folder):
-    rows = runner.run_batches(
-        adapters.readings_of(stream(spark, events_folder)), "test-first", prepare=stream_health.first_of_batch
-    )
-    want = health.verdicts(health.first_readings(adapters.readings(spark, TESTDATA)), ["environment_id"])
-    got = stream_health.first_verdicts(rows).select(want.columns)
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    executed = health.migrations(adapters.audit(spark, TESTDATA))
+    want = health.verdicts(health.window_after(executed, readings), stream_health.MIGRATION)
+    got = stream_health.judge(adapters.readings_of(stream(spark, events_folder)), executed, "test-health").select(want.columns)
+    assert want.count() > 0 and got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
 def test_closed_windows(spark, events_folder):
@@ -63,16 +53,21 @@ def test_closed_windows(spark, events_folder):
     assert out.select("window_start", "environment_id").distinct().count() == out.count()
 
 
-def test_stream_validation_keeps_one_valid_row_per_key(spark, registry, tmp_path):
+def test_stream_validation_keeps_the_first_row_of_a_key(spark, registry, tmp_path):
     folder = str(tmp_path / "in")
-    rows = telemetry_rows("a", [10.0, None, 500.0, 20.0])
+    rows = telemetry_rows("a", [10.0, None, 500.0, 20.0] + [30.0] * 40)
     again = telemetry_rows("a", [11.0, 12.0]) + telemetry_rows("stranger", [1.0])
-    for part in (rows, again):
-        spark.createDataFrame(part, TELEMETRY).coalesce(1).write.mode("append").parquet(folder)
-    telemetry = runner.folder_stream(spark, folder, TELEMETRY, files_per_batch=1)
-    got = runner.run_append(stream_validate.validated(telemetry, registry(a="small")), "test-validate").collect()
-    hours = sorted((r.timestamp.replace(tzinfo=None) - START) // timedelta(hours=1) for r in got)
-    assert hours == [0, 1, 3] and {r.environment_id for r in got} == {"a"}
+    schema = TELEMETRY.simpleString()[7:-1] + ",place:long"
+    for place, part in ((2, again), (1, rows)):
+        frame = spark.createDataFrame([(*r, place) for r in part], schema)
+        frame.coalesce(1).write.mode("append").parquet(folder)
+    source = spark.read.parquet(folder).schema
+    telemetry = runner.folder_stream(spark, folder, source, files_per_batch=1)
+    got = runner.run_append(stream_validate.validated(telemetry, ["place"], registry(a="small")), "test-validate").collect()
+    hours = {(r.timestamp.replace(tzinfo=None) - START) // timedelta(hours=1): r.cpu_utilization_pct for r in got}
+    # The second hour's first row is invalid, whatever came in its place; the last day is still open.
+    assert hours == {0: 10.0, 3: 20.0} | {h: 30.0 for h in range(4, 20)}
+    assert {r.environment_id for r in got} == {"a"}
 
 
 def test_a_repeated_micro_batch_does_not_repeat_its_rows(spark, tmp_path):
@@ -86,6 +81,11 @@ def test_a_repeated_micro_batch_does_not_repeat_its_rows(spark, tmp_path):
 
 
 def test_ledger_stream(spark, events_folder):
-    ledger = stream_audit.ledger(adapters.audit_of(stream(spark, events_folder)))
-    batch = adapters.audit(spark, TESTDATA)
-    assert ledger.count() == batch.count() == ledger.select("seq").distinct().count()
+    fleet = table_fleet(spark, TESTDATA)
+    requests = adapters.requests_of(stream(spark, events_folder))
+    ledger = stream_audit.decisions(requests, fleet)
+    checked = gate.precheck(
+        adapters.requests(spark, TESTDATA), fleet.environments, fleet.passes, fleet.pricing, fleet.catalog, fleet.large
+    )
+    want = gate.audit_rows(checked).select(ledger.columns)
+    assert ledger.exceptAll(want).count() == 0 and ledger.count() == want.count() > 0
