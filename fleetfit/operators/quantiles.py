@@ -62,15 +62,16 @@ NO_LARGE_GROUPS = LargeGroups("environment_id")
 
 
 def find_large_groups(
-    rows: DataFrame, key: str = "environment_id", limit: int = GROUP_LIMIT, known: DataFrame | None = None
+    rows: DataFrame, key: str = "environment_id", limit: int | None = None, known: DataFrame | None = None
 ) -> LargeGroups:
     """Look at the row counts of ``rows`` (an upper bound is fine, so pass unvalidated input).
 
-    A table of at most ``limit`` rows is settled by its total, which for parquet comes from the
+    A table of at most ``limit`` (``GROUP_LIMIT``) rows is settled by its total, which for parquet comes from the
     footers. Beyond that one partially aggregated count per key decides. With ``known`` only its ids
     can make a group large: rows of others are dropped before they are brought together. The ids
     found stay a table, however many they are.
     """
+    limit = GROUP_LIMIT if limit is None else limit
     total = rows.count()
     if total <= limit:
         return LargeGroups(key, rows=total)

@@ -226,11 +226,30 @@ def status(
 
     Fewer clean rows than the minimum makes an input INVALID and hides its warnings.
     """
-    groups = tagged(telemetry, order, environments).groupBy(*([by] if by else []))
-    counted = groups.agg(
+    return _verdict(_counted(tagged(telemetry, order, environments), by))
+
+
+def status_and_parts(
+    telemetry: DataFrame, order: list[str], environments: DataFrame | None = None, whole: str = "(all)"
+) -> DataFrame:
+    """The status of each environment and, under the id ``whole``, of the whole input.
+
+    Rows are counted per environment once; the whole is the sum of its parts.
+    """
+    parts = _counted(tagged(telemetry, order, environments), "environment_id")
+    total = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_rows", "clean_rows")])
+    total = total.select(F.lit(whole).alias("environment_id"), "input_rows", "clean_rows")
+    return _verdict(parts.unionByName(total))
+
+
+def _counted(rows: DataFrame, by: str | None) -> DataFrame:
+    return rows.groupBy(*([by] if by else [])).agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("input_rows"),
         F.count_if(F.col("failed_rule").isNull()).alias("clean_rows"),
     )
+
+
+def _verdict(counted: DataFrame) -> DataFrame:
     few = F.col("clean_rows") < S.MIN_CLEAN_ROWS
     return counted.withColumn(
         "status",
@@ -242,10 +261,15 @@ def status(
 
 def quality_grade(telemetry: DataFrame, order: list[str], by: str | None = None) -> DataFrame:
     """LOW, MEDIUM or HIGH; does not look at the registry."""
+    return graded(status(telemetry, order, by=by))
+
+
+def graded(judged: DataFrame) -> DataFrame:
+    """Rows with a status, with the quality that it means."""
     grade = (
         F.when(F.col("status") == "INVALID", "LOW")
         .when(F.col("status") == "WARNING", "MEDIUM")
         .when(F.col("clean_rows") > S.HIGH_QUALITY_ROWS, "HIGH")
         .otherwise("MEDIUM")
     )
-    return status(telemetry, order, by=by).withColumn("quality", grade).drop("issue")
+    return judged.withColumn("quality", grade).drop("issue")

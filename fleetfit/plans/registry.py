@@ -297,16 +297,14 @@ def val_issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def val_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of the whole input and of each environment's part of it."""
     fleet = table_fleet(spark, sf_dir)
-    whole = validation.status(fleet.input, fleet.order, fleet.environments).withColumn(ENV, F.lit("(all)"))
-    parts = validation.status(fleet.input, fleet.order, fleet.environments, by=ENV)
-    return shown(whole.unionByName(parts).withColumn("issue", F.coalesce("issue", F.lit(""))))
+    judged = validation.status_and_parts(fleet.input, fleet.order, fleet.environments)
+    return shown(judged.withColumn("issue", F.coalesce("issue", F.lit(""))))
 
 
 @query
 def val_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table_fleet(spark, sf_dir)
-    whole = validation.quality_grade(fleet.input, fleet.order).withColumn(ENV, F.lit("(all)"))
-    return shown(whole.unionByName(validation.quality_grade(fleet.input, fleet.order, by=ENV)))
+    return shown(validation.graded(validation.status_and_parts(fleet.input, fleet.order)))
 
 
 # --- baselines ---------------------------------------------------------------------------------
