@@ -96,7 +96,7 @@ def token_counts(
                 n = count(part.column("content").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("_digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
-    new = lead.select("_digest", "content").mapInArrow(counted, "digest binary, n_tokens long")
+    new = lead.select("_digest", "content").mapInArrow(counted, "digest binary, n_tokens long").dropDuplicates(["digest"])
     new.select("digest", F.lit(counter.version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return rows.join(stored(counts, "token-counts"), "digest").select(

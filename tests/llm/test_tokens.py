@@ -187,7 +187,7 @@ def test_mix(documents):
     assert mixed.columns == documents(rows).columns
     words = mixed.groupBy("source").agg(F.sum(F.size(F.expr("filter(split(text, ' '), x -> x <> '')"))).alias("w"))
     for r in words.collect():
-        assert abs(r.w - goal[r.source]) < 400
+        assert abs((r.w or 0) - goal[r.source]) < 400  # a source of null texts has no words
     assert mixing.mix(documents(rows).limit(0)).count() == 0
 
 
