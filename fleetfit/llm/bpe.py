@@ -25,7 +25,7 @@ from fleetfit.llm.wordpieces import definition_at, drops_white_space, encoder, j
 CUT_BITS = 9
 SHARED_CHUNKS = 4096
 #: Chunks kept per worker, about 3 kB each.
-CACHE_CHUNKS = 20_000
+CACHE_CHUNKS = 10_000
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -95,7 +95,7 @@ class ChunkEncoder:
                 self.kept.clear()
             self.kept[chunk] = found
         else:
-            if len(self.seen) >= 50 * CACHE_CHUNKS:
+            if len(self.seen) >= 20 * CACHE_CHUNKS:
                 self.seen.clear()
             self.seen.add(mark)
         return found

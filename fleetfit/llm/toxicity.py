@@ -27,7 +27,7 @@ SHORTEST, LONGEST = 3, 10
 MIN_DOCS, MIN_SHARE = 3, 0.003
 MIN_WEIGHT = 3.0
 #: Words kept per worker before the cache is started anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 # Closed word classes in the four languages of the corpus, and insults known beforehand.
 SEEDS = "idiot moron imbecile scum loser stupid pathetic worthless disgusting trash clown".split()

@@ -11,7 +11,9 @@ import re
 from functools import lru_cache
 
 #: Entries kept per worker before the cache is started anew; some 250 bytes each.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Pieces of words that are kept; most words are kept whole.
+CACHE_PIECES = 100_000
 
 #: Printable ASCII and the Latin-1 letters whose lower case and composition need no context (fixed values).
 SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -53,7 +55,7 @@ class WordEncoder:
     def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
         known = self.pieces.get(piece)
         if known is None:
-            if len(self.pieces) >= CACHE_WORDS:
+            if len(self.pieces) >= CACHE_PIECES:
                 self.pieces.clear()
             tokens = self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))
             known = self.pieces[piece] = (
