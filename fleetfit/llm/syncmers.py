@@ -57,9 +57,13 @@ def fingerprint(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda a: F.lpad(F.lower(F.hex(a["hash"])), 8, "0")), " ")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared part of the distinct anchors of both, 0 to 1; two texts without anchors are alike."""
-    x, y = a["hash"], b["hash"]
+def hashes(found: Column) -> Column:
+    """The anchors' hashes as 32-bit integers."""
+    return F.transform(found["hash"], lambda h: F.shiftright(F.shiftleft(h, 32), 32).cast("int"))
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """Shared part of the distinct hashes of both, 0 to 1; two texts without anchors are alike."""
     every = F.size(F.array_union(x, y))
     return F.when(every == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / every)
 
@@ -89,23 +93,28 @@ def successors(keys: DataFrame) -> DataFrame:
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``text``, ``n_chars``, ``donor`` (the beginning of the next document, as long as a
-    quarter of the text or all of it) and ``next_anchors``.
+    quarter of the text or all of it) and ``next_hashes``, those of its anchors.
 
     Ascending ids, null first; documents that share an id are ordered by a hash of their text, and rows that repeat
     both count as one document in that order. A sole document is its own successor.
     """
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # Ids as text, so that a null one is a key like any other and both joins below share one exchange of the texts.
+    key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select(key.alias("k"), F.xxhash64("text").alias("h"), "text")
     keys = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.length(text).cast("long").alias("n")).distinct()
     links = stored(successors(keys), "successors")
-    give = links.select(F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("quarter"), "next_id", "next_h")
-    once = Window.partitionBy("id", "h").orderBy(F.lit(1))
-    single = rows.withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    given = single.join(give, F.col("id").eqNullSafe(F.col("next_id")) & (F.col("h") == F.col("next_h"))).select(
-        "to_id", "to_h", F.left("text", "quarter").alias("donor"), anchors(F.col("text")).alias("next_anchors")
+    after = F.coalesce(F.concat(F.lit("="), F.col("next_id").cast("string")), F.lit(""))
+    give = links.select(
+        "id", key.alias("to"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("quarter"), after.alias("next"), "next_h"
+    )
+    # What a document passes on: no more of its text than is asked for, and its anchors' hashes.
+    given = rows.join(give, (F.col("k") == F.col("next")) & (F.col("h") == F.col("next_h"))).select(
+        "id", "to", "to_h", F.left("text", "quarter").alias("donor"), hashes(anchors(F.col("text"))).alias("next_hashes")
     )
-    met = rows.join(given, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
-    return met.select(F.col("id").alias(id_col), "text", F.length("text").cast("long").alias("n_chars"), "donor", "next_anchors")
+    given = given.dropDuplicates(["to", "to_h"])  # the successor may be a repeated row
+    met = rows.join(given, (F.col("k") == F.col("to")) & (F.col("h") == F.col("to_h")))
+    return met.select(F.col("id").alias(id_col), "text", F.length("text").cast("long").alias("n_chars"), "donor", "next_hashes")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +129,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         anchors(F.col("text")).alias("a"),
         anchors(F.col("edited")).alias("e"),
-        "next_anchors",
+        "next_hashes",
     )
     return rows.select(
         id_col,
@@ -128,6 +137,6 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "edited_sha256",
         fingerprint(F.col("a")).alias("fingerprint"),
         fingerprint(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e")).alias("near_edited"),
-        likeness(F.col("a"), F.col("next_anchors")).alias("near_next"),
+        likeness(hashes(F.col("a")), hashes(F.col("e"))).alias("near_edited"),
+        likeness(hashes(F.col("a")), F.col("next_hashes")).alias("near_next"),
     )
