@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Insults are words or word beginnings learned from labelled documents: those that are far more frequent in toxic ones, by
-a log-likelihood ratio that allows for the number of candidates, and that stand after several different words (so that a
-passage repeated in copies of one toxic document does not count). Small transducers each follow one thing along a clause
+a log-likelihood ratio that allows for the number of candidates, and that stand after several different words, the
+commonest of which does not stand before nearly all of them (so that a passage repeated in copies of one toxic document
+does not count, while the size of the sample has no say). Small transducers each follow one thing along a clause
 (negation, reported speech, target, threat); their composition marks every insult with what governs it. A clause adds the
 weight of its marked insults and threats to the document's sums, and a logistic model turns these into a score. Its
 weights are learned too, from given starting values, so that a construction without examples keeps its starting value.
@@ -26,6 +27,8 @@ FIT_DOCUMENTS = 20_000
 SHORTEST, LONGEST = 3, 10
 MIN_DOCS, MIN_SHARE = 3, 0.003
 MIN_WEIGHT = 3.0
+#: Different words before an insult, and the share of its documents after any but the commonest of these.
+MIN_BEFORE, MIN_OTHER = 3, 0.25
 #: Words kept per worker before the cache is started anew.
 CACHE_WORDS = 200_000
 
@@ -189,18 +192,25 @@ def _ratio(n1: float, n0: float, all1: float, all0: float) -> float:
     return 2 * (part(n1, n * all1 / total) + part(n0, n * all0 / total) + part(all1 - n1, (total - n) * all1 / total) + part(all0 - n0, (total - n) * all0 / total))
 
 
-def choose(counts: list[tuple[str, int, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """The lexicon from (feature, toxic documents, clean documents, different words before it)."""
-    known = {f: (n1, n0, d) for f, n1, n0, d in counts}
+def varied(n1: int, different: int, commonest: int) -> bool:
+    """Whether ``n1`` documents have a feature in several surroundings, and not nearly all in one. Both are the same for
+    a sample of any size; one document fewer is asked for, as the commonest word is one of the different ones."""
+    return different >= MIN_BEFORE and n1 - commonest >= MIN_OTHER * n1 - 1
+
+
+def choose(counts: list[tuple[str, int, int, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """The lexicon from (feature, toxic documents, clean documents, different words before it, toxic documents with the
+    commonest of these)."""
+    known = {f: (n1, n0, d, most) for f, n1, n0, d, most in counts}
     for seed in SEEDS:
-        n1, n0, d = known.get(seed + "$", (0, 0, 0))
-        known[seed + "$"] = (n1 + SEED_DOCS, n0, d + SEED_DOCS)
+        n1, n0, d, most = known.get(seed + "$", (0, 0, 0, 0))
+        known[seed + "$"] = (n1 + SEED_DOCS, n0, d + SEED_DOCS, most)
     least = 2 * math.log(max(2, len(counts))) + 6
     passed = {}
-    for feature, (n1, n0, different) in known.items():
+    for feature, (n1, n0, different, commonest) in known.items():
         weight = math.log((n1 + 0.5) / (toxic + SEED_DOCS + 1)) - math.log((n0 + 0.5) / (clean + 1))
         seed = feature[-1] == "$" and feature[:-1] in SEEDS
-        strong = _ratio(min(n1, toxic), n0, toxic, clean) >= least and different >= max(3, n1 / 4) if toxic and clean else False
+        strong = _ratio(min(n1, toxic), n0, toxic, clean) >= least and varied(n1, different, commonest) if toxic and clean else False
         if weight >= MIN_WEIGHT and strong or seed and (weight > 0 or not clean):
             passed[feature] = max(weight, 1.0)
     out = {}
@@ -257,11 +267,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.string())], names=["feature", "before"])
 
     least = max(MIN_DOCS, math.ceil(MIN_SHARE * toxic))
-    often = sample.where("toxic").select("text").mapInArrow(listed, "feature string, before string").groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("before").alias("different")
-    )
+    places = sample.where("toxic").select("text").mapInArrow(listed, "feature string, before string").groupBy("feature", "before").count()
+    often = places.groupBy("feature").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("different"), F.max("count").alias("commonest"))
     # Bounded by the sample: every toxic document of it has a share in ``least`` features at most as often as it has words.
-    hits = {r["feature"]: (r["n"], r["different"]) for r in often.where(F.col("n") >= least).collect()}
+    hits = {r["feature"]: (r["n"], r["different"], r["commonest"]) for r in often.where(F.col("n") >= least).collect()}
     wanted = spark.sparkContext.broadcast(frozenset(hits))
 
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     other = sample.where("not toxic").select("text").mapInArrow(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     clean_hits = {r["feature"]: r["n"] for r in other.collect()}
-    counts = [(f, n, clean_hits.get(f, 0), d) for f, (n, d) in hits.items()]
+    counts = [(f, n, clean_hits.get(f, 0), d, most) for f, (n, d, most) in hits.items()]
     entries = choose(counts, toxic, clean)
     names = ", ".join(f"{f} double" for f in FEATURES)
     inputs = sample.mapInArrow(_summing(entries, [], ["toxic"]), f"toxic boolean, {names}").collect()

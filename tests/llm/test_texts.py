@@ -139,6 +139,28 @@ def test_learning(spark, documents):
     assert {r.predicted for r in toxicity.scores(docs, bare).collect()} == {0}
 
 
+def test_an_insult_is_learned_from_a_sample_of_any_size(spark, documents, monkeypatch):
+    """Few words stand before an insult however many documents have it; a passage in copies still teaches nothing."""
+    monkeypatch.setattr(toxicity, "SEEDS", [])
+    for size in (60, 600):
+        random.seed(11)
+        plain = [f"w{i}" for i in range(60)]
+        rows, before = [], [f"b{i}" for i in range(12)]
+        for i in range(4 * size):
+            words = [random.choice(plain + before) for _ in range(30)]
+            if i % 4 == 0:
+                at = random.randrange(30)
+                words[at:at] = [min(random.choice(before), random.choice(before)), "zorkel"]
+            elif i % 4 == 1:
+                at = random.randrange(30)
+                words[at:at] = "here comes a passage of blarg in copies".split()
+            rows.append((i, " ".join(words)))
+        labels = spark.createDataFrame([(i, 1, int(i % 4 < 2)) for i in range(4 * size)], "doc_id long, quality int, toxic int")
+        learned = toxicity.train(documents(rows), labels).entries
+        assert any("zorkel$".startswith(e) for e in learned), size
+        assert not any("blarg$".startswith(e) for e in learned), size
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.scores(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").collect()
