@@ -23,6 +23,7 @@ def anchors(text: Column) -> Column:
     A text with too few words, or without an anchor, has one for its whole content; an empty one has none.
     """
     inner = OUTER - INNER  # hashes of inner runs start at i .. i + inner
+    covering = [*range(0, inner, INNER), inner]  # inner runs that together hold every word of an anchor
 
     def of_hashes(g: Column) -> Column:
         def chosen(i: Column) -> Column:
@@ -33,7 +34,7 @@ def anchors(text: Column) -> Column:
         return F.transform(
             places,
             lambda i: F.struct(
-                i.alias("pos"), F.xxhash64(g[i], g[i + inner // 2], g[i + inner]).bitwiseAND(F.lit(MASK)).alias("hash")
+                i.alias("pos"), F.xxhash64(*[g[i + j] for j in covering]).bitwiseAND(F.lit(MASK)).alias("hash")
             ),
         )
 

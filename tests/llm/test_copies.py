@@ -125,6 +125,22 @@ def test_closed_syncmers(spark):
     assert [a.pos for a in first.anchors] == chosen
 
 
+def test_every_word_of_an_anchor_is_in_its_hash(spark):
+    """Anchors of edited texts that stay at their place have another hash if the edit is within them, and only then."""
+    random.seed(6)
+    words = [f"w{random.randrange(1000)}" for _ in range(40)]
+    rows = [(i, " ".join([*words[:i], "edited", *words[i + 1 :]])) for i in range(40)]
+    frame = spark.createDataFrame([*rows, (99, " ".join(words))], "doc_id long, text string")
+    found = {r.doc_id: {a.pos: a.hash for a in r.anchors} for r in syncmers.fingerprints(frame).collect()}
+    own, inside = found.pop(99), set()
+    for i, anchors in found.items():
+        for pos in own.keys() & anchors.keys():
+            within = pos <= i < pos + syncmers.OUTER
+            assert (own[pos] != anchors[pos]) == within, (pos, i)
+            inside |= {i - pos} if within else set()
+    assert inside == set(range(syncmers.OUTER))
+
+
 def test_edited_texts(documents):
     rows = ODD[:8] + [(None, "word " * 30), (7, "déjà vu 😀 " * 40), (8, "one two three " * 20)]
     found = syncmers.edited_likeness(documents(rows)).collect()
