@@ -1,9 +1,11 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-The units are words (stretches over 32 code points count as several). Every run of ``INNER`` words has a hash; a run of
+The units are words; in stretches without white space over 32 code points, or with a character of a script that is written
+without spaces, every character is a unit (called a word below). Every run of ``INNER`` words has a hash; a run of
 ``OUTER`` words is an anchor if the smallest of the hashes inside it is the first or the last. Whether a run is chosen
 depends on nothing but its own words, so two texts choose the same anchors in a shared passage wherever it stands, and
 every stretch of ``2 * (OUTER - INNER)`` or more further words holds one. A fingerprint is the anchors in text order.
+In a text of fewer than ``SHORT`` words, which might have no anchor, all runs of ``INNER`` words are anchors too.
 """
 
 from __future__ import annotations
@@ -13,14 +15,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fleetfit.llm.common import let, stored, text_of
 
 OUTER, INNER = 10, 3
-UNIT = r"[^\x20\x09-\x0D]{1,32}+"
+SHORT = OUTER + 2 * (OUTER - INNER)
+SPACES = r"\x20\x09-\x0D"
+#: Thai and Lao, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+UNIT = rf"(?<![^{SPACES}])[^{SPACES}{UNSPACED}]{{1,32}}+(?![^{SPACES}])|[^{SPACES}]"
 MASK = 0xFFFFFFFF
 
 
 def anchors(text: Column) -> Column:
     """Array of (pos, hash) in text order: first word of the anchor and 32 bits of its hash.
 
-    A text with too few words, or without an anchor, has one for its whole content; an empty one has none.
+    A text of fewer words than an inner run has, or without an anchor, has one for its whole content; an empty one none.
     """
     inner = OUTER - INNER  # hashes of inner runs start at i .. i + inner
     covering = [*range(0, inner, INNER), inner]  # inner runs that together hold every word of an anchor
@@ -40,7 +46,11 @@ def anchors(text: Column) -> Column:
 
     def of_words(w: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(w) - INNER), lambda i: F.xxhash64(*[w[i + j] for j in range(INNER)]))
-        return F.when(F.size(w) >= OUTER, let(runs, of_hashes))
+        def of_runs(g: Column) -> Column:
+            low = F.transform(g, lambda h, i: F.struct(i.alias("pos"), h.bitwiseAND(F.lit(MASK)).alias("hash")))
+            return F.when(F.size(w) >= SHORT, of_hashes(g)).when(F.size(w) < OUTER, low).otherwise(F.array_sort(F.concat(of_hashes(g), low)))
+
+        return F.when(F.size(w) >= INNER, let(runs, of_runs))
 
     def whole(t: Column) -> Column:
         return F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(t).bitwiseAND(F.lit(MASK)).alias("hash")))

@@ -141,6 +141,23 @@ def test_every_word_of_an_anchor_is_in_its_hash(spark):
     assert inside == set(range(syncmers.OUTER))
 
 
+def test_texts_without_spaces_and_short_texts(spark):
+    """What stands before a passage does not change its anchors, and one edit leaves something in common."""
+    random.seed(12)
+    pairs = []
+    for letters, size in (("的一是不了人我在有他这为之大来以个中上们", 4000), ("abcdefghijklmnopqrstuvwxyz0123456789+/", 4000), ("กขคงจฉชซ", 200), ("的一是不了人我在有他", 30)):
+        text = "".join(random.choice(letters) for _ in range(size))
+        pairs.append((text, random.choice(letters) + text, 0.8))
+    for n in range(6, 50):
+        words = [f"w{random.randrange(1000)}" for _ in range(n)]
+        pairs.append((" ".join(words), " ".join([*words[:-1], "edited"]), 0.01))
+        pairs.append((" ".join(words), " ".join(words[:-1]), 0.01))
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string, least double")
+    found = frame.select("i", "least", *[syncmers.hashes(syncmers.anchors(F.col(c))).alias(c) for c in "ab"])
+    low = found.select("i", "least", syncmers.likeness(F.col("a"), F.col("b")).alias("near")).where("near < least").collect()
+    assert not low
+
+
 def test_edited_texts(documents):
     rows = ODD[:8] + [(None, "word " * 30), (7, "déjà vu 😀 " * 40), (8, "one two three " * 20)]
     found = syncmers.edited_likeness(documents(rows)).collect()
