@@ -4,6 +4,9 @@ A page becomes a list of text blocks. Each block gets evidence for content or bo
 its tag path, class names, length, punctuation and links; positive evidence is its capacity from the source, negative
 evidence its capacity to the sink. Neighbouring blocks, and consecutive blocks of one parent or grandparent, are tied by
 smoothness edges. The minimum cut is the labelling with the least total cost; the source side is the main text.
+
+A wrapper around article and sidebar is often named after what it also holds, or is a form. Where that seems to have cost
+a page its article, it is labelled a second time without the marks of such wrappers.
 """
 
 from __future__ import annotations
@@ -56,16 +59,18 @@ MARKUP = re.compile(
 )
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 CONCEALED = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Text that lifting the marks of wrappers must bring, as a multiple of the text without.
+LIFTED_TEXT = 4
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
     """White-space normalised text, its evidence, and the numbers of its parent and grandparent elements."""
 
-    __slots__ = ("text", "score", "parent", "grandparent")
+    __slots__ = ("text", "score", "parent", "grandparent", "content")
 
-    def __init__(self, text: str, score: float, parent: int, grandparent: int):
-        self.text, self.score, self.parent, self.grandparent = text, score, parent, grandparent
+    def __init__(self, text: str, score: float, parent: int, grandparent: int, content: bool):
+        self.text, self.score, self.parent, self.grandparent, self.content = text, score, parent, grandparent, content
 
 
 def _marks(rest: str) -> set[str]:
@@ -76,18 +81,30 @@ def _marks(rest: str) -> set[str]:
     return found
 
 
-def _path_evidence(name: str, rest: str, above: tuple) -> tuple:
-    """(in content, in boilerplate, in a form, named as content) below an element; ``above`` is that of its parent."""
+def _whole(rest: str) -> bool:
+    """Whether a whole class name, id or role marks what is not the article."""
+    return any(not BOILERPLATE_WORDS.isdisjoint("".join(groups).lower().split()) for groups in MARKS.findall(rest))
+
+
+def _holds(name: str, marked: bool) -> int:
+    """What an element says of those around it: 2 that they hold a main element, 1 that they hold an article, a title or
+    a part that is marked itself, so that a mark by a part of a name need not mean all of them."""
+    return 2 if name == "main" else int(marked or name in CONTENT_TAGS or name == "h1" or name in BOILERPLATE_TAGS)
+
+
+def _path_evidence(name: str, rest: str, above: tuple, lifted: bool = False) -> tuple:
+    """(in content, in boilerplate, in a form, named as content) below an element; ``above`` is that of its parent.
+    A ``lifted`` element is no form, and its names mark nothing."""
     content, boilerplate, form, named = above
     if name in CONTENT_TAGS:
         content, form = True, False
     elif name in BOILERPLATE_TAGS or name == "header" and not content:
         boilerplate = max(boilerplate, 2 if name != "header" else 1)
-    elif name == "form":
+    elif name == "form" and not lifted:
         form = True
     if rest and name != "body" and name != "html":
         marks = _marks(rest)
-        if marks & BOILERPLATE_WORDS or CONCEALED.search(rest):
+        if marks & BOILERPLATE_WORDS and not lifted or CONCEALED.search(rest):
             boilerplate = 2
         named = named or bool(marks & CONTENT_WORDS)
     return content, boilerplate, form, named
@@ -116,9 +133,12 @@ def _score(text: str, links: int, tag: str, path: tuple) -> float:
     return score + LINKS * min(1.0, links / len(text))
 
 
-def blocks(page: str) -> list[Block]:
-    """The visible text of a page, cut at block elements, in page order."""
+def blocks(page: str, lifted: frozenset[int] = frozenset(), wrappers: set[int] | None = None) -> list[Block]:
+    """The visible text of a page, cut at block elements, in page order. The marks of the elements numbered in ``lifted``
+    do not count; the numbers of those that may be wrappers are added to ``wrappers``."""
     out: list[Block] = []
+    held: dict[int, int] = {}  # element -> the most that one below it says
+    least: dict[int, int] = {}  # marked element -> what one below it must say for a wrapper
     stack: list[tuple[str, int, tuple]] = [("#", 0, (False, 0, False, False))]  # name, number, evidence of the path
     pieces: list[str] = []
     links = number = hidden = at = 0
@@ -132,7 +152,7 @@ def blocks(page: str) -> list[Block]:
                 around = list(islice((e for e in reversed(stack) if e[0] not in INLINE), 3))
                 # The elements around the one that holds the text; at the top the outermost counts again.
                 parent, grandparent = around[min(1, len(around) - 1)][1], around[-1][1]
-                out.append(Block(text, _score(text, links, around[0][0], stack[-1][2]), parent, grandparent))
+                out.append(Block(text, _score(text, links, around[0][0], stack[-1][2]), parent, grandparent, stack[-1][2][0]))
         links = 0
 
     def take(text: str) -> None:
@@ -192,9 +212,23 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         number += 1
-        stack.append((name, number, _path_evidence(name, rest, stack[-1][2])))
+        stack.append((name, number, _path_evidence(name, rest, stack[-1][2], number in lifted)))
+        if wrappers is not None:
+            marked = bool(rest) and name != "body" and name != "html" and not BOILERPLATE_WORDS.isdisjoint(_marks(rest))
+            if marked or name == "form":
+                least[number] = 2 if _whole(rest) else 1
+            says = _holds(name, marked)
+            if name == "main":
+                held[number] = 2
+            # What is above an element that knows as much knows it too.
+            for _, above, _ in islice(reversed(stack), 1, None) if says else ():
+                if held.get(above, 0) >= says:
+                    break
+                held[above] = says
         hidden += name in HIDDEN
     flush()
+    if wrappers is not None:
+        wrappers.update(n for n, says in least.items() if held.get(n, 0) >= says)
     return out
 
 
@@ -294,9 +328,19 @@ def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list
 
 def main_text(page: str | None) -> str:
     """Blocks labelled as content, joined by an empty line."""
-    found = blocks(page or "")
-    content = minimum_cut([b.score for b in found], edges(found))
-    return "\n\n".join(b.text for b, c in zip(found, content) if c)
+
+    def labelled(found: list[Block]) -> list[Block]:
+        return [b for b, c in zip(found, minimum_cut([b.score for b in found], edges(found))) if c]
+
+    kept = labelled(blocks(page or ""))
+    if page and not any(b.content for b in kept):
+        wrappers: set[int] = set()
+        blocks(page, wrappers=wrappers)
+        if wrappers:
+            more = labelled(blocks(page, frozenset(wrappers)))
+            if sum(len(b.text) for b in more) > LIFTED_TEXT * sum(len(b.text) for b in kept):
+                kept = more
+    return "\n\n".join(b.text for b in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

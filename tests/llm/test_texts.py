@@ -44,6 +44,24 @@ def test_without_semantic_tags():
     assert len(text) == 5 and text[-1] == "Fine."
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content-sidebar-wrap"', 'div class="layout has-sidebar"', 'div id="page-with-comments"', 'div class="social-news"', "form action=x"])
+@pytest.mark.parametrize("inner", ["main", "article", "div"])
+def test_wrappers_of_article_and_sidebar(wrapper, inner):
+    paragraphs = [f"Paragraph {i} is a whole sentence with a good number of words in it." for i in range(4)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    side = '<div class="sidebar"><p>See also these other things here, and many more of them.</p></div><aside><p>An aside that is long enough to look like a sentence.</p></aside>'
+    page = f"<body><nav><a href=1>One</a></nav><{wrapper}><{inner}><h1>The title</h1>{body}</{inner}>{side}</{wrapper.split()[0]}><footer>All rights reserved by the owner of this page.</footer>"
+    assert html_extract.main_text(page).split("\n\n") == ["The title", *paragraphs]
+
+
+def test_teasers_and_hidden_articles_stay_out():
+    body = "".join(f"<p>Paragraph {i} is a whole sentence with a good number of words in it.</p>" for i in range(4))
+    teaser = "<article><p>Another story that can be read on this site some time.</p></article>"
+    for around in ('<div class="sidebar">', '<div class="related-posts">', "<aside>", '<div hidden class="has-sidebar">'):
+        text = html_extract.main_text(f"<body><div id=x>{body}</div>{around}{teaser}</div>")
+        assert text.count("Paragraph") == 4 and "Another" not in text
+
+
 def test_minimum_cut_is_a_minimum():
     random.seed(3)
     for _ in range(300):
