@@ -90,6 +90,18 @@ def test_jaccard_components(documents, monkeypatch, usual, block, rule):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in found) == components(rows, *rule)
 
 
+def test_blocks_of_long_documents(spark, documents, monkeypatch):
+    """A block is bounded by shingles too, and more blocks give the same links."""
+    members = spark.createDataFrame([(1, 7, 1_000_000)] * 40 + [(2, 7, 400)] * 300, "hot long, band int, n int")
+    found = {r.hot: r.blocks for r in jaccard_join.block_counts(members).collect()}
+    assert 40 * 1_000_000 / found[1] <= 1 << 22 and found[2] == 2
+    monkeypatch.setattr(jaccard_join, "USUAL", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 200)
+    rows = near_copies()
+    got = jaccard_join.jaccard_components(documents(rows), 5, 80, 100).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == components(rows, 5, 80, 100)
+
+
 def test_one_of_each_group_stays(documents):
     rows = near_copies()
     kept = jaccard_join.one_of_each(documents(rows))
