@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetfit.llm import bpe, exact_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, syncmers, token_counts, toxicity
+from fleetfit.llm import bpe, exact_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, syncmers, token_counts, toxicity, whitening
 from fleetfit.llm.common import table
 
 #: The tokenizer file that the queries use, by its public name.
@@ -97,6 +97,12 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(documents(spark, sf_dir, "text"))
 
 
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened by their leading components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op8_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
