@@ -12,20 +12,16 @@ whole under another name and then renamed, so that a repeated task does no harm.
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from fleetfit import session
+from fleetfit.llm.arrays import load, save
 from fleetfit.llm.common import fold, stored, text_of
 from fleetfit.llm.wordhash import grouped, pack, pack_counts, summed, unpack, unpack_counts
 
@@ -38,41 +34,6 @@ SMALL = np.uint64(32)
 ADD = 0.1
 
 
-# --- files in the shared folder ----------------------------------------------------------------
-
-
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
-
-
-def save(path: str, array: np.ndarray) -> None:
-    system, name = _place(path)
-    data = io.BytesIO()
-    np.save(data, array)
-    system.create_dir(name.rpartition("/")[0], recursive=True)
-    own = f"{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(own) as out:
-        out.write(data.getbuffer())
-    system.move(own, name)
-
-
-def load(path: str) -> np.ndarray:
-    """The array, memory-mapped. Where the shared folder is no file system of this machine, a copy is mapped whose
-    name is removed at once: nothing stays behind."""
-    system, name = _place(path)
-    if isinstance(system, fs.LocalFileSystem):
-        return np.load(name, mmap_mode="r")
-    with tempfile.NamedTemporaryFile(delete=False) as copy, system.open_input_stream(name) as source:
-        while part := source.read(1 << 24):
-            copy.write(part)
-    try:
-        return np.load(copy.name, mmap_mode="r")
-    finally:
-        os.unlink(copy.name)
-
-
 # --- the model as workers see it ---------------------------------------------------------------
 
 

@@ -7,11 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetfit.llm import bpe, exact_dedup, html_extract, jaccard_join, mixing, ngram_lm, pii, syncmers, token_counts, toxicity, whitening
+from fleetfit.llm import (
+    bpe,
+    exact_dedup,
+    html_extract,
+    jaccard_join,
+    mixing,
+    ngram_lm,
+    pii,
+    syncmers,
+    token_alignment,
+    token_counts,
+    toxicity,
+    whitening,
+)
 from fleetfit.llm.common import table
 
 #: The tokenizer file that the queries use, by its public name.
 TOKENIZER = "word_bpe_49k.json"
+#: The two tokenizers that are aligned.
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +112,13 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(documents(spark, sf_dir, "text"))
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned tokens of all documents, and how common their linked pairs are."""
+    paths = public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES)
+    return token_alignment.aligned(documents(spark, sf_dir, "text"), *paths)
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings whitened by their leading components."""
