@@ -261,6 +261,8 @@ def train(texts: DataFrame, tokens_per_range: int = TOKENS_PER_RANGE) -> Model:
     folder = session.scratch_path(spark, "llm-ngrams")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = count_words(texts, folder, max(4, size // (8 * tokens_per_range)))
+    if words.kinds >= 1 << 32:
+        raise OverflowError("a pair holds two numbers of words below 2 ** 32; train on fewer distinct tokens")
     ranges = len(words.sizes)
     bounds = pair_bounds(words, max(4, words.tokens // tokens_per_range)) if words.tokens else (0,)
     low = np.array(bounds, np.uint64)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import zstandard
+from xxhash import xxh3_64_intdigest
 
 from fleetfit.llm.common import FOLD
 
@@ -21,50 +24,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-BASE = 0x5851F42D4C957F2D
-INVERSE = pow(BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, np.ndarray] = {}
+#: Words are told apart by 64-bit hashes of their bytes under this key (any number would do).
+KEY = 0x5851F42D4C957F2D
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        x = np.full(max(n, 2 * GROUP_BYTES), base, np.uint64)
-        x[0] = 1
-        known = _powers[base] = np.multiply.accumulate(x)
-    return known[:n]
+def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
+    """Hash of every word of a text, with A-Z folded unless told otherwise. Words are made a megabyte at a time."""
+    parts, at = [], 0
+    while at < len(text):
+        space = _SPACE.search(text, at + GROUP_BYTES) if len(text) - at > GROUP_BYTES else None
+        end = space.start() if space else len(text)
+        words = (text[at:end].translate(FOLD) if fold else text[at:end]).split()
+        parts.append(np.fromiter(map(xxh3_64_intdigest, words, repeat(KEY)), np.uint64, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, hash) of every word of a text, A-Z folded. The hash is a polynomial of random byte values."""
-    data = np.frombuffer(text.translate(FOLD), np.uint8)
-    inside = np.empty(len(data) + 2, bool)
-    inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = turns[::2], turns[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * _power(BASE, len(data)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
-    return starts, hashes
-
-
-def grouped(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def grouped(texts: list[str | None], fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For stretches of texts of about a megabyte (or one longer text): (first, end, words per text, hashes)."""
     first = 0
     while first < len(texts):
         end, parts, size = first, [], 0
         while end < len(texts) and (end == first or size < GROUP_BYTES):
-            parts.append((texts[end] or "").encode())
-            size += len(parts[-1]) + 1
+            text = (texts[end] or "").encode()
+            parts.append(word_hashes(text, fold))
+            size += len(text) + 1
             end += 1
-        starts, hashes = word_hashes(b"\n".join(parts))
-        bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        yield first, end, np.diff(np.searchsorted(starts, bounds)), hashes
+        yield first, end, np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
         first = end
 
 

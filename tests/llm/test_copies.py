@@ -19,6 +19,16 @@ def copies():
     return ODD + [(1, long), (2, long), (3, long + "!"), (4, long[:-1]), (None, "a"), *[(10 + i, "same text") for i in range(40)]]
 
 
+def test_unlike_words_of_one_pattern(documents):
+    """Two long words that differ in every letter, with equal polynomials modulo 2 ** 64, are not linked."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    found = jaccard_join.jaccard_components(documents([(1, f"{word} x y"), (2, f"{other} x y"), (3, f"{word} x y")]))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("hot", [1, 200])
 def test_equal_texts(documents, monkeypatch, hot):
     monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)

@@ -96,6 +96,30 @@ def test_word_hashes():
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(bits):
+    """A word and its complement whose polynomial hashes modulo a power of two are equal, whatever the base."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_as_polynomials():
+    one, other = thue_morse(10)
+    assert len(one) == 1024
+    _, _, sizes, hashes = next(wordhash.grouped([f"{one} {other} x{one} x{other}"]))
+    assert sizes.tolist() == [4] and len(set(hashes.tolist())) == 4
+
+
+def test_long_text_in_parts(monkeypatch):
+    text = "Ab c\td\xa0e " * 500 + "end"
+    whole = wordhash.word_hashes(text.encode())
+    monkeypatch.setattr(wordhash, "GROUP_BYTES", 7)
+    assert wordhash.word_hashes(text.encode()).tolist() == whole.tolist()
+    assert wordhash.word_hashes(b"Ab", fold=False) != wordhash.word_hashes(b"Ab")
+    assert len(whole) == len(words_of(text))
+
+
 def test_language_model(documents):
     random.seed(5)
     vocabulary = [f"w{int(random.paretovariate(0.8))}" for _ in range(400)]
