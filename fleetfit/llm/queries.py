@@ -15,6 +15,7 @@ from fleetfit.llm import (
     mixing,
     ngram_lm,
     pii,
+    substring_dedup,
     syncmers,
     token_alignment,
     token_counts,
@@ -112,6 +113,13 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(documents(spark, sf_dir, "text"))
 
 
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without windows of 13 words that an earlier one has."""
+    found = substring_dedup.without_repeats(documents(spark, sf_dir, "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned tokens of all documents, and how common their linked pairs are."""
@@ -163,3 +171,20 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
             ELSE (words // source_size) * size + greatest(0, least(start + size, words % source_size) - start) END::BIGINT AS taken
 FROM s
 """
+
+ORACLES["op11_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS words FROM d, unnest(range(1, len(ws) - 11)) AS t(i)
+), f AS (
+  SELECT words, min(doc_id) AS least FROM g GROUP BY words HAVING min(doc_id) < max(doc_id)
+), c AS (
+  SELECT DISTINCT doc_id, j FROM (SELECT doc_id, i FROM g JOIN f USING (words) WHERE least < doc_id), unnest(range(i, i + 13)) AS t(j)
+), k AS (
+  SELECT doc_id, count(c.j) AS n_removed, string_agg(ws[p.j], ' ' ORDER BY p.j) FILTER (c.j IS NULL) AS kept
+  FROM (SELECT doc_id, ws, j FROM d, unnest(range(1, len(ws) + 1)) AS t(j)) p LEFT JOIN c USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

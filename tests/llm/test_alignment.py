@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from text_fixtures import documents  # noqa: F401
@@ -96,16 +97,43 @@ def test_odd_texts(documents, libraries):
     same(token_alignment.aligned(documents(rows), *PATHS), rows, libraries)
 
 
-def test_small_caches_and_slices(documents, libraries, monkeypatch):
-    """Long texts in slices, a cache that overflows, sums given on in pieces: one result."""
+def test_sums_in_pieces(documents, libraries, monkeypatch):
+    """Counts that are given on in pieces, many parts and tasks: one result."""
     random.seed(6)
     words = ["alpha", "beta,", "Gamma", "naïve", "\ndelta", "x1", "  ", "日本語", "end."]
     rows = [(i, " ".join(random.choices(words, k=random.choice([3, 40, 3000])))) for i in range(60)]
-    for name, value in (("SLICE", 50), ("CACHE_BYTES", 3000), ("SLAB_ROWS", 3), ("HELD", 20), ("BYTES_PER_PART", 1000)):
+    for name, value in (("HELD", 20), ("BYTES_PER_PART", 1000)):
         monkeypatch.setattr(token_alignment, name, value)
     same(token_alignment.aligned(documents(rows).repartition(3), *PATHS), rows, libraries)
 
 
+def test_small_caches_and_slices(libraries, monkeypatch):
+    """Long texts in slices and a cache that overflows give what whole texts give."""
+    monkeypatch.setattr(token_alignment, "SLICE", 30)
+    monkeypatch.setattr(token_alignment, "CACHE_BYTES", 3000)
+    known, cleared = token_alignment.Aligner(token_alignment.read_tokenizers(*PATHS)), 0
+    for text in [" ".join(odd_texts(20)[i:]) for i in range(20)] + ["plain words only " * 30, "中文字 " * 50]:
+        cleared += known.full
+        numbers, sizes = known.numbers([text, None, text])
+        want = libraries[0].encode(" " + text, add_special_tokens=False).ids
+        expected = next(brute([(0, text)], libraries))
+        assert sizes[1] == 0 and sizes[0] == sizes[2]
+        found = b";".join(known.groups[i] for i in numbers[: sizes[0]]).decode()
+        assert (hashlib.sha256(found.encode()).hexdigest() if sizes[0] else "") == expected[-1]
+        if sizes[0]:
+            assert [int(x) for g in found.split(";") for x in g.split("|")[0].split(",")] == want
+    assert cleared
+
+
+def test_slabs(monkeypatch):
+    monkeypatch.setattr(token_alignment, "SLAB_ROWS", 3)
+    monkeypatch.setattr(token_alignment, "SLAB_BYTES", 10)
+    texts = ["a", "b", "c", "d", "x" * 50, None, "yyyyyy", "zzzzzz", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    slabs = [s.column("text").to_pylist() for s in token_alignment._slabs([batch])]
+    assert sum(slabs, []) == texts and slabs == [["a", "b", "c"], ["d"], ["x" * 50], [None, "yyyyyy"], ["zzzzzz", ""]]
+
+
 def test_no_documents(documents):
     assert token_alignment.aligned(documents([]), *PATHS).collect() == []
     assert token_alignment.aligned(documents([(1, None)]), *PATHS).first()["n_links"] == 0
