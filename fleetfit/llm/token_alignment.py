@@ -3,15 +3,15 @@
 Tokenizer A is a byte-level BPE of the tokenizers library, B a sentencepiece model that puts a space in front. Places where
 tokens of both end cut a text into groups; every A token of a group is linked with every B token of it.
 
-1. Distinct pairs of linked ids, gathered per task and dealt by a hash. There are at most as many as ids of A times ids of B.
-2. Per part, a minimal perfect hash function of its pairs, and the pairs in the order of their numbers to verify look-ups.
+1. Documents are encoded once, and their ids stored. Both tokenizers end a token before a single space that follows a visible
+   character, so the stretches between such places are encoded on their own, and once per worker. A document with a stretch
+   that does not come back is encoded whole.
+2. Distinct pairs of linked ids are gathered per task and dealt by a hash. There are at most as many as ids of A times ids of
+   B. Each part gets a minimal perfect hash function of its pairs, and keeps them in the order of their numbers to verify.
 3. Documents are aligned once more: tasks add up dense vectors of counts indexed by number, which are summed in two steps.
    The largest count of every A id is taken from them.
 4. Documents are aligned a last time, and links look up their counts.
 
-Both tokenizers end a token before a single space that follows a visible character, so the stretches between such places are
-encoded on their own, and once per worker. A document with a stretch that does not come back is encoded whole.
-
 Defined results: a null or empty text, or one whose tokens do not give it back, has no tokens, zeros and '' as digest. Rows
 with the same id, or none, are documents of their own. Other columns are ignored; an empty table gives no rows.
 """
@@ -22,7 +22,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,11 +31,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from fleetfit import session
 from fleetfit.llm.arrays import load, save
+from fleetfit.llm.common import stored
 from fleetfit.llm.perfect_hash import PerfectHash, build
 from fleetfit.llm.wordhash import mix, pack, pack_counts, summed, unpack, unpack_counts
 
@@ -51,11 +52,14 @@ SLICE = 1 << 20
 CACHE_BYTES = 1 << 27
 #: Rows and bytes of text that are worked on at once, if that is more than one row.
 SLAB_ROWS, SLAB_BYTES = 512, 1 << 22
+#: Links of a group from which on its different ids are paired instead of its tokens.
+LARGE_GROUP = 1 << 12
 #: Bytes of text for each part of the pairs, the most parts, pairs held at once in a task, and branches of the first sum.
 BYTES_PER_PART, PARTS = 1 << 26, 256
 HELD = 2_000_000
 BRANCHES = 16
-WIDTH = np.uint64(1 << 32)
+#: Ids are stored in so many bytes.
+ID, SIZE = np.dtype("<u2"), 2
 
 
 class Tokenizers(NamedTuple):
@@ -89,18 +93,7 @@ def stretches(text: str) -> Iterator[str]:
         yield " " + " ".join(held)
 
 
-class Pair(NamedTuple):
-    """Tokens of a stretch: ids, the groups as text, and its linked pairs with their numbers of links."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    keys: list[int]
-    links: list[int]
-
-
-class Aligner:
+class Encoder:
     """Both tokenizers in a worker, with the stretches that it met."""
 
     def __init__(self, files: Tokenizers):
@@ -113,122 +106,79 @@ class Aligner:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b)
-        self.ids_b = self.b.get_piece_size()
         rules, shown = json.loads(files.a), {c: b for b, c in enumerate(_byte_letters())}
         cut = rules.get("pre_tokenizer") or {}
         plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
         if not plain or rules.get("normalizer") or set(shown) != set(pre_tokenizers.ByteLevel.alphabet()):
             raise ValueError("tokenizer A is not a byte-level one without a normalizer")
-        pieces = [self.b.id_to_piece(i) for i in range(self.ids_b)]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces) or self.b.encode("a", out_type=str) != ["▁a"]:
             raise ValueError("tokenizer B puts no space in front, or has pieces across spaces")
-        self.bytes_a = {i: bytes(shown[c] for c in t) for t, i in self.a.get_vocab().items() if all(c in shown for c in t)}
-        self.ids_a = max(self.bytes_a) + 1
-        self.bytes_b = [self._bytes_b(i) for i in range(self.ids_b)]
-        self.generation = 0
-        self.clear()
-
-    def _bytes_b(self, i: int) -> bytes:
-        piece = self.b.id_to_piece(i)
-        return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
-
-    def clear(self) -> None:
-        self.generation += 1
-        self.bytes = 0
-        self.number: dict[str, int] = {}
-        self.groups: list[bytes] = []
-        self.counts = array("q")  # of every stretch: tokens of A, of B, groups, place of its first key
-        self.keys, self.links = array("q"), array("q")
-        self.bad: set[int] = set()
-
-    def _align(self, whole: bytes, a: list[int], b: list[int]) -> Pair | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
+        names = self.a.get_vocab()
+        self.bytes_a = [b""] * (max(names.values()) + 1)
+        for t, i in names.items():
+            self.bytes_a[i] = bytes(shown[c] for c in t) if all(c in shown for c in t) else t.encode()
+        self.bytes_b = [
+            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
+        ]
+        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.held = 0
+
+    def _checked(self, whole: str, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        data, of_a, of_b = whole.encode(), self.bytes_a, self.bytes_b
+        if b"".join([of_a[i] for i in a]) != data or b"".join([of_b[i] for i in b]) != data:
             return None
-        groups, links = [], Counter()
-        i = j = at_a = at_b = first_a = first_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b and i < len(a):
-                at_a += len(parts_a[i])
-                i += 1
-            else:
-                at_b += len(parts_b[j])
-                j += 1
-            if at_a == at_b and i > first_a and j > first_b:
-                own_a, own_b = a[first_a:i], b[first_b:j]
-                first_a, first_b = i, j
-                groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-                if len(own_a) == 1 and len(own_b) == 1:
-                    links[own_a[0] * self.ids_b + own_b[0]] += 1
-                    continue
-                kinds_b = Counter(own_b).items()
-                for x, n in Counter(own_a).items():
-                    for y, m in kinds_b:
-                        links[x * self.ids_b + y] += n * m
-        return Pair(len(a), len(b), len(groups), ";".join(groups).encode(), list(links), list(links.values()))
-
-    def _add(self, found: Pair | None) -> int:
-        n = len(self.groups)
-        self.bytes += 300 if found is None else 300 + len(found.groups) + 16 * len(found.keys)
-        if found is None:
-            self.bad.add(n)
-            found = Pair(0, 0, 0, b"", [], [])
-        self.groups.append(found.groups)
-        self.counts.extend((found.n_a, found.n_b, found.n_groups, len(self.keys)))
-        self.keys.extend(found.keys)
-        self.links.extend(found.links)
-        return n
-
-    def _encode(self, parts: list[str]) -> Iterator[Pair | None]:
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            a = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
-            b = self.b.encode([p[1:] for p in some], num_threads=1)
-            yield from (self._align(p.encode(), x, y) for p, x, y in zip(some, a, b))
-
-    @property
-    def full(self) -> bool:
-        """Whether the next call of ``numbers`` begins with an empty cache, and counts from 0 again."""
-        return self.bytes > CACHE_BYTES
-
-    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(stretches of all texts as numbers, how many each text has)."""
-        if self.full:
-            self.clear()
-        known, sizes, out = self.number, np.zeros(len(texts), np.int64), array("q")
-        for k, text in enumerate(texts):
-            if not text:
+        return np.array(a, ID), np.array(b, ID)
+
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and B for a text with a space in front; None if they do not give it back."""
+        return self._checked(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1))
+
+    def learn(self, new: list[str]) -> None:
+        """Encode stretches, many at a time as one text: each begins where a token of both begins."""
+        joint = [s for s in new if ENDS_VISIBLE.search(s) and s[1:2] not in ("", " ")]
+        for at in range(0, len(joint), 256):
+            some = joint[at : at + 256]
+            found = self.whole("".join(some)[1:])
+            if found is None:
                 continue
-            before = len(out)
-            for slice_ in _slices(text):
-                try:
-                    out.extend([known[s] for s in slice_])
-                except KeyError:
-                    new = [s for s in dict.fromkeys(slice_) if s not in known]
-                    known.update(zip(new, [self._add(p) for p in self._encode(new)]))
-                    out.extend([known[s] for s in slice_])
-            if self.bad and not self.bad.isdisjoint(out[before:]):
-                del out[before:]
-                whole = " " + text
-                ids = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
-                found = self._align(whole.encode(), *ids)
-                if found is not None:
-                    out.append(self._add(found))
-            sizes[k] = len(out) - before
-        return np.array(out, np.int64), sizes
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(counts per stretch with the end of its keys as the last column, keys, links per key)."""
-        counts = np.array(self.counts, np.int64).reshape(-1, 4)
-        ends = np.append(counts[1:, 3], len(self.keys))
-        return np.column_stack([counts, ends]) if len(counts) else np.zeros((0, 5), np.int64), np.array(self.keys), np.array(self.links)
-
-
-def _slices(text: str) -> Iterator[list[str]]:
-    """Stretches of a text, a bounded number at a time."""
-    found = stretches(text)
-    while held := list(islice(found, 200_000)):
-        yield held
+            ends = np.cumsum([len(s.encode()) for s in some])
+            cuts = []
+            for ids, length in zip(found, (self.length_a, self.length_b)):
+                sums = np.cumsum(length[ids])
+                after = np.searchsorted(sums, ends) + 1
+                if not np.array_equal(sums[after - 1], ends):
+                    break
+                cuts.append([0, *after.tolist()])
+            if len(cuts) == 2:
+                a, b = (ids.tobytes() for ids in found)
+                for s, i, j, k, m in zip(some, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
+                    self.known[s] = a[SIZE * i : SIZE * j], b[SIZE * k : SIZE * m]
+        for s in new:
+            if s not in self.known:
+                found = self.whole(s[1:])
+                self.known[s] = found and (found[0].tobytes(), found[1].tobytes())
+        self.held += sum(2 * len(s) + 350 for s in new)
+
+    def encode(self, text: str | None) -> tuple[bytes, bytes]:
+        """Ids of A and of B as bytes; none for a text without tokens."""
+        if not text:
+            return b"", b""
+        if self.held > CACHE_BYTES:
+            self.known.clear()
+            self.held = 0
+        parts, found, known = [], stretches(text), self.known
+        while some := list(islice(found, 100_000)):
+            try:
+                parts += [known[s] for s in some]
+            except KeyError:
+                self.learn([s for s in dict.fromkeys(some) if s not in known])
+                parts += [known[s] for s in some]
+        if None in parts:
+            ids = self.whole(text)
+            return (ids[0].tobytes(), ids[1].tobytes()) if ids else (b"", b"")
+        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
 
 def _byte_letters() -> list[str]:
@@ -239,12 +189,85 @@ def _byte_letters() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _aligner(files: Tokenizers) -> Aligner:
-    return Aligner(files)
-
-
-def aligner(shared) -> Aligner:
-    return _aligner(shared.value)
+def _encoder(files: Tokenizers) -> Encoder:
+    return Encoder(files)
+
+
+def encoder(shared) -> Encoder:
+    return _encoder(shared.value)
+
+
+class Lengths(NamedTuple):
+    """Bytes of every token of A and of B."""
+
+    a: np.ndarray
+    b: np.ndarray
+
+
+class Links(NamedTuple):
+    """Alignment of a batch of documents, one after the other.
+
+    ``a`` and ``b`` are the ids; ``end_a`` and ``end_b`` the tokens up to the end of each group; ``group_ends`` the groups up
+    to the end of each document. Every link has a document, a key of two ids, and how many pairs of tokens it stands for."""
+
+    a: np.ndarray
+    b: np.ndarray
+    tokens_a: np.ndarray
+    tokens_b: np.ndarray
+    end_a: np.ndarray
+    end_b: np.ndarray
+    group_ends: np.ndarray
+    document: np.ndarray
+    key: np.ndarray
+    times: np.ndarray
+
+
+def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], lengths: Lengths) -> Links:
+    a, b = (np.concatenate(i).astype(np.int64) if i else np.zeros(0, np.int64) for i in (ids_a, ids_b))
+    tokens_a, tokens_b = (np.array([len(x) for x in i], np.int64) for i in (ids_a, ids_b))
+    # Documents have as many bytes in A as in B, so places of all documents can be compared at once.
+    place_a, place_b = np.cumsum(lengths.a[a]), np.cumsum(lengths.b[b])
+    size = int(place_a[-1]) + 1 if len(a) else 1
+    ends = np.zeros((2, size), bool)
+    ends[0, place_a], ends[1, place_b] = True, True
+    end_a, end_b = np.flatnonzero(ends[1, place_a]) + 1, np.flatnonzero(ends[0, place_b]) + 1
+    group_ends = np.searchsorted(end_a, np.cumsum(tokens_a), side="right")
+    start_a, start_b = (np.concatenate([[0], e])[:-1] for e in (end_a, end_b))
+    n_a, n_b = end_a - start_a, end_b - start_b
+    document = np.repeat(np.arange(len(ids_a)), np.diff(np.concatenate([[0], group_ends])))
+    usual = np.flatnonzero(n_a * n_b < LARGE_GROUP)
+    pairs = (n_a * n_b)[usual]
+    nth = np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    group = np.repeat(usual, pairs)
+    key = a[start_a[group] + nth // n_b[group]] * len(lengths.b) + b[start_b[group] + nth % n_b[group]]
+    times, document_of = np.ones(len(key), np.int64), document[group]
+    for g in np.flatnonzero(n_a * n_b >= LARGE_GROUP):
+        x, n = np.unique(a[start_a[g] : end_a[g]], return_counts=True)
+        y, m = np.unique(b[start_b[g] : end_b[g]], return_counts=True)
+        key = np.concatenate([key, (x[:, None] * len(lengths.b) + y).reshape(-1)])
+        times = np.concatenate([times, (n[:, None] * m).reshape(-1)])
+        document_of = np.concatenate([document_of, np.full(len(x) * len(y), document[g])])
+    return Links(a, b, tokens_a, tokens_b, end_a, end_b, group_ends, document_of, key.astype(np.uint64), times)
+
+
+def shown_groups(links: Links, table: list[bytes], ids_a: int, ids_b: int) -> list[bytes]:
+    """Per document the groups as text. ``table`` holds every id of A with ',' and with '|', and of B with ',' and with ';'."""
+    start_a, start_b = (np.concatenate([[0], e])[:-1] for e in (links.end_a, links.end_b))
+    n_a, n_b = links.end_a - start_a, links.end_b - start_b
+    order = np.empty(len(links.a) + len(links.b), np.int64)
+    last_a, last_b = np.zeros(len(links.a), bool), np.zeros(len(links.b), bool)
+    last_a[links.end_a - 1], last_b[links.end_b - 1] = True, True
+    order[np.arange(len(links.a)) + np.repeat(start_b, n_a)] = links.a + ids_a * last_a
+    order[np.arange(len(links.b)) + np.repeat(links.end_a, n_b)] = links.b + 2 * ids_a + ids_b * last_b
+    pieces, out, at = order.tolist(), [], 0
+    for n in (links.tokens_a + links.tokens_b).tolist():
+        out.append(b"".join([table[i] for i in pieces[at : at + n]])[:-1])
+        at += n
+    return out
+
+
+def shown_ids(ids_a: int, ids_b: int) -> list[bytes]:
+    return [b"%d%c" % (i, end) for n, ends in ((ids_a, b",|"), (ids_b, b",;")) for end in ends for i in range(n)]
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -261,9 +284,10 @@ def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield p, order[cuts[p] : cuts[p + 1]]
 
 
-def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slabs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a bounded number of bytes in ``column``, at least one."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             end = np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB_BYTES, side="right")
@@ -272,38 +296,56 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def _expand(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All places from each start up to its end, one after the other."""
-    sizes = ends - starts
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+# --- the passes --------------------------------------------------------------------------------
 
 
-# --- the passes --------------------------------------------------------------------------------
+def encoded(rows: DataFrame, shared, kind: str) -> DataFrame:
+    """Stored table of (id, a, b): the ids of each document, compressed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, small = encoder(shared), zstandard.ZstdCompressor(level=1)
+        for slab in _slabs(batches, "text"):
+            both = [known.encode(t) for t in slab.column("text").to_pylist()]
+            columns = [pa.array([small.compress(_planes(p[k])) for p in both], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([slab.column("id"), *columns], names=["id", "a", "b"])
+
+    return stored(rows.mapInArrow(work, f"id {kind}, a binary, b binary"), "token-ids")
+
+
+def _planes(ids: bytes) -> bytes:
+    """Low bytes before high bytes, which compress better apart."""
+    return np.ascontiguousarray(np.frombuffer(ids, np.uint8).reshape(-1, SIZE).T).tobytes()
 
 
-def distinct_pairs(texts: DataFrame, shared, folder: str, parts: int) -> list[int]:
+def _aligned(slab: pa.RecordBatch, lengths: Lengths) -> Links:
+    large = zstandard.ZstdDecompressor()
+
+    def ids(column: str) -> list[np.ndarray]:
+        planes = [np.frombuffer(large.decompress(x), np.uint8) for x in slab.column(column).to_pylist()]
+        return [np.ascontiguousarray(p.reshape(SIZE, -1).T).view(ID).reshape(-1) for p in planes]
+
+    return align(ids("a"), ids("b"), lengths)
+
+
+def distinct_pairs(ids: DataFrame, lengths, folder: str, parts: int) -> list[int]:
     """Perfect hash functions and keys of all linked pairs, as files; how many pairs each part has."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = aligner(shared), []
-        for slab in _slabs(batches):
-            numbers, _ = known.numbers(slab.column("text").to_pylist())
-            held.append(np.unique(numbers))
-            if len(held) == 64 or known.full:
-                yield from emit(known, held)
-                held = []
-        if held:
-            yield from emit(known, held)
-
-    def emit(known: Aligner, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        counts, keys, _ = known.arrays()
-        used = np.unique(np.concatenate(held))
-        own = np.unique(keys[_expand(counts[used, 3], counts[used, 4])]) if len(used) else keys[:0]
-        rows = [(p, pack(own[at].astype(np.uint64))) for p, at in _by_part(own, parts)]
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "keys"]
-            )
+        keys, held, size = np.zeros(0, np.uint64), [], 0
+        for slab in _slabs(batches, "a"):
+            held.append(np.unique(_aligned(slab, lengths.value).key))
+            size += len(held[-1])
+            if size >= HELD:
+                keys, held, size = np.unique(np.concatenate([keys, *held])), [], 0
+                if len(keys) >= HELD:
+                    yield sent(keys)
+                    keys = keys[:0]
+        yield sent(np.unique(np.concatenate([keys, *held])))
+
+    def sent(keys: np.ndarray) -> pa.RecordBatch:
+        rows = [(p, pack(keys[at])) for p, at in _by_part(keys, parts)]
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "keys"])
 
     def merge(table: pa.Table) -> pa.Table:
         part, keys = table["part"][0].as_py(), np.zeros(0, np.uint64)
@@ -316,7 +358,7 @@ def distinct_pairs(texts: DataFrame, shared, folder: str, parts: int) -> list[in
         save(f"{folder}/keys-{part}.npy", by_number)
         return pa.table({"part": [part], "kinds": [len(keys)]})
 
-    made = texts.mapInArrow(work, "part long, keys binary").groupBy("part").applyInArrow(merge, "part long, kinds long").collect()
+    made = ids.mapInArrow(work, "part long, keys binary").groupBy("part").applyInArrow(merge, "part long, kinds long").collect()
     kinds = {r["part"]: r["kinds"] for r in made}
     for p in set(range(parts)) - set(kinds):
         save(f"{folder}/hash-{p}.npy", build(np.zeros(0, np.uint64)))
@@ -344,7 +386,7 @@ def numbers_of(folder: str, part: int, keys: np.ndarray) -> np.ndarray:
     return np.where(by_number[np.maximum(numbers, 0)] == keys.astype(np.uint64), numbers, -1)
 
 
-def document_counts(texts: DataFrame, shared, folder: str, kinds: list[int], ids_b: int) -> dict[int, int]:
+def document_counts(ids: DataFrame, lengths, folder: str, kinds: list[int]) -> dict[int, int]:
     """Numbers of documents that hold each pair, as files in the order of the pairs' numbers; the largest one of each A id."""
     parts = len(kinds)
 
@@ -360,23 +402,23 @@ def document_counts(texts: DataFrame, shared, folder: str, kinds: list[int], ids
             )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, branch = aligner(shared), TaskContext.get().partitionId() % BRANCHES
+        branch, held, size = TaskContext.get().partitionId() % BRANCHES, [], 0
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        for slab in _slabs(batches):
-            numbers, sizes = known.numbers(slab.column("text").to_pylist())
-            per, all_keys, _ = known.arrays()
-            # Distinct stretches per document, then distinct pairs per document.
-            owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-            once = np.unique(owner * WIDTH + numbers.astype(np.uint64))
-            owner, numbers = once // WIDTH, (once % WIDTH).astype(np.int64)
-            starts, ends = per[numbers, 3], per[numbers, 4]
-            pairs = np.unique(np.repeat(owner, ends - starts) * WIDTH + all_keys[_expand(starts, ends)].astype(np.uint64))
-            own, n = np.unique(pairs % WIDTH, return_counts=True)
-            keys, counts = summed(np.concatenate([keys, own]), np.concatenate([counts, n.astype(np.uint64)]))
-            if len(keys) >= HELD:
-                yield from vectors(keys, counts, branch)
-                keys, counts = keys[:0], counts[:0]
-        yield from vectors(keys, counts, branch)
+        for slab in _slabs(batches, "a"):
+            links = _aligned(slab, lengths.value)
+            held.append(np.unique(links.document.astype(np.uint64) << np.uint64(32) | links.key) & np.uint64(0xFFFFFFFF))
+            size += len(held[-1])
+            if size >= HELD:
+                keys, counts = added(keys, counts, held)
+                held, size = [], 0
+                if len(keys) >= HELD:
+                    yield from vectors(keys, counts, branch)
+                    keys, counts = keys[:0], counts[:0]
+        yield from vectors(*added(keys, counts, held), branch)
+
+    def added(keys: np.ndarray, counts: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own, n = np.unique(np.concatenate([keys[:0], *held]), return_counts=True)
+        return summed(np.concatenate([keys, own]), np.concatenate([counts, n.astype(np.uint64)]))
 
     def add(table: pa.Table) -> np.ndarray:
         total = np.zeros(kinds[table["part"][0].as_py()], np.uint64)
@@ -390,12 +432,12 @@ def document_counts(texts: DataFrame, shared, folder: str, kinds: list[int], ids
     def part_sum(table: pa.Table) -> pa.Table:
         part, total = table["part"][0].as_py(), add(table)
         save(f"{folder}/counts-{part}.npy", total.astype(np.int64))
-        a = (load(f"{folder}/keys-{part}.npy") // np.uint64(ids_b)).astype(np.int64)
+        a = (load(f"{folder}/keys-{part}.npy") // np.uint64(len(lengths.value.b))).astype(np.int64)
         order = np.argsort(a, kind="stable")
         ids, first = np.unique(a[order], return_index=True)
         return pa.table({"a": ids, "most": np.maximum.reduceat(total[order], first).astype(np.int64)})
 
-    made = texts.mapInArrow(work, "part long, branch long, counts binary")
+    made = ids.mapInArrow(work, "part long, branch long, counts binary")
     made = made.groupBy("part", "branch").applyInArrow(branch_sum, "part long, counts binary")
     best = made.groupBy("part").applyInArrow(part_sum, "a long, most long").groupBy("a").agg(F.max("most").alias("most"))
     return {r["a"]: r["most"] for r in best.collect()}  # at most as many rows as A has ids
@@ -407,56 +449,49 @@ OUT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum l
 def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum`` and
     ``groups_sha256``. See the module for the method and for the defined results."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     files = read_tokenizers(path_a, path_b)
-    shared = spark.sparkContext.broadcast(files)  # two files of fixed size
-    texts = docs.select(F.col(text_col).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    both = Encoder(files)
+    if max(len(both.bytes_a), len(both.bytes_b)) > np.iinfo(ID).max + 1:
+        raise ValueError(f"ids are kept in {8 * SIZE} bits")
+    shared = spark.sparkContext.broadcast(files)  # two files, and one number per id: of fixed size
+    lengths = spark.sparkContext.broadcast(Lengths(both.length_a, both.length_b))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ids = encoded(rows, shared, kind)
     folder = session.scratch_path(spark, "llm-token-pairs")
-    kinds = distinct_pairs(texts, shared, folder, min(PARTS, 8 + size // BYTES_PER_PART))
-    ids_b = Aligner(files).ids_b
-    best = spark.sparkContext.broadcast(document_counts(texts, shared, folder, kinds, ids_b))
-    parts, kind = len(kinds), dict(docs.dtypes)[id_col]
+    kinds = distinct_pairs(ids, lengths, folder, min(PARTS, 8 + size // BYTES_PER_PART))
+    best = spark.sparkContext.broadcast(document_counts(ids, lengths, folder, kinds))
+    parts = len(kinds)
 
     def look_up(keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         for p, at in _by_part(keys, parts):
-            numbers = numbers_of(folder, p, keys[at])  # stretches of texts without tokens may have unknown pairs
-            known = numbers >= 0
-            out[at[known]] = _counts_of(folder, p)[numbers[known]]
+            numbers = numbers_of(folder, p, keys[at])
+            if (numbers < 0).any():
+                raise ValueError("documents have changed since the first pass")
+            out[at] = _counts_of(folder, p)[numbers]
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = aligner(shared)
-        most = np.zeros(known.ids_a, np.int64)
+        ids_a, ids_b = (len(x) for x in lengths.value)
+        most, table = np.zeros(ids_a, np.int64), shown_ids(ids_a, ids_b)
         most[list(best.value)] = list(best.value.values())
-        # Of the stretches: tokens of A and B, groups, links, best links, sum of counts.
-        values, generation = np.zeros((0, 6), np.int64), 0
-        for slab in _slabs(batches):
-            numbers, sizes = known.numbers(slab.column("text").to_pylist())
-            values, generation = values if generation == known.generation else values[:0], known.generation
-            per, keys, links = known.arrays()
-            new = per[len(values) :]
-            if len(new):
-                own, n = keys[new[0, 3] :], links[new[0, 3] :]
-                counts = look_up(own)
-                sums = np.zeros((len(own) + 1, 3), np.int64)
-                sums[1:] = np.cumsum(np.column_stack([n, n * (counts == most[own // ids_b]), n * counts]), axis=0)
-                first, end = new[:, 3] - new[0, 3], new[:, 4] - new[0, 3]
-                values = np.concatenate([values, np.column_stack([new[:, :3], sums[end] - sums[first]])])
-            totals = np.zeros((len(numbers) + 1, 6), np.int64)
-            totals[1:] = np.cumsum(values[numbers], axis=0)
-            ends = np.cumsum(sizes)
-            out = totals[ends] - totals[ends - sizes]
-            digests = [
-                hashlib.sha256(b";".join([known.groups[i] for i in numbers[e - s : e]])).hexdigest() if s else ""
-                for s, e in zip(sizes.tolist(), ends.tolist())
-            ]
-            columns = [pa.array(c) for c in np.ascontiguousarray(out.T)]
+        for slab in _slabs(batches, "a"):
+            links = _aligned(slab, lengths.value)
+            distinct = np.unique(links.key)
+            counts = look_up(distinct)[np.searchsorted(distinct, links.key)]
+            is_best = counts == most[(links.key // np.uint64(ids_b)).astype(np.int64)]
+            sums = np.zeros((3, slab.num_rows), np.int64)
+            for row, values in zip(sums, (links.times, links.times * is_best, links.times * counts)):
+                np.add.at(row, links.document, values)
+            groups = np.diff(np.concatenate([[0], links.group_ends]))
+            texts = shown_groups(links, table, ids_a, ids_b)
+            digests = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
+            columns = [pa.array(c, pa.int64()) for c in (links.tokens_a, links.tokens_b, groups, *sums)]
             yield pa.RecordBatch.from_arrays(
                 [slab.column("id"), *columns, pa.array(digests, pa.string())],
                 names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, {OUT}").withColumnRenamed("id", id_col)
+    return ids.mapInArrow(work, f"id {kind}, {OUT}").withColumnRenamed("id", id_col)

@@ -111,18 +111,27 @@ def test_small_caches_and_slices(libraries, monkeypatch):
     """Long texts in slices and a cache that overflows give what whole texts give."""
     monkeypatch.setattr(token_alignment, "SLICE", 30)
     monkeypatch.setattr(token_alignment, "CACHE_BYTES", 3000)
-    known, cleared = token_alignment.Aligner(token_alignment.read_tokenizers(*PATHS)), 0
-    for text in [" ".join(odd_texts(20)[i:]) for i in range(20)] + ["plain words only " * 30, "中文字 " * 50]:
-        cleared += known.full
-        numbers, sizes = known.numbers([text, None, text])
-        want = libraries[0].encode(" " + text, add_special_tokens=False).ids
-        expected = next(brute([(0, text)], libraries))
-        assert sizes[1] == 0 and sizes[0] == sizes[2]
-        found = b";".join(known.groups[i] for i in numbers[: sizes[0]]).decode()
-        assert (hashlib.sha256(found.encode()).hexdigest() if sizes[0] else "") == expected[-1]
-        if sizes[0]:
-            assert [int(x) for g in found.split(";") for x in g.split("|")[0].split(",")] == want
-    assert cleared
+    known, cleared = token_alignment.Encoder(token_alignment.read_tokenizers(*PATHS)), 0
+    for text in [" ".join(odd_texts(20)[i:]) for i in range(20)] + ["plain words only " * 30, "中文字 " * 50, *odd_texts(300)]:
+        cleared += known.held > 3000
+        found = known.encode(text)
+        a, b = libraries[0].encode(" " + text, add_special_tokens=False).ids, libraries[1].encode(text)
+        if next(brute([(0, text)], libraries))[-1]:
+            assert [np.frombuffer(f, token_alignment.ID).tolist() for f in found] == [a, b]
+        else:
+            assert found == (b"", b"")
+    assert cleared and known.encode(None) == known.encode("") == (b"", b"")
+
+
+def test_large_groups(monkeypatch):
+    """Groups whose different ids are paired have the links of all their tokens."""
+    lengths = token_alignment.Lengths(np.array([1, 3, 5]), np.array([2, 7]))
+    a, b = [np.array([2, 1, 2], np.uint16)], [np.array([0, 1, 0, 0], np.uint16)]
+    small = token_alignment.align(a, b, lengths)
+    monkeypatch.setattr(token_alignment, "LARGE_GROUP", 1)
+    large = token_alignment.align(a, b, lengths)
+    total = lambda links: sum((Counter({int(k): int(n)}) for k, n in zip(links.key, links.times)), Counter())
+    assert total(small) == total(large) and large.times.max() == 6
 
 
 def test_slabs(monkeypatch):
@@ -130,7 +139,7 @@ def test_slabs(monkeypatch):
     monkeypatch.setattr(token_alignment, "SLAB_BYTES", 10)
     texts = ["a", "b", "c", "d", "x" * 50, None, "yyyyyy", "zzzzzz", ""]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    slabs = [s.column("text").to_pylist() for s in token_alignment._slabs([batch])]
+    slabs = [s.column("text").to_pylist() for s in token_alignment._slabs([batch], "text")]
     assert sum(slabs, []) == texts and slabs == [["a", "b", "c"], ["d"], ["x" * 50], [None, "yyyyyy"], ["zzzzzz", ""]]
 
 
