@@ -1194,19 +1194,13 @@ ORACLES: dict[str, str] = {
             GROUP BY environment_id, code""",
     ),
     # streaming
-    # A key is settled once the watermark, a day behind the last reading, has passed it.
-    "stream_validate": _with(
-        _shown(
-            f"""SELECT {STAMP}, environment_id, {', '.join(METRICS)} FROM telemetry
-                WHERE timestamp <= (SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 1 DAY FROM raw
-                                    WHERE environment_id IN (SELECT environment_id FROM environments))""",
-            *METRICS,
-        ),
-        "telemetry",
-    ),
     "stream_baseline": _stream_windows(None),
     "stream_baseline_sliding": _stream_windows(1),
     "stream_health": _with(_verdict("environment_id, migration_seq", "checkpoints"), "checkpoints"),
     "stream_health_first": _with(_verdict("environment_id", "checkpoints", "WHERE newest = 1"), "checkpoints"),
 }
-ORACLES["stream_audit"] = ORACLES["gate_audit_rows"]
+ORACLES["stream_validate"] = ORACLES["val_clean"]
+# A request is decided once a day on which it is made.
+ORACLES["stream_audit"] = f"""SELECT g.*, d.requested_on FROM ({ORACLES["gate_audit_rows"]}) g JOIN (
+    SELECT DISTINCT {_eid("user_id")} AS environment_id, strftime(ts, '%Y-%m-%d') AS requested_on FROM events
+) d USING (environment_id)"""

@@ -171,12 +171,13 @@ def sink_metric_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sink_audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger after two appends, summed up per day and event."""
+    """The ledger after two appends, one of them repeated, summed up per day and event."""
     path = session.scratch_path(spark, "ledger")
     events = adapters.audit(spark, sf_dir)
     started = F.col("event") == "PRECHECK_STARTED"
-    sinks.append_audit(events.where(started), path)
-    sinks.append_audit(events.where(~started), path)
+    sinks.append_audit(events.where(started), path, "started", 0)
+    sinks.append_audit(events.where(~started), path, "others", 0)
+    sinks.append_audit(events.where(started), path, "started", 0)
     ledger = readers.audit_log(spark, path)
     return shown(ledger.groupBy("event_date", "event").agg(F.count(F.lit(1)).alias("events")))
 

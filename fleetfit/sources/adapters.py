@@ -161,11 +161,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests_of(table(spark, sf_dir, "events").select("user_id").distinct())
 
 
-def requests_of(events: DataFrame) -> DataFrame:
-    """Each event's user asks for a migration; the same user asks for the same."""
+def requests_of(events: DataFrame, timed: bool = False) -> DataFrame:
+    """Each event's user asks for a migration, at the event's time; the same user asks for the same."""
     user = F.col("user_id")
     return events.select(
         environment_id(user).alias("environment_id"),
         F.when(user % 10 == 7, "large").otherwise(type_by_remainder(user)).alias("expected_current"),
         F.when(user.isNotNull(), "small").alias("candidate_instance_type"),
+        *([F.col("ts").alias("requested_at")] if timed else []),
     )

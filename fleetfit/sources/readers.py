@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from fleetfit import schemas as S
 from fleetfit.functions.common import nan_to_null
 from fleetfit.operators.validation import parse_timestamps
+from fleetfit.sources.commits import CommitTable
 
 
 def read_table(
@@ -85,9 +86,11 @@ def full_telemetry(
 
 
 def audit_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The ledger with ``seq``, the order of its entries; as CSV with a header and ISO times."""
+    """The ledger with ``seq``, the order of its entries: committed batches, or a folder of plain files; as CSV with a
+    header and ISO times."""
     if fmt != "csv":
-        rows = spark.read.format(fmt).load(path)
+        table = CommitTable(spark, path)
+        rows = table.read() if fmt == "parquet" and table.commits() else spark.read.format(fmt).load(path)
         return rows if "seq" in rows.columns else with_input_order(rows).withColumn("seq", F.struct(*INPUT_ORDER)).drop(*INPUT_ORDER)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in S.AUDIT.fields])
     rows = parse_timestamps(read_table(spark, path, text, "csv", ordered=True)).drop("bad_timestamp")

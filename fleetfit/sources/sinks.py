@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fleetfit import schemas as S
+from fleetfit.sources.commits import CommitTable
 
 
 def split_metrics(telemetry: DataFrame, name: str) -> DataFrame:
@@ -29,13 +30,15 @@ def long_metrics(telemetry: DataFrame) -> DataFrame:
     return telemetry.unpivot(S.KEYS, S.METRICS, "metric", "value")
 
 
-def append_audit(events: DataFrame, path: str) -> None:
-    """Append events to the ledger, partitioned by day.
+def append_audit(events: DataFrame, path: str, writer: str, batch: object) -> bool:
+    """Append events to the ledger, partitioned by day, as one batch of a writer.
 
-    Rebalancing gathers a day's events into few files and still splits a day that is large.
+    False, and nothing is written, where the ledger has that batch of the writer already, so a job
+    that is run again adds nothing. Readers see whole batches only. Rebalancing gathers a day's events
+    into few files and still splits a day that is large.
     """
     dated = events.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date")
-    dated.write.mode("append").partitionBy("event_date").parquet(path)
+    return CommitTable(events.sparkSession, path).append(dated, writer, batch, ["event_date"])
 
 
 def stamped(events: DataFrame) -> DataFrame:

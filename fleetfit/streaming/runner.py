@@ -55,6 +55,22 @@ def batch_writer(folder: str, prepare: Callable[[DataFrame], DataFrame] = lambda
     return write
 
 
+def run_each(
+    rows: DataFrame, label: str, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None
+) -> None:
+    """Run a stream over all available input, giving each micro-batch and its number to ``write``.
+
+    With ``checkpoint`` a later run goes on where an earlier one ended."""
+    started = (
+        rows.writeStream.outputMode(mode)
+        .option("checkpointLocation", checkpoint or scratch_path(rows.sparkSession, f"{label}-state"))
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+
+
 def run_batches(
     rows: DataFrame,
     label: str,
@@ -64,14 +80,7 @@ def run_batches(
 ) -> DataFrame:
     """Run a stream through ``batch_writer``; returns the table with a ``batch_id`` column."""
     spark = rows.sparkSession
-    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    started = (
-        rows.writeStream.outputMode(mode)
-        .option("checkpointLocation", state)
-        .foreachBatch(batch_writer(out, prepare))
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
+    out = scratch_path(spark, label)
+    run_each(rows, label, batch_writer(out, prepare), mode)
     full = T.StructType((schema or rows.schema).fields + [T.StructField("batch_id", T.LongType())])
     return spark.read.schema(full).option("basePath", out).parquet(out)

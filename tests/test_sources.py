@@ -10,6 +10,7 @@ from fleetfit.operators import audit, gate, portfolio, scenarios, validation, wh
 from fleetfit.operators.projection import Variant
 from fleetfit.plans.fleet import folder_fleet
 from fleetfit.schemas import INSUFFICIENT, SAFE, UNSAFE
+from fleetfit.sources.commits import CommitTable
 from fleetfit.sources import merge, readers, sinks
 
 
@@ -87,7 +88,7 @@ def test_every_question_on_a_folder(spark, folder, tmp_path):
     strict = gate.precheck(requests, fleet.environments, fleet.passes, fleet.pricing, fleet.catalog, variant=Variant(max_cpu=5.0))
     assert strict.where("candidate_instance_type = 'medium'").first().event == gate.BLOCKED
     ledger = str(tmp_path / "ledger")
-    sinks.append_audit(sinks.stamped(gate.audit_rows(checked).drop("seq")), ledger)
+    sinks.append_audit(sinks.stamped(gate.audit_rows(checked).drop("seq")), ledger, "gate", 0)
     assert audit.latest(readers.audit_log(spark, ledger)).count() == 3
     grades = fleet.grades.withColumn("quality", F.lit("LOW"))
     assert {r.decision for r in fleet.decided("step_down", grades=grades).collect()} == {INSUFFICIENT}
@@ -168,16 +169,57 @@ def test_histories_round_trip(spark, telemetry, tmp_path):
     assert sinks.long_metrics(df).count() == 3 * len(S.METRICS)
 
 
-def test_ledger_appends(spark, tmp_path):
-    path = str(tmp_path / "ledger")
-    events = spark.createDataFrame(
-        [("a", "large", "medium", "PRECHECK_STARTED", "")],
+def ledger_events(spark, reason="", n=1):
+    return spark.createDataFrame(
+        [("a", "large", "medium", "PRECHECK_STARTED", f"{reason}{i}") for i in range(n)],
         "environment_id string, current_instance string, candidate_instance string, event string, reason string",
     )
-    for _ in range(2):
-        sinks.append_audit(sinks.stamped(events), path)
+
+
+def test_ledger_appends(spark, tmp_path):
+    """A batch of a writer is written once, however often its job is run; other writers and batches are others."""
+    path, events = str(tmp_path / "ledger"), ledger_events(spark)
+    written = [sinks.append_audit(sinks.stamped(events), path, w, b) for w, b in (("x", 0), ("x", 0), ("x", "1/é"), ("y", 0), ("x", 0))]
+    assert written == [True, False, True, True, False]
     ledger = readers.audit_log(spark, path)
-    assert ledger.count() == 2 and "event_date" in ledger.columns and ledger.where("timestamp is null").count() == 0
+    assert ledger.count() == 3 and "event_date" in ledger.columns and ledger.where("timestamp is null").count() == 0
+    assert "commit" not in ledger.columns
+
+
+def test_a_crash_between_files_and_manifest(spark, tmp_path, monkeypatch):
+    """Files without a manifest are not read; the repeated job writes anew, once."""
+    path = str(tmp_path / "ledger")
+    sinks.append_audit(sinks.stamped(ledger_events(spark, "first")), path, "w", 0)
+    with monkeypatch.context() as m:
+        m.setattr(CommitTable, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            sinks.append_audit(sinks.stamped(ledger_events(spark, "second", 5)), path, "w", 1)
+    assert len(list((tmp_path / "ledger" / "data").iterdir())) == 2
+    assert readers.audit_log(spark, path).count() == 1
+    assert sinks.append_audit(sinks.stamped(ledger_events(spark, "second", 5)), path, "w", 1)
+    assert readers.audit_log(spark, path).count() == 6
+
+
+def test_two_writers_of_one_batch(spark, tmp_path):
+    """Of two jobs that write the same batch at once, the one whose manifest comes first counts."""
+    table = CommitTable(spark, str(tmp_path / "t"))
+    mine, theirs = (table.write(spark.range(n)) for n in (3, 4))
+    assert table.commit("w.0", theirs) and not table.commit("w.0", mine)
+    assert table.read().count() == 4 and not list((tmp_path / "t" / "commits").glob("_*"))
+
+
+def test_merged_commits(spark, tmp_path):
+    """Commits are merged level by level; what was merged is replaced, and its batches stay known."""
+    table = CommitTable(spark, str(tmp_path / "t"))
+    for k in range(9):
+        assert table.append(spark.range(k, k + 2), "w", k)
+        table.merge(lambda rows: rows.distinct(), after=3)
+    assert sorted(c.level for c in table.live()) == [2]
+    assert sorted(r.id for r in table.read().collect()) == list(range(10))
+    assert not table.append(spark.range(100, 200), "w", 4) and table.read().count() == 10
+    assert CommitTable(spark, str(tmp_path / "none")).read(spark.range(1).schema).count() == 0
+    with pytest.raises(ValueError):
+        CommitTable(spark, str(tmp_path / "none")).read()
 
 
 def test_results_as_csv(spark, tmp_path):

@@ -1,12 +1,15 @@
 """Streams over several micro-batches against their batch forms."""
 
+import time
 from datetime import timedelta
 
 import pytest
 from conftest import START, TESTDATA, telemetry_rows
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from fleetfit.operators import gate, health
+from fleetfit import schemas as S
+from fleetfit.operators import gate, health, validation
 from fleetfit.plans.fleet import table_fleet
 from fleetfit.schemas import TELEMETRY
 from fleetfit.sources import adapters
@@ -63,13 +66,59 @@ def test_stream_validation_keeps_the_first_row_of_a_key(spark, registry, tmp_pat
         frame.coalesce(1).write.mode("append").parquet(folder)
     source = spark.read.parquet(folder).schema
     telemetry = runner.folder_stream(spark, folder, source, files_per_batch=1)
-    got = runner.run_append(stream_validate.validated(telemetry, ["place"], registry(a="small")), "test-validate").collect()
+    got = stream_validate.validated(telemetry, ["place"], registry(a="small")).collect()
     hours = {(r.timestamp.replace(tzinfo=None) - START) // timedelta(hours=1): r.cpu_utilization_pct for r in got}
-    # The second hour's first row is invalid, whatever came in its place; the last day is still open.
-    assert hours == {0: 10.0, 3: 20.0} | {h: 30.0 for h in range(4, 20)}
+    # The second hour's first row is invalid, whatever came in its place.
+    assert hours == {0: 10.0, 3: 20.0} | {h: 30.0 for h in range(4, 44)}
     assert {r.environment_id for r in got} == {"a"}
 
 
+def placed(spark, folder, *parts):
+    schema = TELEMETRY.simpleString()[7:-1] + ",place:long"
+    for place, rows in parts:
+        spark.createDataFrame([(*r, place) for r in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_validated_stream_is_the_batch_form(spark, registry, tmp_path):
+    """Every day of the input, late first rows, null keys, and a run that goes on from the state of another."""
+    folder, state, known = str(tmp_path / "in"), str(tmp_path / "state"), registry(a="small", b="large")
+    nobody = [(None, "a", 1.0, 1.0, 1.0, 1.0, 1.0), (START, None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    placed(spark, folder, (5, telemetry_rows("a", [20.0] * 60)), (6, telemetry_rows("b", [float("nan"), 300.0, 30.0])), (7, nobody))
+
+    def once():
+        stream = runner.folder_stream(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+        got = stream_validate.validated(stream, ["place"], known, state)
+        want = validation.clean(spark.read.parquet(folder), ["place"], known)
+        rows = [sorted(map(tuple, df.select(*S.TELEMETRY_COLUMNS).collect())) for df in (got, want)]
+        assert rows[0] == rows[1]
+        return len(rows[0])
+
+    assert once() == 61
+    # Later, and days behind: first rows of keys that had others before, one of them invalid; a repeated one; a stranger's.
+    placed(spark, folder, (1, telemetry_rows("a", [11.0, 500.0])), (9, telemetry_rows("b", [1.0])), (1, telemetry_rows("x", [1.0])))
+    placed(spark, folder, *[(20 + i, telemetry_rows("a", [float(i)], start=START + timedelta(days=9, hours=i))) for i in range(8)])
+    assert once() == 61 - 1 + 8
+    assert once() == 68
+
+
+def test_a_repeated_micro_batch_of_validation(spark, tmp_path):
+    """A micro-batch that is run again changes nothing, also after its commit was merged; the state stays few commits."""
+    schema = TELEMETRY.simpleString()[7:-1] + ",place:long"
+    batches = [
+        stream_validate.prepared(spark.createDataFrame([(*r, p) for r in telemetry_rows("a", [float(p), 5.0])], schema), ["place"])
+        for p in (9, 8, 7, 6, 5, 4, 3, 2, 1, 0)
+    ]
+    state = stream_validate.FirstRows(spark, str(tmp_path / "state"), batches[0].schema, ["place"])
+    for k, batch in enumerate(batches):
+        state.add(batch, k)
+    want = sorted(map(tuple, state.settled().collect()))
+    assert [r[2] for r in want] == [0.0, 5.0] and len(state.table.live()) == 3
+    for k in (0, 9, 4):
+        state.add(batches[0], k)
+    assert sorted(map(tuple, state.settled().collect())) == want
+    assert [r.cpu_utilization_pct for r in state.settled(before=START + timedelta(hours=1)).collect()] == [0.0]
+
+
 def test_a_repeated_micro_batch_does_not_repeat_its_rows(spark, tmp_path):
     path = str(tmp_path / "ledger")
     write = runner.batch_writer(path)
@@ -82,10 +131,71 @@ def test_a_repeated_micro_batch_does_not_repeat_its_rows(spark, tmp_path):
 
 def test_ledger_stream(spark, events_folder):
     fleet = table_fleet(spark, TESTDATA)
-    requests = adapters.requests_of(stream(spark, events_folder))
-    ledger = stream_audit.decisions(requests, fleet)
-    checked = gate.precheck(
-        adapters.requests(spark, TESTDATA), fleet.environments, fleet.passes, fleet.pricing, fleet.catalog, fleet.large
-    )
-    want = gate.audit_rows(checked).select(ledger.columns)
+    requests = adapters.requests_of(stream(spark, events_folder), timed=True)
+    ledger = stream_audit.decisions(requests, fleet.environments, gate.snapshot(fleet))
+    asked = adapters.requests_of(adapters.table(spark, TESTDATA, "events"), timed=True)
+    asked = asked.select(*gate.REQUEST, F.to_date("requested_at").alias("requested_on")).distinct()
+    checked = gate.precheck(asked, fleet.environments, fleet.passes, fleet.pricing, fleet.catalog, fleet.large)
+    want = gate.audit_rows(checked, ("requested_on",)).select(ledger.columns)
     assert ledger.exceptAll(want).count() == 0 and ledger.count() == want.count() > 0
+
+
+def test_snapshot_decides_as_the_precheck_does(spark):
+    """Known and unknown types, wrong current types, unregistered and stopped environments; and no telemetry is read."""
+    fleet = table_fleet(spark, TESTDATA)
+    rows = [(r.environment_id, r.current_instance_type) for r in fleet.environments.collect()]
+    asked = [(e, c, t) for e, c in rows for t in ("small", "medium", "large", "tiny")] + [(e, "tiny", "small") for e, _ in rows[:3]]
+    asked += [("nobody", "large", "small"), (None, "large", "small"), (rows[0][0], None, "small"), (rows[0][0], rows[0][1], None)]
+    requests = spark.createDataFrame(asked * 2, "environment_id string, expected_current string, candidate_instance_type string")
+    decisions = gate.snapshot(fleet)
+    columns = [*gate.REQUEST, "state_check", "decision", "reason_codes", "event", "approved", "message"]
+    got = gate.precheck_from(requests, fleet.environments, decisions).select(*columns)
+    want = gate.precheck(requests, fleet.environments, fleet.passes, fleet.pricing, fleet.catalog).select(*columns)
+    assert got.count() == want.count() == 2 * len(asked) and got.exceptAll(want).count() == 0
+    files = gate.precheck_from(requests, fleet.environments, decisions).inputFiles()
+    assert files and not any("lineitem" in f or "orders" in f for f in files)
+
+
+def test_requests_are_forgotten(spark, tmp_path):
+    """A repeated request of a day counts once, the next day's is a new one, and the state holds the open days only."""
+    folder = str(tmp_path / "in")
+    schema = "environment_id string, expected_current string, candidate_instance_type string, requested_at timestamp_ntz"
+    for day in range(12):
+        at = START + timedelta(days=day, hours=3)
+        rows = [(f"env-{i}", "large", "small", at + timedelta(minutes=i)) for i in range(20)] * 2 + [("late", "large", "small", START)] * (day == 9)
+        rows += [("timeless", "large", "small", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    requests = runner.folder_stream(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+    seen, sizes = [], []
+
+    class Progress(StreamingQueryListener):
+        def onQueryStarted(self, event): ...
+        def onQueryTerminated(self, event): ...
+        def onQueryProgress(self, event):
+            sizes.extend(s.numRowsTotal for s in event.progress.stateOperators)
+
+    listener = Progress()
+    spark.streams.addListener(listener)
+    try:
+        runner.run_each(stream_audit.once_per_period(requests), "test-requests", lambda batch, _: seen.extend(batch.collect()))
+        for _ in range(100):
+            if len(sizes) >= 12:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert len(seen) == 12 * 20 and {r.environment_id for r in seen} == {f"env-{i}" for i in range(20)}
+    assert len(sizes) >= 12 and max(sizes) <= 4 * 20
+
+
+def test_a_repeated_micro_batch_of_requests(spark, tmp_path):
+    """The ledger has a micro-batch once, also where it is run again after the stream's own progress was lost."""
+    fleet = table_fleet(spark, TESTDATA)
+    decisions, folder, ledger = gate.snapshot(fleet), str(tmp_path / "in"), str(tmp_path / "ledger")
+    asked = adapters.requests_of(adapters.table(spark, TESTDATA, "events"), timed=True)
+    asked.coalesce(1).write.parquet(folder)
+    counts = [
+        stream_audit.decisions(runner.folder_stream(spark, folder, asked.schema), fleet.environments, decisions, ledger).count()
+        for _ in range(2)
+    ]
+    assert counts[0] == counts[1] > 0
