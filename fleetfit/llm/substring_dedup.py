@@ -4,13 +4,12 @@ A window is ``words`` consecutive words; it is removed where the same words also
 
 1. The words of a document are cut into segments: runs of windows that share an anchor, the least hash of all four words
    in a row. Equal windows have equal anchors, so all their segments come together in one shard.
-2. A first pass counts the segments per hash of their anchor. Where one hash has a single segment, its windows occur nowhere
-   else and go no further. The counts are kept as two bitmaps of fixed size; with more anchors than they have places, more
-   segments go on than need to.
-3. Tasks send each different segment once to its shard, with the places where they met it. A shard builds an FM-index over
-   its different segments and streams them through it: backward search gives the matching statistics of every window, and
-   where all words match, the range of equal windows, whose least and largest ids decide. Intervals of windows that some
-   smaller document has are reported for each place.
+2. A first pass counts the segments per hash of their anchor, in a fixed number of places.
+3. Tasks send each different segment once to its shard, as compressed text, with the places where they met it. A shard builds
+   an FM-index over its different segments and streams them through it: backward search gives the matching statistics of
+   every window, and where all words match, the range of equal windows, whose least and largest ids decide. Segments of one
+   document whose anchor no other has stay out of the index. Intervals of windows that some smaller document has are
+   reported for each place.
 4. Documents are joined with their intervals.
 
 An anchor of very many segments is hot. If few of them differ (copies), only the extreme ids go to the shard, and the places
@@ -29,21 +28,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from fleetfit.llm.common import stored, text_of
 from fleetfit.llm.fm_index import FMIndex
-from fleetfit.llm.wordhash import grouped, mix, pack, pack_counts, unpack, unpack_counts
+from fleetfit.llm.wordhash import located, mix, pack, pack_counts, unpack, unpack_counts
 
 WORDS = 13
 #: Words of an anchor, and the most windows of a segment.
 ANCHOR, MOST_WINDOWS = 4, 4096
+#: Level of compression of texts on their way.
+LEVEL = 3
 #: Hashes of anchors are counted in 2 ** PLACE_BITS places, 2 ** SLICE_BITS of them in one group.
 PLACE_BITS, SLICE_BITS = 27, 21
-#: Segments, and words of different segments, from which an anchor's place is hot.
-HOT_SEGMENTS, HOT_WORDS = 1 << 13, 1 << 18
-#: Words that a task works on at once, and words of a shard's segments.
-BATCH_WORDS, SHARD_WORDS = 1_000_000, 1_000_000
+#: Segments, and words of different segments, from which an anchor's place is hot, if that is this many times the mean:
+#: as many as a shard has.
+HOT_SEGMENTS, HOT_WORDS = 1 << 16, 1 << 20
+TIMES_MEAN = 8
+#: Bytes of text that a task works on at once, and words of a shard's segments.
+BATCH_BYTES, SHARD_WORDS = 6_000_000, 1_000_000
 #: Two ways of joining hashes of neighbouring stretches (odd numbers; any would do).
 BY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -51,13 +55,15 @@ BY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # --- segments ----------------------------------------------------------------------------------
 
 
-def run_hashes(hashes: np.ndarray, size: int, by: np.uint64 = BY[0]) -> np.ndarray:
-    """Hash of every ``size`` hashes in a row, put together from runs of powers of two."""
+def run_hashes(hashes: np.ndarray, size: int, by: np.uint64 = BY[0]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all ``min(ANCHOR, size)`` and of all ``size`` hashes in a row, put together from runs of powers of two."""
     n = len(hashes) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     out, at, level, now = None, 0, 1, hashes
     while level <= size:
+        if level <= ANCHOR:
+            short = now
         if size & level:
             piece = now[at : at + n]
             out = piece if out is None else mix(out * by + piece)
@@ -65,7 +71,7 @@ def run_hashes(hashes: np.ndarray, size: int, by: np.uint64 = BY[0]) -> np.ndarr
         if 2 * level <= size:
             now = mix(now[:-level] * by + now[level:])
         level *= 2
-    return out
+    return (short, out) if size >= ANCHOR else (out, out)
 
 
 def run_least(values: np.ndarray, size: int) -> np.ndarray:
@@ -102,15 +108,15 @@ class Segments(NamedTuple):
         return Segments(expand(self.start, n), np.ones(int(n.sum()), np.int64), *repeated, expand(self.place, n))
 
 
-def cut(hashes: np.ndarray, sizes: np.ndarray, words: int) -> Segments:
-    """Segments of all texts, whose words are ``sizes`` in number and one after the other in ``hashes``."""
-    count = len(hashes) - words + 1
+def cut(runs: np.ndarray, sizes: np.ndarray, words: int) -> Segments:
+    """Segments of all texts, whose words are ``sizes`` in number and one after the other; ``runs`` are those of anchors."""
+    count = int(sizes.sum()) - words + 1
     text = np.repeat(np.arange(len(sizes)), sizes)
     window = np.flatnonzero(text[:count] == text[words - 1 :]) if count > 0 else np.zeros(0, np.int64)
     if not len(window):
         return Segments(*[np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, np.int64, np.int64)])
     size = min(ANCHOR, words)
-    anchor, text = run_least(run_hashes(hashes, size), words - size + 1)[window], text[window]
+    anchor, text = run_least(runs, words - size + 1)[window], text[window]
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(new)
     since = np.arange(len(window)) - np.repeat(first, np.diff(np.append(first, len(window))))
@@ -120,13 +126,13 @@ def cut(hashes: np.ndarray, sizes: np.ndarray, words: int) -> Segments:
     return Segments(window[first], np.diff(np.append(first, len(window))), anchor[first], text, window[first] - before[text])
 
 
-def digests(hashes: np.ndarray, start: np.ndarray, windows: np.ndarray, words: int) -> list[np.ndarray]:
-    """Two 64-bit digests of every segment."""
+def digests(runs: np.ndarray, start: np.ndarray, windows: np.ndarray, by: np.uint64 = BY[0]) -> np.ndarray:
+    """A 64-bit digest of every segment from the hashes of its windows."""
     if not len(start):
-        return [np.zeros(0, np.uint64)] * 2
+        return np.zeros(0, np.uint64)
     at, first = expand(start, windows), np.cumsum(windows) - windows
     nth = (np.arange(len(at)) - np.repeat(first, windows)).astype(np.uint64)
-    return [np.add.reduceat(mix(run_hashes(hashes, words, by)[at] + nth * by), first) for by in BY]
+    return np.add.reduceat(mix(runs[at] + nth * by), first)
 
 
 def place_of(anchors: np.ndarray) -> np.ndarray:
@@ -141,31 +147,39 @@ def starts_of(*sorted_columns: np.ndarray) -> np.ndarray:
 
 
 class Batch(NamedTuple):
-    """Texts of a task that are worked on at once."""
+    """Texts of a task that are worked on at once: their bytes, and where each word starts and ends."""
 
     ids: np.ndarray
     rows: np.ndarray
+    data: bytes
+    start: np.ndarray
+    end: np.ndarray
     hashes: np.ndarray
+    runs: np.ndarray
     segments: Segments
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator[Batch]:
-    held, size = [], 0
+    ids, rows, texts, size = [], [], [], 0
 
     def made() -> Batch:
-        ids, rows, sizes, hashes = (np.concatenate(column) for column in zip(*held))
-        return Batch(ids, rows, hashes, cut(hashes, sizes, words))
+        data, bounds = b"\n".join(texts), np.cumsum([0, *(len(t) + 1 for t in texts)])
+        start, end, hashes = located(data)
+        sizes = np.diff(np.searchsorted(start, bounds))
+        short, runs = run_hashes(hashes, words)
+        return Batch(np.array(ids, np.int64), np.array(rows, np.int64), data, start, end, hashes, runs, cut(short, sizes, words))
 
     for batch in batches:
-        ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
-        for at in range(0, batch.num_rows, 256):
-            for low, high, sizes, hashes in grouped(batch.column("text").slice(at, 256).to_pylist(), fold=False):
-                held.append((ids[at + low : at + high], rows[at + low : at + high], sizes, hashes))
-                size += len(hashes)
-                if size >= most:
-                    yield made()
-                    held, size = [], 0
-    if held:
+        binary = batch.column("text").cast(pa.binary())
+        for at, (id_, row) in enumerate(zip(batch.column("id").to_pylist(), batch.column("row").to_pylist())):
+            texts.append(binary[at].as_py())
+            ids.append(id_)
+            rows.append(row)
+            size += len(texts[-1]) + 1
+            if size >= most:
+                yield made()
+                ids, rows, texts, size = [], [], [], 0
+    if texts:
         yield made()
 
 
@@ -173,7 +187,7 @@ def batches_of(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iter
 
 
 class Places:
-    """What is known of anchors by their places: 0 one segment, 1 several, 2 very many copies, 3 very many different ones."""
+    """What is known of anchors by their places: 0 usual ones, 1 very many copies, 3 very many different segments."""
 
     def __init__(self, planes: tuple[bytes, bytes]):
         self.planes = [np.frombuffer(p, np.uint8) for p in planes]
@@ -185,21 +199,23 @@ class Places:
 
 class Counted(NamedTuple):
     planes: tuple[bytes, bytes]
-    words: int  # of the segments that go on
+    words: int  # of all segments that are sent
     hot: bool
 
 
 def count_places(texts: DataFrame, words: int) -> Counted:
-    """Add up the segments of all places; each group of places gives its part of the two bitmaps."""
+    """Add up the segments of all places; each group of places gives its part of the two bitmaps.
+
+    As places are dealt by a hash, the mean of a group of them is that of all."""
     slices = 1 << (PLACE_BITS - SLICE_BITS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, words, BATCH_WORDS):
+        for batch in batches_of(batches, words, BATCH_BYTES):
             own = batch.segments
             if not len(own.start):
                 continue
             place, size = place_of(own.anchor), own.windows + words - 1
-            digest = digests(batch.hashes, own.start, own.windows, words)[0]
+            digest = digests(batch.runs, own.start, own.windows)
             order = np.lexsort((digest, place))
             place, digest = place[order], digest[order]
             different = np.zeros(len(place), np.int64)
@@ -228,15 +244,15 @@ def count_places(texts: DataFrame, words: int) -> Counted:
             at = unpack(place).astype(np.int64) - (slice_ << SLICE_BITS)
             found[at] += unpack_counts(f).astype(np.int64)
             load[at] += unpack_counts(n).astype(np.int64)
-        hot, various = found > HOT_SEGMENTS, load > HOT_WORDS
-        state = np.where(various, 3, np.where(hot, 2, found > 1)).astype(np.uint8)
+        hot, various = (x > max(most, TIMES_MEAN * x.mean()) for x, most in ((found, HOT_SEGMENTS), (load, HOT_WORDS)))
+        state = np.where(various, 3, hot).astype(np.uint8)
         expanded = np.where(various, load * words, load)
         planes = [np.packbits(state >> k & 1, bitorder="little").tobytes() for k in (0, 1)]
         columns = {"slice": [slice_], "low": [planes[0]], "high": [planes[1]]}
-        return pa.table({**columns, "words": [int(expanded[state > 0].sum())], "hot": [bool((state > 1).any())]})
+        return pa.table({**columns, "words": [int(expanded.sum())], "hot": [bool(state.any())]})
 
     made = texts.mapInArrow(work, "slice long, places binary, found binary, load binary").groupBy("slice")
-    made = made.applyInArrow(add, "slice long, low binary, high binary, words long, hot boolean").collect()  # 32 MB at most
+    made = made.applyInArrow(add, "slice long, low binary, high binary, words long, hot boolean").collect()  # at most 32 MB; nearly all of it zeros
     planes = [bytearray(1 << (PLACE_BITS - 3)) for _ in range(2)]
     for r in made:
         at = r["slice"] << (SLICE_BITS - 3)
@@ -247,54 +263,54 @@ def count_places(texts: DataFrame, words: int) -> Counted:
 
 # --- shards ------------------------------------------------------------------------------------
 
-SENT = "shard long, known binary, codes binary, windows binary, hot binary, times binary, ids binary, rows binary, texts binary, places binary"
+SENT = "shard long, words binary, windows binary, hot binary, times binary, ids binary, rows binary, texts binary, places binary"
 
 
-def shared_segments(batch: Batch, places: Places, words: int) -> tuple[Segments, np.ndarray, np.ndarray]:
-    """(segments that may have equal windows elsewhere, whether they are hot, shard as a fraction of 2 ** 32)."""
+def dealt_segments(batch: Batch, places: Places, words: int) -> tuple[Segments, np.ndarray, np.ndarray]:
+    """(segments of a batch, whether they are hot, shard as a fraction of 2 ** 32)."""
     place = place_of(batch.segments.anchor)
     state = places.state(place)
-    usual, various = (state == 1) | (state == 2), state == 3
+    usual, various = state < 3, state == 3
     own = batch.segments.take(usual)
     dealt = place[usual].astype(np.uint64) << np.uint64(32 - PLACE_BITS)
     single = batch.segments.take(various).single()
-    by_words = mix(run_hashes(batch.hashes, words)[single.start]) >> np.uint64(32) if len(single.start) else np.zeros(0, np.uint64)
-    hot = np.concatenate([state[usual] == 2, np.ones(len(single.start), bool)])
+    by_words = mix(batch.runs[single.start]) >> np.uint64(32)
+    hot = np.concatenate([state[usual] == 1, np.ones(len(single.start), bool)])
     return Segments(*map(np.concatenate, zip(own, single))), hot, np.concatenate([dealt, by_words])
 
 
 def send(batch: Batch, places: Places, words: int, shards: int) -> pa.RecordBatch | None:
     """A row per shard: its different segments of a batch, and the places of each (the extreme ids of a hot one)."""
-    own, hot, dealt = shared_segments(batch, places, words)
+    own, hot, dealt = dealt_segments(batch, places, words)
     if not len(own.start):
         return None
     shard = (dealt * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    one, two = digests(batch.hashes, own.start, own.windows, words)
-    ids = batch.ids[own.text]
-    order = np.lexsort((ids, two, one, shard))
-    own, hot, shard, one, two = own.take(order), hot[order], shard[order], one[order], two[order]
-    first = starts_of(shard, one, two)
+    digest = digests(batch.runs, own.start, own.windows)
+    order = np.lexsort((batch.ids[own.text], digest, shard))
+    own, hot, shard, digest = own.take(order), hot[order], shard[order], digest[order]
+    first = starts_of(shard, digest)
     end = np.append(first[1:], len(order))
     kept = ~hot
     kept[first], kept[end - 1] = True, True
     kinds = np.cumsum(np.bincount(first, minlength=len(order))) - 1
     cuts = np.searchsorted(shard[first], np.arange(shards + 1))
     rows: list[tuple] = []
+    small = zstandard.ZstdCompressor(level=LEVEL)
     for s in np.flatnonzero(cuts[:-1] < cuts[1:]):
         part = first[cuts[s] : cuts[s + 1]]
         of = np.flatnonzero(kept[first[cuts[s]] : end[cuts[s + 1] - 1]]) + first[cuts[s]]
-        size = own.windows[part] + words - 1
-        known, codes = np.unique(batch.hashes[expand(own.start[part], size)], return_inverse=True)
+        last = own.start[part] + own.windows[part] + words - 2
+        sent = b" ".join([batch.data[i:j] for i, j in zip(batch.start[own.start[part]].tolist(), batch.end[last].tolist())])
         texts, back = np.unique(own.text[of], return_inverse=True)
         by_id = np.argsort(batch.ids[texts].astype(np.uint64), kind="stable")
         place_in = np.empty(len(by_id), np.int64)
         place_in[by_id] = np.arange(len(by_id))
         texts = texts[by_id]
-        counts = (codes, own.windows[part], hot[part], np.bincount(kinds[of] - cuts[s], minlength=len(part)))
+        counts = (own.windows[part], hot[part], np.bincount(kinds[of] - cuts[s], minlength=len(part)))
         rows.append(
             (
                 int(s),
-                pack(known),
+                small.compress(sent),
                 *(pack_counts(c) for c in counts),
                 pack(batch.ids[texts].astype(np.uint64)),
                 pack_counts(batch.rows[texts].astype(np.int64)),
@@ -312,9 +328,9 @@ class Shard:
 
     def __init__(self, table: pa.Table, words: int):
         hashes, windows, hot, of, ids, rows, place, at = [], [], [], [], [], [], [], 0
-        columns = [table[f.split()[0]].to_pylist() for f in SENT.split(", ")[1:]]
-        for known, codes, n, h, times, i, r, texts, p in zip(*columns):
-            hashes.append(unpack(known)[unpack_counts(codes).astype(np.int64)])
+        columns, large = [table[f.split()[0]].to_pylist() for f in SENT.split(", ")[1:]], zstandard.ZstdDecompressor()
+        for sent, n, h, times, i, r, texts, p in zip(*columns):
+            hashes.append(located(large.decompress(sent))[2])
             windows.append(unpack_counts(n).astype(np.int64))
             hot.append(unpack_counts(h).astype(bool))
             of.append(np.repeat(np.arange(len(windows[-1])) + at, unpack_counts(times).astype(np.int64)))
@@ -327,14 +343,15 @@ class Shard:
         self.of, self.ids, self.rows, self.place = map(np.concatenate, (of, ids, rows, place))
         size = windows + words - 1
         start = np.cumsum(size) - size
-        one, two = digests(hashes, start, windows, words)
-        order = np.lexsort((two, one))
-        first = starts_of(one[order], two[order])
+        self.short, runs = run_hashes(hashes, words)
+        digest = digests(runs, start, windows)
+        order = np.argsort(digest, kind="stable")
+        first = starts_of(digest[order])
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(np.bincount(first, minlength=len(order))) - 1
         chosen = order[first]
         self.words, self.of = words, number[self.of]
-        self.start, self.windows, self.hot, self.digest = start[chosen], windows[chosen], hot[chosen], (one[chosen], two[chosen])
+        self.start, self.windows, self.hot, self.digest = start[chosen], windows[chosen], hot[chosen], digest[chosen]
         self.hashes = hashes
         self.least = np.full(len(chosen), np.iinfo(np.int64).max)
         self.largest = np.full(len(chosen), np.iinfo(np.int64).min)
@@ -345,8 +362,7 @@ class Shard:
         """Segments of several documents, and those whose anchor another one has too: no other can have a window in common."""
         size = min(ANCHOR, self.words)
         runs = self.windows + self.words - size
-        least = run_hashes(self.hashes, size)[expand(self.start, runs)]
-        anchor = np.minimum.reduceat(least, np.cumsum(runs) - runs)
+        anchor = np.minimum.reduceat(self.short[expand(self.start, runs)], np.cumsum(runs) - runs)
         _, number, count = np.unique(anchor, return_inverse=True, return_counts=True)
         return np.flatnonzero((self.least < self.largest) | (count[number] > 1))
 
@@ -406,10 +422,12 @@ class Shard:
         later = least[which] < self.ids[of]
         of, which, h = of[later], which[later], np.flatnonzero(hot)
         at = self.place[of]
+        # Hot segments of all shards are joined, so they have a second digest.
+        two = digests(run_hashes(self.hashes, self.words, BY[1])[1] if len(h) else self.short, self.start[segment[h]], self.windows[segment[h]], BY[1])
         columns = [
             np.concatenate([np.zeros(len(of), bool), np.ones(len(h), bool)]),
-            np.concatenate([self.ids[of], self.digest[0][segment[h]].view(np.int64)]),
-            np.concatenate([self.rows[of], self.digest[1][segment[h]].view(np.int64)]),
+            np.concatenate([self.ids[of], self.digest[segment[h]].view(np.int64)]),
+            np.concatenate([self.rows[of], two.view(np.int64)]),
             np.concatenate([at + first[which], first[h]]),
             np.concatenate([at + last[which] + self.words - 1, last[h]]),
             np.concatenate([least[which], least[h]]),
@@ -434,7 +452,7 @@ def without_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places(planes.value)
-        for batch in batches_of(batches, words, BATCH_WORDS):
+        for batch in batches_of(batches, words, BATCH_BYTES):
             out = send(batch, places, words, shards)
             if out is not None:
                 yield out
@@ -444,10 +462,11 @@ def without_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
 
     def hot_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places(planes.value)
-        for batch in batches_of(batches, words, BATCH_WORDS):
-            own, hot, _ = shared_segments(batch, places, words)
+        for batch in batches_of(batches, words, BATCH_BYTES):
+            own, hot, _ = dealt_segments(batch, places, words)
             own = own.take(hot)
-            one, two = digests(batch.hashes, own.start, own.windows, words)
+            one = digests(batch.runs, own.start, own.windows)
+            two = digests(run_hashes(batch.hashes, words, BY[1])[1] if len(one) else batch.runs, own.start, own.windows, BY[1])
             columns = [one.view(np.int64), two.view(np.int64), batch.ids[own.text], batch.rows[own.text], own.place]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "y", "id", "row", "place"])
 
@@ -461,25 +480,34 @@ def without_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
         covered = covered.union(joined.select("id", "row", (F.col("place") + F.col("first")).alias("first"), last))
     covered = covered.groupBy("id", "row").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
 
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            texts = pa.array([small.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), texts], names=["id", "row", "text"])
+
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [_kept(t, c) for t, c in zip(part.column("text").to_pylist(), part.column("covered").to_pylist())]
+                made = [_kept(large.decompress(t), c) for t, c in zip(part.column("text").to_pylist(), part.column("covered").to_pylist())]
                 columns = zip(*made)
                 kinds = (pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", "n_words", "n_removed", "kept"]
                 )
 
-    out = rows.join(covered, ["id", "row"], "left").select("id", "text", "covered")
+    # Texts go compressed into the join: they are most of what it shuffles.
+    texts = rows.mapInArrow(compressed, "id long, row long, text binary")
+    out = texts.join(covered, ["id", "row"], "left").select("id", "text", "covered")
     out = out.mapInArrow(cleaned, "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept")
 
 
-def _kept(text: str, covered: list[dict] | None) -> tuple[int, int, str]:
+def _kept(text: bytes, covered: list[dict] | None) -> tuple[int, int, str]:
     """(words, words removed, the others joined by a space) of a text."""
-    words = text.encode().split()
+    words = text.split()
     if not covered:
         return len(words), 0, b" ".join(words).decode()
     turns = np.zeros(len(words) + 1, np.int64)

@@ -29,6 +29,10 @@ KEY = 0x5851F42D4C957F2D
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh3_64_intdigest, words, repeat(KEY)), np.uint64, len(words))
+
+
 def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
     """Hash of every word of a text, with A-Z folded unless told otherwise. Words are made a megabyte at a time."""
     parts, at = [], 0
@@ -36,11 +40,64 @@ def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
         space = _SPACE.search(text, at + GROUP_BYTES) if len(text) - at > GROUP_BYTES else None
         end = space.start() if space else len(text)
         words = (text[at:end].translate(FOLD) if fold else text[at:end]).split()
-        parts.append(np.fromiter(map(xxh3_64_intdigest, words, repeat(KEY)), np.uint64, len(words)))
+        parts.append(hashes_of(words))
         at = end
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+#: Words located by ``located`` are hashed by two polynomials modulo this prime, at two points drawn once (any would do).
+PRIME = (1 << 31) - 1
+POINTS = 1_204_737_163, 715_827_889
+_fold31 = np.uint64(PRIME), np.uint64(31)
+_points: dict[int, np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Below 2 ** 33 what is below 2 ** 62, unchanged modulo the prime."""
+    return (x & _fold31[0]) + (x >> _fold31[1])
+
+
+def _powers(point: int, n: int) -> np.ndarray:
+    known = _points.get(point)
+    if known is None or len(known) < n:
+        known = np.ones(1, np.uint64)
+        while len(known) < n:
+            known = np.concatenate([known, _reduced(_reduced(known * np.uint64(pow(point, len(known), PRIME))))])
+        known = _points[point] = known % _fold31[0]
+    return known[:n]
+
+
+_LETTERS = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(p)) % np.uint64(PRIME - 1) + np.uint64(1) for p in POINTS]
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def located(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, hash) of every word, letters as they are; worked on about a megabyte at a time.
+
+    For texts whose words are needed as places: no object is made for a word."""
+    starts, ends, hashes, at = [], [], [], 0
+    while at < len(data):
+        space = _SPACE.search(data, at + GROUP_BYTES) if len(data) - at > GROUP_BYTES else None
+        part = np.frombuffer(data, np.uint8, (space.start() if space else len(data)) - at, at)
+        inside = np.zeros(len(part) + 2, bool)
+        np.logical_not(_IS_SPACE[part], out=inside[1:-1])
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        first, end = turns[::2], turns[1::2]
+        values = []
+        for letters, point in zip(_LETTERS, POINTS):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_reduced(letters[part] * _powers(point, len(part))), out=sums[1:])
+            back = _powers(pow(point, -1, PRIME), len(part) + 1)[first]
+            values.append(_reduced(_reduced(_reduced(_reduced(sums[end] - sums[first]) * back))) % _fold31[0])
+        hashes.append(mix(values[0] << np.uint64(31) | values[1]) ^ mix((end - first).astype(np.uint64)))
+        starts.append(first + at)
+        ends.append(end + at)
+        at += len(part)
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) if x else e for x, e in ((starts, empty), (ends, empty), (hashes, empty.astype(np.uint64))))
+
+
 def grouped(texts: list[str | None], fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For stretches of texts of about a megabyte (or one longer text): (first, end, words per text, hashes)."""
     first = 0

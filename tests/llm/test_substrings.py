@@ -59,7 +59,7 @@ def test_repeats(documents, monkeypatch, hot):
         monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 5)
     if hot == "various":
         monkeypatch.setattr(substring_dedup, "HOT_WORDS", 60)
-    monkeypatch.setattr(substring_dedup, "BATCH_WORDS", 400)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 2500)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 700)
     rows = corpus()
     same(substring_dedup.without_repeats(documents(rows).repartition(4)), rows, 13)
@@ -67,7 +67,7 @@ def test_repeats(documents, monkeypatch, hot):
 
 def test_other_lengths(documents):
     rows = corpus()[:120]
-    for words in (3, 4, 7):
+    for words in (1, 3, 4, 7):
         same(substring_dedup.without_repeats(documents(rows), words=words), rows, words)
 
 
@@ -83,10 +83,10 @@ def test_segments(monkeypatch):
     random.seed(2)
     sizes = np.array([0, 40, 12, 13, 0, 100])
     hashes = np.array([random.choice([1, 2, 3, 4]) * (i % 60 > 30) + 7 for i in range(sizes.sum())], np.uint64)
-    found = substring_dedup.cut(hashes, sizes, 13)
+    four, _ = substring_dedup.run_hashes(hashes, 13)
+    found = substring_dedup.cut(four, sizes, 13)
     before = np.cumsum(sizes) - sizes
     windows = []
-    four = substring_dedup.run_hashes(hashes, 4)
     for start, n, anchor, text, place in zip(*(c.tolist() for c in found)):
         assert 1 <= n <= 5 and start == before[text] + place
         windows += range(start, start + n)
@@ -95,14 +95,17 @@ def test_segments(monkeypatch):
 
 
 def test_run_hashes():
-    values = np.random.default_rng(1).integers(0, 3, 500).astype(np.uint64)
-    for size in (1, 2, 3, 4, 5, 8, 13):
+    values = np.random.default_rng(1).integers(7, 10, 500).astype(np.uint64)
+    for size in (1, 2, 4, 5, 8, 13):
         seen = {}
-        for k, h in enumerate(substring_dedup.run_hashes(values, size).tolist()):
-            assert seen.setdefault(tuple(values[k : k + size].tolist()), h) == h
-        assert len(set(seen.values())) == len(seen)
+        short, runs = substring_dedup.run_hashes(values, size)
+        assert len(runs) == 501 - size and len(short) == 501 - min(size, 4)
+        for n, found in ((min(size, 4), short), (size, runs)):
+            for k, h in enumerate(found.tolist()):
+                assert seen.setdefault((n, *values[k : k + n].tolist()), h) == h
+        assert len(set(seen.values())) == len(seen) or size <= 4
         assert substring_dedup.run_least(values, size).tolist() == [values[k : k + size].min() for k in range(501 - size)]
-    assert len(substring_dedup.run_hashes(values[:3], 4)) == 0
+    assert [len(r) for r in substring_dedup.run_hashes(values[:3], 4)] == [0, 0]
 
 
 @pytest.mark.parametrize("n, kinds", [(1, 1), (2, 1), (60, 2), (400, 7), (3000, 400)])

@@ -120,6 +120,21 @@ def test_long_text_in_parts(monkeypatch):
     assert len(whole) == len(words_of(text))
 
 
+@pytest.mark.parametrize("piece", [5, 1 << 20])
+def test_located_words(monkeypatch, piece):
+    monkeypatch.setattr(wordhash, "GROUP_BYTES", piece)
+    random.seed(4)
+    one, other = thue_morse(10)
+    text = " \n".join([one, other, *("".join(random.choice("abAB\té\xa0") for _ in range(random.randrange(0, 7))) for _ in range(900))]) + " z"
+    data, seen = text.encode(), {}
+    start, end, hashes = wordhash.located(data)
+    words = [data[i:j] for i, j in zip(start.tolist(), end.tolist())]
+    assert words == data.split()
+    for w, h in zip(words, hashes.tolist()):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) and [len(x) for x in wordhash.located(b"")] == [0, 0, 0]
+
+
 def test_language_model(documents):
     random.seed(5)
     vocabulary = [f"w{int(random.paretovariate(0.8))}" for _ in range(400)]
