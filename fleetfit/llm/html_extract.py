@@ -5,17 +5,20 @@ its tag path, class names, length, punctuation and links; positive evidence is i
 evidence its capacity to the sink. Neighbouring blocks, and consecutive blocks of one parent or grandparent, are tied by
 smoothness edges. The minimum cut is the labelling with the least total cost; the source side is the main text.
 
-A wrapper around article and sidebar is often named after what it also holds, or is a form. Where that seems to have cost
-a page its article, it is labelled a second time without the marks of such wrappers.
+Names of classes, ids and roles are evidence of two strengths. One that says what an element is ("sidebar", "post-comments",
+"cookie-notice") outweighs the rest. One that says what a wrapper also has or is for ("has-sidebar", "content-sidebar-wrap",
+"social-story", "ad-free"), like a form round the whole page, is moderate: text and ties decide.
+
+A page is read once, forwards, in time proportional to its length, however broken its tags are.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
-from itertools import islice
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -44,33 +47,33 @@ BOILERPLATE_WORDS = frozenset(
     "recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored sponsors "
     "subscribe subscription tagcloud toolbar widget widgets".split()
 )
+#: A name that ends in one of these, or has one of these before the mark, names a wrapper and not what the mark says ...
+WRAPPER_ENDS = frozenset("wrap wrapper layout supported free enabled story news article entry post page".split())
+WRAPPER_STARTS = frozenset("has have with without no non is".split())
+#: ... but for these, which turn what they stand before into something else.
+TURNING_WORDS = frozenset("related recommended sponsored promoted".split())
 CONTENT_WORDS = frozenset("article entry post story articlebody content".split())
 
 # Weights of the classifier, in log-odds.
-BIAS, IN_CONTENT, IN_BOILERPLATE, PAGE_HEADER, MAIN_WORD = 0.25, 3.0, -7.0, -5.0, 1.0
-TEXT_TAG, HEADING, LONG, SENTENCE, SHORT, LINKS = 0.7, 0.7, 0.8, 0.5, -0.8, -3.0
+BIAS, IN_CONTENT, IN_BOILERPLATE, PAGE_HEADER, IN_WRAPPER, MAIN_WORD = 0.25, 3.0, -10.0, -8.0, -1.5, 1.0
+TEXT_TAG, LIST_ITEM, HEADING, TITLE, LONG, SENTENCE, SHORT, LINKS = 0.7, 0.4, 0.7, 1.5, 0.8, 0.5, -0.8, -3.0
 # Smoothness: neighbours on the page, consecutive under one parent, consecutive under one grandparent.
-NEXT, SAME_PARENT, SAME_GRANDPARENT = 0.4, 0.4, 0.2
+NEXT, SAME_PARENT, SAME_GRANDPARENT = 0.8, 0.4, 0.2
 
-MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>"']|"[^"]*+"|'[^']*+')*+)>"""
-    r"""|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+(?:>|\Z)""",
-    re.S,
-)
+TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+QUOTE_OR_END = re.compile("[>\"']")
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 CONCEALED = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-#: Text that lifting the marks of wrappers must bring, as a multiple of the text without.
-LIFTED_TEXT = 4
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
     """White-space normalised text, its evidence, and the numbers of its parent and grandparent elements."""
 
-    __slots__ = ("text", "score", "parent", "grandparent", "content")
+    __slots__ = ("text", "score", "parent", "grandparent")
 
-    def __init__(self, text: str, score: float, parent: int, grandparent: int, content: bool):
-        self.text, self.score, self.parent, self.grandparent, self.content = text, score, parent, grandparent, content
+    def __init__(self, text: str, score: float, parent: int, grandparent: int):
+        self.text, self.score, self.parent, self.grandparent = text, score, parent, grandparent
 
 
 def _marks(rest: str) -> set[str]:
@@ -81,67 +84,208 @@ def _marks(rest: str) -> set[str]:
     return found
 
 
-def _whole(rest: str) -> bool:
-    """Whether a whole class name, id or role marks what is not the article."""
-    return any(not BOILERPLATE_WORDS.isdisjoint("".join(groups).lower().split()) for groups in MARKS.findall(rest))
+def _strength(rest: str) -> int:
+    """What class, id and role say: 2 that the element is boilerplate, 1 that it is a wrapper that has some, 0 neither."""
+    found = 0
+    for groups in MARKS.findall(rest):
+        for name in "".join(groups).split():
+            parts = [w.lower() for w in NAME_PART.findall(name)] or [name.lower()]
+            marked = [i for i, w in enumerate(parts) if w in BOILERPLATE_WORDS]
+            if name.lower() in BOILERPLATE_WORDS:
+                return 2
+            if marked:
+                wrapper = parts[-1] in WRAPPER_ENDS or not WRAPPER_STARTS.isdisjoint(parts[: marked[0]])
+                if not wrapper or not TURNING_WORDS.isdisjoint(parts):
+                    return 2
+                found = 1
+    return found
 
 
-def _holds(name: str, marked: bool) -> int:
-    """What an element says of those around it: 2 that they hold a main element, 1 that they hold an article, a title or
-    a part that is marked itself, so that a mark by a part of a name need not mean all of them."""
-    return 2 if name == "main" else int(marked or name in CONTENT_TAGS or name == "h1" or name in BOILERPLATE_TAGS)
+class Path(NamedTuple):
+    """Evidence of the elements round a text: in content, in boilerplate (1 a page's header, 2 other), named as content,
+    number of wrappers that have boilerplate too."""
 
+    content: bool = False
+    boilerplate: int = 0
+    named: bool = False
+    wrappers: int = 0
 
-def _path_evidence(name: str, rest: str, above: tuple, lifted: bool = False) -> tuple:
-    """(in content, in boilerplate, in a form, named as content) below an element; ``above`` is that of its parent.
-    A ``lifted`` element is no form, and its names mark nothing."""
-    content, boilerplate, form, named = above
-    if name in CONTENT_TAGS:
-        content, form = True, False
-    elif name in BOILERPLATE_TAGS or name == "header" and not content:
-        boilerplate = max(boilerplate, 2 if name != "header" else 1)
-    elif name == "form" and not lifted:
-        form = True
-    if rest and name != "body" and name != "html":
-        marks = _marks(rest)
-        if marks & BOILERPLATE_WORDS and not lifted or CONCEALED.search(rest):
+    def below(self, name: str, rest: str, parent: str) -> Path:
+        content, boilerplate, named, wrappers = self
+        if name == "main":
+            content, boilerplate, wrappers = True, 0, 0  # there is one, and what is round it is a wrapper
+        elif name == "article":
+            content = True
+        elif name in BOILERPLATE_TAGS:
             boilerplate = 2
-        named = named or bool(marks & CONTENT_WORDS)
-    return content, boilerplate, form, named
+        elif name == "header" and not content:
+            boilerplate = max(boilerplate, 1)
+        elif name == "form":
+            # A form round the whole page is a wrapper.
+            if parent in ("#", "html", "body"):
+                wrappers += 1
+            else:
+                boilerplate = 2
+        if rest and name != "body" and name != "html":
+            strength = 2 if CONCEALED.search(rest) else _strength(rest)
+            if strength == 2:
+                boilerplate = 2
+            wrappers += strength == 1
+            named = named or not CONTENT_WORDS.isdisjoint(_marks(rest))
+        return Path(content, boilerplate, named, wrappers)
 
 
-def _score(text: str, links: int, tag: str, path: tuple) -> float:
-    content, boilerplate, form, named = path
+def _score(text: str, links: int, tag: str, path: Path) -> float:
     words = text.count(" ") + 1
-    score = BIAS + (IN_CONTENT if content else 0.0)
-    if boilerplate == 2 or form:
+    score = BIAS + (IN_CONTENT if path.content else 0.0) + IN_WRAPPER * min(path.wrappers, 2)
+    if path.boilerplate == 2:
         score += IN_BOILERPLATE
-    elif boilerplate:
+    elif path.boilerplate:
         score += PAGE_HEADER
-    if named:
+    if path.named:
         score += MAIN_WORD
     if tag in ("p", "pre", "blockquote"):
         score += TEXT_TAG
+    elif tag in ("li", "dd", "dt"):
+        score += LIST_ITEM
+    elif tag == "h1":
+        score += TITLE
     elif tag[0] == "h" and tag[1:].isdigit():
         score += HEADING
     if words >= 10:
         score += LONG
-    elif words < 4 and not content:
+    elif words < 4 and not path.content:
         score += SHORT
     if text[-1] in ".!?…:\"'”»":
         score += SENTENCE
     return score + LINKS * min(1.0, links / len(text))
 
 
-def blocks(page: str, lifted: frozenset[int] = frozenset(), wrappers: set[int] | None = None) -> list[Block]:
-    """The visible text of a page, cut at block elements, in page order. The marks of the elements numbered in ``lifted``
-    do not count; the numbers of those that may be wrappers are added to ``wrappers``."""
+class Tags:
+    """The tags of a page, one after the other, found in one pass forwards.
+
+    A tag ends at the first ``>`` outside quotes. Where a quote never closes, it and all later tags end at the first ``>``
+    whatever the quotes; a tag that never ends is the end of the page, as for a browser.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``; -1 if there is none."""
+        page, place = self.page, at
+        while self.quotes:
+            found = QUOTE_OR_END.search(page, place)
+            if found is None:
+                break
+            if found[0] == ">":
+                return found.start()
+            place = page.find(found[0], found.end()) + 1
+            if not place:
+                break
+        self.quotes = False  # looked through to the end once, never again
+        return page.find(">", at)
+
+    def after(self, at: int) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it closes, attributes) from ``at`` on; '' as the name of a comment or declaration.
+        A place that is sent in is where to go on."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = (yield start, end + 3 if end >= 0 else len(page), "", False, "") or (end + 3 if end >= 0 else len(page))
+                continue
+            closes = page.startswith("/", start + 1)
+            name = TAG_NAME.match(page, start + 1 + closes)
+            if name is None and (closes or page.startswith(("!", "?"), start + 1)):
+                end = page.find(">", start)
+                at = (yield start, end + 1 if end >= 0 else len(page), "", False, "") or (end + 1 if end >= 0 else len(page))
+                continue
+            if name is None:
+                at = start + 1
+                continue
+            end = self._end(name.end())
+            if end < 0:
+                yield start, len(page), "", False, ""
+                return
+            at = (yield start, end + 1, name[0].lower(), closes, page[name.end() : end]) or end + 1
+
+
+class Open(NamedTuple):
+    """An open element. ``around`` has the nearest elements that hold blocks, itself included, at most three."""
+
+    name: str
+    number: int
+    path: Path
+    around: tuple[tuple[str, int], ...]
+
+
+class Stack:
+    """The open elements. What is open is counted by name, so that a search is made only for what will be found:
+
+    ``scopes`` counts since the innermost element that scopes, ``inlines`` inline elements since the innermost other one."""
+
+    def __init__(self) -> None:
+        self.items = [Open("#", 0, Path(), (("#", 0),))]
+        self.names: Counter[str] = Counter()
+        self.scopes, self.inlines = [Counter[str]()], [Counter[str]()]
+        self.hidden = self.number = self.links = 0
+
+    def push(self, name: str, rest: str) -> None:
+        self.number += 1
+        top = self.items[-1]
+        parent = top.around[0][0]
+        around = top.around if name in INLINE else ((name, self.number), *top.around[:2])
+        self.items.append(Open(name, self.number, top.path.below(name, rest, parent), around))
+        self.names[name] += 1
+        self.hidden += name in HIDDEN
+        self.links += name == "a"
+        if name in SCOPES:
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][name] += 1
+        if name in INLINE:
+            self.inlines[-1][name] += 1
+        else:
+            self.inlines.append(Counter())
+
+    def pop(self) -> str:
+        name = self.items.pop().name
+        self.names[name] -= 1
+        self.hidden -= name in HIDDEN
+        self.links -= name == "a"
+        if name in SCOPES:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][name] -= 1
+        if name in INLINE:
+            self.inlines[-1][name] -= 1
+        else:
+            self.inlines.pop()
+        return name
+
+    def close(self, name: str) -> None:
+        """An end tag: of a block, up to the innermost open one; of an inline element, not beyond its block."""
+        if (self.inlines[-1] if name in INLINE else self.names)[name]:
+            while self.pop() != name:
+                pass
+
+    def close_before(self, name: str) -> None:
+        """What the start of a block element closes: an open paragraph, and what cannot hold it, in the same scope."""
+        for closed in ("p", *CLOSES.get(name, ())):
+            while self.scopes[-1][closed]:
+                while self.pop() != closed:
+                    pass
+
+
+def blocks(page: str) -> list[Block]:
+    """The visible text of a page, cut at block elements, in page order."""
     out: list[Block] = []
-    held: dict[int, int] = {}  # element -> the most that one below it says
-    least: dict[int, int] = {}  # marked element -> what one below it must say for a wrapper
-    stack: list[tuple[str, int, tuple]] = [("#", 0, (False, 0, False, False))]  # name, number, evidence of the path
-    pieces: list[str] = []
-    links = number = hidden = at = 0
+    stack, pieces = Stack(), []
+    links = at = 0
 
     def flush() -> None:
         nonlocal links
@@ -149,89 +293,54 @@ def blocks(page: str, lifted: frozenset[int] = frozenset(), wrappers: set[int] |
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                around = list(islice((e for e in reversed(stack) if e[0] not in INLINE), 3))
+                around, path = stack.items[-1].around, stack.items[-1].path
                 # The elements around the one that holds the text; at the top the outermost counts again.
                 parent, grandparent = around[min(1, len(around) - 1)][1], around[-1][1]
-                out.append(Block(text, _score(text, links, around[0][0], stack[-1][2]), parent, grandparent, stack[-1][2][0]))
+                out.append(Block(text, _score(text, links, around[0][0], path), parent, grandparent))
         links = 0
 
     def take(text: str) -> None:
         nonlocal links
-        if text and not hidden:
+        if text and not stack.hidden:
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
-            if any(e[0] == "a" for e in stack[-4:]):
+            if stack.links:
                 links += len(text.strip())
 
-    def pop_to(depth: int) -> None:
-        nonlocal hidden
-        for e in stack[depth:]:
-            hidden -= e[0] in HIDDEN
-        del stack[depth:]
-
-    size = len(page)
-    while at < size:
-        found = MARKUP.search(page, at)
-        if found is None:
-            take(page[at:])
-            break
-        take(page[at : found.start()])
-        at = found.end()
-        name = found["name"] or found["name2"]
-        if not name:
-            continue
-        name = name.lower()
-        if found["end"] or found["end2"]:
-            inline = name in INLINE
-            if not inline:
+    tags = Tags(page).after(0)
+    found = next(tags, None)
+    while found is not None:
+        start, end, name, closes, rest = found
+        take(page[at:start])
+        at, go_on = end, None
+        if closes:
+            if name not in INLINE:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
-                if inline and stack[depth][0] not in INLINE:
-                    break
-            continue
-        rest = found["rest"] or found["rest2"] or ""
-        if name in RAW:
+            stack.close(name)
+        elif name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-            at = close.start() if close else size
-            continue
-        if name == "br":
+            at = go_on = close.start() if close else len(page)
+        elif name == "br":
             take(" ")
-            continue
-        if name not in INLINE:
-            flush()
-            closing = CLOSES.get(name, ())
-            for depth in range(len(stack) - 1, 0, -1):
-                open_name = stack[depth][0]
-                if open_name == "p" or open_name in closing:
-                    pop_to(depth)
-                elif open_name in SCOPES:
-                    break
-        if name in VOID:
-            continue
-        number += 1
-        stack.append((name, number, _path_evidence(name, rest, stack[-1][2], number in lifted)))
-        if wrappers is not None:
-            marked = bool(rest) and name != "body" and name != "html" and not BOILERPLATE_WORDS.isdisjoint(_marks(rest))
-            if marked or name == "form":
-                least[number] = 2 if _whole(rest) else 1
-            says = _holds(name, marked)
-            if name == "main":
-                held[number] = 2
-            # What is above an element that knows as much knows it too.
-            for _, above, _ in islice(reversed(stack), 1, None) if says else ():
-                if held.get(above, 0) >= says:
-                    break
-                held[above] = says
-        hidden += name in HIDDEN
+        elif name:
+            if name not in INLINE:
+                flush()
+                stack.close_before(name)
+            if name not in VOID:
+                stack.push(name, rest)
+        found = next(tags, None) if go_on is None else _sent(tags, go_on)
+    take(page[at:])
     flush()
-    if wrappers is not None:
-        wrappers.update(n for n, says in least.items() if held.get(n, 0) >= says)
     return out
 
 
+def _sent(tags, at: int):
+    try:
+        return tags.send(at)
+    except StopIteration:
+        return None
+
+
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness: adjacency on the page and proximity in the element tree."""
     out = [(i, i + 1, NEXT) for i in range(len(found) - 1)]
@@ -328,19 +437,9 @@ def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list
 
 def main_text(page: str | None) -> str:
     """Blocks labelled as content, joined by an empty line."""
-
-    def labelled(found: list[Block]) -> list[Block]:
-        return [b for b, c in zip(found, minimum_cut([b.score for b in found], edges(found))) if c]
-
-    kept = labelled(blocks(page or ""))
-    if page and not any(b.content for b in kept):
-        wrappers: set[int] = set()
-        blocks(page, wrappers=wrappers)
-        if wrappers:
-            more = labelled(blocks(page, frozenset(wrappers)))
-            if sum(len(b.text) for b in more) > LIFTED_TEXT * sum(len(b.text) for b in kept):
-                kept = more
-    return "\n\n".join(b.text for b in kept)
+    found = blocks(page or "")
+    kept = minimum_cut([b.score for b in found], edges(found))
+    return "\n\n".join(b.text for b, c in zip(found, kept) if c)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -54,6 +55,70 @@ def test_wrappers_of_article_and_sidebar(wrapper, inner):
     assert html_extract.main_text(page).split("\n\n") == ["The title", *paragraphs]
 
 
+PARAGRAPHS = [f"Paragraph {i} is a whole sentence with a good number of words in it." for i in range(10)]
+SIDE = '<div class="sidebar"><p>See also these other things here, and many more of them.</p></div>'
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<main><h1>The title</h1><div class="ad-supported entry">', "</div></main>"),
+        ('<article><h1>The title</h1><div class="content has-sidebar">', "</div></article>"),
+        ('<article><h1>The title</h1><section class="story social-story">', "</section></article>"),
+        ('<article class="post social-news"><h1>The title</h1>', "</article>"),
+        ('<article class="ad-free"><h1>The title</h1>', "</article>"),
+        ('<div class="page-with-comments"><div class="post"><h1>The title</h1>', "</div></div>"),
+        ('<form id="f"><div><h1>The title</h1>', "</div></form>"),
+        ('<div class="hasSidebar layoutNavWrapper"><div><h1>The title</h1>', "</div></div>"),
+        ('<div class="social"><main><h1>The title</h1>', "</main></div>"),
+    ],
+)
+def test_marked_wrappers_keep_their_article(before, after):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f"<body><nav><a href=1>One</a> <a href=2>Two</a></nav>{before}{body}{after}{SIDE}<footer>All rights reserved by the owner of this page.</footer>"
+    assert html_extract.main_text(page).split("\n\n") == ["The title", *PARAGRAPHS]
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["post-comments", "article-footer", "related-posts", "sponsored-story", "cookie-notice", "newsletter-box", "comment-content", "share share-wrap", "noSidebar promo"],
+)
+def test_names_of_what_an_element_is(name):
+    """Names that say what an element is leave it out, also inside an article."""
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    for page in (f"<article>{body}<div class='{name}'><p>A sentence of quite another sort, and long enough to count.</p></div></article>",):
+        assert html_extract.main_text(page).split("\n\n") == PARAGRAPHS
+
+
+def test_the_cut_decides():
+    """Labels that the ties give against a block's own evidence, and that are right: short parts of an article kept, none added."""
+    steps = "".join(f"<li>{w}</li>" for w in ("Flour", "Water", "Salt"))
+    body = f"<h1>Bread</h1><p>{PARAGRAPHS[0]}</p><h4>You need</h4><ul>{steps}</ul><p>{PARAGRAPHS[1]}</p><div>Mix well</div><p>{PARAGRAPHS[2]}</p>"
+    around = '<div class="menu"><a href=1>Home page</a> <a href=2>All the recipes</a></div>{}<div>Top</div><div class="footer">All rights reserved.</div>'
+    found = html_extract.blocks(around.format(f"<div id=x>{body}</div>"))
+    labels = html_extract.minimum_cut([b.score for b in found], html_extract.edges(found))
+    against = [(b.text, c) for b, c in zip(found, labels) if c != (b.score > 0)]
+    assert {t for t, c in against if c} >= {"Flour", "Water", "Salt", "Mix well"} and len(against) >= 4
+    assert [b.text for b, c in zip(found, labels) if c] == ["Bread", PARAGRAPHS[0], "You need", "Flour", "Water", "Salt", PARAGRAPHS[1], "Mix well", PARAGRAPHS[2]]
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<a ", '<a "', "</b>", "<b></i>", "<div>x", "<center>x", "<b>x", "<i>x<p>", "<a b='>", "<!--", "&amp", "<li><p>x", "<table><td>x", "<p a=\">", "<h1", "<"],
+)
+def test_broken_pages_take_linear_time(part):
+    """A megabyte of unfinished or unclosed markup; quadratic work would take hours."""
+    started = time.process_time()
+    html_extract.main_text(part * ((1 << 20) // len(part)))
+    assert time.process_time() - started < 30
+
+
+def test_quotes_in_tags():
+    page = f'<article><p title="a > b">{PARAGRAPHS[0]}</p><p title=\'"\'>{PARAGRAPHS[1]}</p><p title="open>{PARAGRAPHS[2]}</p><p>{PARAGRAPHS[3]}</p></article>'
+    assert html_extract.main_text(page).split("\n\n") == PARAGRAPHS[:4]
+    assert html_extract.main_text(f"<article><p>{PARAGRAPHS[0]}</p><a href=") == PARAGRAPHS[0]
+
+
 def test_teasers_and_hidden_articles_stay_out():
     body = "".join(f"<p>Paragraph {i} is a whole sentence with a good number of words in it.</p>" for i in range(4))
     teaser = "<article><p>Another story that can be read on this site some time.</p></article>"
