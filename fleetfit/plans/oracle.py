@@ -544,6 +544,14 @@ ORACLES: dict[str, str] = {
         ),
         "telemetry",
     ),
+    "src_clustered_lookup": _with(
+        """SELECT w.environment_id, known AS found, coalesce(readings, 0) AS readings
+           FROM (SELECT environment_id, true AS known FROM environments WHERE status = 'STOPPED'
+                 UNION ALL SELECT 'env-unknown', false) w
+           LEFT JOIN (SELECT environment_id, count(*) AS readings FROM telemetry GROUP BY environment_id) t USING (environment_id)""",
+        "telemetry",
+        "environments",
+    ),
     "src_env_lookup": _with(
         """SELECT r.environment_id, e.environment_id IS NOT NULL AS found, coalesce(e.service_name, 'none') AS service_name,
                   coalesce(e.current_instance_type, 'none') AS current_instance_type,
@@ -1162,6 +1170,33 @@ ORACLES: dict[str, str] = {
         "environments",
         "audit",
     ),
+    "audit_order_check": "WITH RECURSIVE "
+    + _with(
+        """SELECT environment_id, max(n) AS events, arg_max(stage, n) AS stage,
+                  count(*) FILTER (n > 0 AND flagged) AS out_of_order,
+                  coalesce(min(n) FILTER (flagged), 0) AS first_entry, coalesce(arg_min(event, n) FILTER (flagged), 'none') AS first_event
+           FROM walk GROUP BY environment_id""",
+        "audit",
+        ordered="SELECT environment_id, event, row_number() OVER (PARTITION BY environment_id ORDER BY timestamp, seq) AS n FROM audit",
+        allowed="""SELECT * FROM (VALUES
+                ('IDLE', 'PRECHECK_STARTED', 'CHECKING'),
+                ('CHECKING', 'PRECHECK_FAILED', 'IDLE'), ('CHECKING', 'MIGRATION_BLOCKED', 'IDLE'), ('CHECKING', 'MIGRATION_APPROVED', 'APPROVED'),
+                ('APPROVED', 'PRECHECK_STARTED', 'CHECKING'), ('APPROVED', 'MIGRATION_STARTED', 'MIGRATING'),
+                ('MIGRATING', 'MIGRATION_EXECUTED', 'MIGRATED'), ('MIGRATING', 'MIGRATION_FAILED', 'IDLE'),
+                ('MIGRATED', 'MONITORING_STARTED', 'MONITORING'),
+                ('MONITORING', 'POSTCHECK_PASSED', 'COMPLETED'), ('MONITORING', 'FAILURE_DETECTED', 'FAILING'),
+                ('COMPLETED', 'PREDICTION_ACCURACY', 'IDLE'), ('COMPLETED', 'PRECHECK_STARTED', 'CHECKING'),
+                ('FAILING', 'MIGRATION_STOPPED', 'STOPPED'),
+                ('STOPPED', 'ROLLBACK_STARTED', 'ROLLING_BACK'),
+                ('ROLLING_BACK', 'ORIGINAL_CONFIGURATION_RESTORED', 'RESTORED'), ('ROLLING_BACK', 'ROLLBACK_FAILED', 'IDLE'),
+                ('RESTORED', 'RESTORATION_VERIFIED', 'IDLE')
+            ) AS t(stage, event, next)""",
+        walk="""SELECT DISTINCT environment_id, CAST(0 AS BIGINT) AS n, 'IDLE' AS stage, '' AS event, false AS flagged FROM ordered
+                UNION ALL
+                SELECT o.environment_id, o.n, coalesce(a.next, w.stage), o.event, a.next IS NULL
+                FROM walk w JOIN ordered o ON o.environment_id = w.environment_id AND o.n = w.n + 1
+                LEFT JOIN allowed a ON a.stage = w.stage AND a.event = o.event""",
+    ).removeprefix("WITH "),
     "audit_funnel": _funnel(),
     "error_catalog": _simulated(
         EXPLAINED,
@@ -1199,6 +1234,8 @@ ORACLES: dict[str, str] = {
     "stream_health": _with(_verdict("environment_id, migration_seq", "checkpoints"), "checkpoints"),
     "stream_health_first": _with(_verdict("environment_id", "checkpoints", "WHERE newest = 1"), "checkpoints"),
 }
+ORACLES["base_incremental"] = ORACLES["base_all"]
+ORACLES["src_bucketed_merge"] = ORACLES["src_telemetry_merge"]
 ORACLES["stream_validate"] = ORACLES["val_clean"]
 # A request is decided once a day on which it is made.
 ORACLES["stream_audit"] = f"""SELECT g.*, d.requested_on FROM ({ORACLES["gate_audit_rows"]}) g JOIN (

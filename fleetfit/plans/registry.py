@@ -13,9 +13,11 @@ from fleetfit.functions.common import r6, text_list
 from fleetfit.operators import (
     accuracy,
     audit,
+    audit_order,
     baseline,
     candidates,
     cost,
+    daily,
     errors,
     gate,
     health,
@@ -29,7 +31,7 @@ from fleetfit.operators import (
 from fleetfit.operators.projection import ENV, Variant, project_rows, with_profile_columns
 from fleetfit.operators.ranking import position_in_group
 from fleetfit.plans.fleet import Fleet, table_fleet
-from fleetfit.sources import adapters, merge, readers, sinks
+from fleetfit.sources import adapters, bucketed, clustered, merge, readers, sinks
 from fleetfit.streaming import audit as stream_audit_sink
 from fleetfit.streaming import baseline as stream_baselines
 from fleetfit.streaming import health as stream_healths
@@ -39,6 +41,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 MOVE = whatif.MOVE
+#: Buckets of stored histories: some 100 MB of a year's readings each.
+BUCKETS = 8
 DAY = "yyyy-MM-dd HH:mm:ss"
 INSTANT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 TIGHT = Variant("tight_slo", latency_target=54.0, availability_target=99.99)
@@ -112,7 +116,18 @@ def src_metric_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def src_telemetry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The histories come out of keep-first, so their keys are unique by construction.
-    return shown(merge.merge_histories(_histories(spark, sf_dir)))
+    return shown(merge.merge_histories(_histories(spark, sf_dir), unique=True))
+
+
+@query
+def src_bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histories saved in buckets, in two writes, and merged without a shuffle."""
+    path, histories = session.scratch_path(spark, "bucketed"), _histories(spark, sf_dir)
+    store = bucketed.BucketedHistories(spark, f"fleetfit_{path.rpartition('-')[2]}", path, BUCKETS)
+    early = F.col("timestamp") < F.lit("1995-06-17").cast("timestamp_ntz")
+    store.append({name: h.where(early) for name, h in histories.items()})
+    store.append({name: h.where(~early) for name, h in histories.items()})
+    return shown(store.merged())
 
 
 @query
@@ -154,6 +169,17 @@ def src_env_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def src_clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry written clustered by environment, and what it holds of the stopped environments."""
+    fleet = table_fleet(spark, sf_dir)
+    store = clustered.ClusteredTelemetry(spark, session.scratch_path(spark, "clustered"))
+    store.write(fleet.telemetry, rows_per_file=5_000)
+    stopped = fleet.environments.where("status = 'STOPPED'").select(ENV)
+    found = store.lookup(stopped.union(stopped.select(F.lit("env-unknown")).distinct()), fleet.environments)
+    return shown(found.select(ENV, "found", F.coalesce("readings", F.lit(0)).alias("readings")))
+
+
 @query
 def sink_metric_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five tables written from wide telemetry, read back and summed up."""
@@ -341,6 +367,18 @@ def base_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(table_fleet(spark, sf_dir).baseline())
 
 
+@query
+def base_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines from daily counts: days that lack some environments, later days, then the early days once more, complete."""
+    readings = table_fleet(spark, sf_dir).table
+    counts = daily.DailyCounts(spark, session.scratch_path(spark, "daily-counts"))
+    early = F.col("timestamp") < F.lit("1998-01-01").cast("timestamp_ntz")
+    counts.update(readings.where(early & (F.crc32(ENV) % 5 != 0)), 0)
+    counts.update(readings.where(~early), 1)
+    counts.update(readings.where(early), 2)
+    return shown(counts.baseline())
+
+
 # --- projection --------------------------------------------------------------------------------
 
 
@@ -916,6 +954,13 @@ def audit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(left.withColumn("lifecycle_status", F.coalesce("lifecycle_status", F.lit("none"))))
 
 
+@query
+def audit_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each environment's events leave it, and which of them its stage did not allow."""
+    found = audit_order.order_summary(adapters.audit(spark, sf_dir))
+    return shown(found.fillna(0, ["first_entry"]).fillna("none", ["first_event"]))
+
+
 @query
 def audit_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(audit.funnel(adapters.audit(spark, sf_dir)).fillna(0.0))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from fleetfit import schemas as S
+from fleetfit import session
 
 
 def _metric(name: str) -> str:
@@ -17,9 +18,10 @@ def merge_histories(histories: dict[str, DataFrame], unique: bool | None = None)
     """Full outer merge on (timestamp, environment).
 
     One aggregation over the union of all histories, which costs one exchange instead of the eight of
-    a chain of outer joins. A key that is repeated in some history keeps its values as lists, and only
-    such rows are multiplied, as the joins would; a null key meets no other row. ``unique=True`` says
-    that no key is repeated.
+    a chain of outer joins, with a part in the map tasks. It counts the copies of each key as well;
+    only keys that are repeated in some history are merged once more, with their values as lists, and
+    multiplied as the joins would. A null key meets no other row. ``unique=True`` says that no key is
+    repeated, and nothing has to be stored to find out.
     """
     return merge_by_union(histories) if unique else merge_with_copies(histories)
 
@@ -38,13 +40,24 @@ def _union(histories: dict[str, DataFrame]) -> tuple[list[str], DataFrame]:
 def merge_with_copies(histories: dict[str, DataFrame]) -> DataFrame:
     metrics, rows = _union(histories)
     keyed = F.col("timestamp").isNotNull() & F.col("environment_id").isNotNull()
+    copies = F.greatest(*[F.count_if(F.col("_of") == m) for m in metrics]).alias("_copies")
+    single = rows.where(keyed).groupBy(*S.KEYS).agg(*[F.max(m).alias(m) for m in metrics], copies)
+    single = session.written(single, "merge")
+    repeated = single.where("_copies > 1").select(*S.KEYS)
+    out = single.where("_copies = 1").drop("_copies").unionByName(rows.where(~keyed).drop("_of"))
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(_with_lists(rows.join(repeated, S.KEYS, "left_semi"), metrics))
+
+
+def _with_lists(rows: DataFrame, metrics: list[str]) -> DataFrame:
     # Lists hold the copies of one key; a key is repeated a few times, not without bound.
     values = [F.collect_list(F.when(F.col("_of") == m, F.struct(F.col(m).alias("v")))).alias(m) for m in metrics]
-    merged = rows.where(keyed).groupBy(*S.KEYS).agg(*values)
+    merged = rows.groupBy(*S.KEYS).agg(*values)
     for m in metrics:
         missing = F.array(F.struct(F.lit(None).cast("double").alias("v")))
         merged = merged.withColumn(m, F.explode(F.when(F.size(m) > 0, F.col(m)).otherwise(missing))).withColumn(m, F.col(f"{m}.v"))
-    return merged.unionByName(rows.where(~keyed).drop("_of"))
+    return merged
 
 
 def merge_by_union(histories: dict[str, DataFrame]) -> DataFrame:

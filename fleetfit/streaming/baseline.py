@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetfit import schemas as S
 from fleetfit.operators.projection import ENV
@@ -13,15 +13,25 @@ LATENESS = "1 hour"
 
 
 def windowed_baseline(
-    readings: DataFrame, length: str = "1 day", slide: str | None = None, lateness: str = LATENESS
+    readings: DataFrame,
+    length: str = "1 day",
+    slide: str | None = None,
+    lateness: str = LATENESS,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Baseline per environment and closed window, with the interpolated P95 of the batch form.
 
     State is one row per window, environment and value of the CPU, with a count and sums; when a
     window closes its values are put together, which is what a percentile needs and no more.
+
+    That grows with the number of different values. With ``accuracy`` the state is one row per window
+    and environment, with a quantile sketch of a size that ``accuracy`` bounds: its P95 is a reading
+    whose rank among ``n`` is at most ``n / accuracy`` away from the wanted one. All else stays exact.
     """
     timed = readings.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     span = F.window("ts", length, slide) if slide else F.window("ts", length)
+    if accuracy is not None:
+        return _shown(_sketched(timed, span, accuracy))
     summed = ["cpu", "memory", "latency", "availability"]
     by_value = timed.groupBy(span, ENV, F.col("cpu").alias("value")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -31,9 +41,8 @@ def windowed_baseline(
         F.count_if(F.col("availability") < S.AVAILABILITY_SLO).alias("violations"),
     )
     mean = lambda c: F.sum(f"sum_{c}") / F.nullif(F.sum(f"n_{c}"), F.lit(0))
-    return (
-        by_value.groupBy("window", ENV)
-        .agg(
+    return _shown(
+        by_value.groupBy("window", ENV).agg(
             F.sum("n").alias("readings"),
             mean("cpu").alias("mean_cpu"),
             F.max("value").alias("peak_cpu"),
@@ -44,11 +53,27 @@ def windowed_baseline(
             mean("availability").alias("measured_availability"),
             F.sum("violations").alias("slo_violations"),
         )
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "*")
-        .drop("window")
     )
 
 
+def _sketched(timed: DataFrame, span: Column, accuracy: int) -> DataFrame:
+    return timed.groupBy(span, ENV).agg(
+        F.count(F.lit(1)).alias("readings"),
+        F.avg("cpu").alias("mean_cpu"),
+        F.max("cpu").alias("peak_cpu"),
+        F.percentile_approx("cpu", F.lit(0.95), F.lit(accuracy)).alias("p95_cpu"),
+        F.avg("memory").alias("mean_memory"),
+        F.max("memory").alias("peak_memory"),
+        F.avg("latency").alias("mean_latency"),
+        F.avg("availability").alias("measured_availability"),
+        F.count_if(F.col("availability") < S.AVAILABILITY_SLO).alias("slo_violations"),
+    )
+
+
+def _shown(windows: DataFrame) -> DataFrame:
+    return windows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "*").drop("window")
+
+
 def run(spark: SparkSession, sf_dir: str, slide: str | None = None) -> DataFrame:
     readings = adapters.readings_of(table_stream(spark, sf_dir, "events"))
     return run_append(windowed_baseline(readings, slide=slide), "stream-baseline")

@@ -16,7 +16,9 @@ from fleetfit.plans.registry import QUERIES
 from fleetfit.sources import adapters
 
 # Queries that write tables or run streams while they are built.
-EAGER = {n for n in QUERIES if n.startswith(("sink_", "stream_"))} | {"port_ranked", "src_telemetry_merge", "src_metric_histories"}
+EAGER = {n for n in QUERIES if n.startswith(("sink_", "stream_"))} | {
+    "port_ranked", "src_telemetry_merge", "src_metric_histories", "src_bucketed_merge", "src_clustered_lookup", "base_incremental"
+}
 LAZY = [n for n in QUERIES if n not in EAGER]
 
 

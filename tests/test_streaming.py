@@ -1,5 +1,7 @@
 """Streams over several micro-batches against their batch forms."""
 
+import bisect
+import random
 import time
 from datetime import timedelta
 
@@ -45,6 +47,62 @@ def test_verdicts_over_micro_batches(spark, events_folder):
     assert want.count() > 0 and got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
+def test_windows_are_closed_and_forgotten(spark, tmp_path):
+    """Late readings inside the delay take their place, later ones do not; closed windows leave the state."""
+    executed = spark.createDataFrame(
+        [("a", 1, START), ("a", 2, START + timedelta(days=3)), ("b", 3, START)], "environment_id string, migration_seq long, migrated_at timestamp_ntz"
+    )
+    schema = "environment_id string, ts timestamp_ntz, reading_id long, cpu double, memory double, latency double, availability double"
+
+    def batch(*rows):
+        return spark.createDataFrame([(e, START + timedelta(hours=h), i, float(cpu), 20.0, 50.0, 100.0) for e, h, i, cpu in rows], schema)
+
+    path = str(tmp_path / "windows")
+    windows = stream_health.OpenWindows(spark, path, executed)
+    feed = [
+        batch(*[("a", h, h, 50) for h in (1, 3, 5, 7, 9, 11)], ("b", 1, 100, 50)),
+        batch(("a", 2, 2, 99), ("a", 20, 20, 50)),  # late, inside the delay
+        batch(("b", 60, 160, 50)),  # the first window of a is left behind
+        batch(("a", 4, 4, 99), ("a", 73, 73, 50)),  # too late for it; the second one begins
+    ]
+    for k, rows in enumerate(feed):
+        windows.add(rows, k)
+    closed = sorted((r.migration_seq, r.reading_id) for r in windows.closed.read(health.CANDIDATES).collect())
+    assert closed == [(1, i) for i in (1, 2, 3, 5, 7)]
+    assert sorted((r.migration_seq, r.reading_id) for r in windows.open().collect()) == [(2, 73), (3, 100), (3, 160)]
+    again = stream_health.OpenWindows(spark, path, executed)  # another process, and a micro-batch that is run again
+    again.add(feed[1], 1)
+    for k in range(4, 20):
+        again.add(batch(("b", 100 + 4 * k, 200 + k, 50)), k)
+    assert sorted(r.migration_seq for r in again.verdicts().collect()) == [1, 2, 3]
+    assert {r.migration_seq for r in again.closed.read(health.CANDIDATES).collect()} == {1, 3}
+    assert again.candidates.read(health.CANDIDATES).count() <= 12 and len(again.candidates.live()) <= 8
+
+
+def test_sketched_baseline(spark, tmp_path):
+    """The sketch's P95 is within its rank error; all else equals the exact form, and the state has a row per window."""
+    random.seed(8)
+    schema = "environment_id string, ts timestamp_ntz, cpu double, memory double, latency double, availability double"
+    folder, values = str(tmp_path / "in"), {}
+    for day in range(3):
+        rows = []
+        for env in ("a", "b"):
+            values[env, day] = sorted(random.paretovariate(1.1) for _ in range(4000))
+            rows += [(env, START + timedelta(days=day, seconds=i), v, 20.0, 50.0, 100.0 - i % 2) for i, v in enumerate(random.sample(values[env, day], 4000))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream_of = lambda: runner.folder_stream(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+    exact = runner.run_append(stream_baseline.windowed_baseline(stream_of()), "exact")
+    for accuracy in (20, 500):
+        found = runner.run_append(stream_baseline.windowed_baseline(stream_of(), accuracy=accuracy), "sketched")
+        assert found.columns == exact.columns and found.count() == 4
+        for got, want in zip(*(sorted(df.collect(), key=lambda r: (r.environment_id, r.window_start)) for df in (found, exact))):
+            day = (got.window_start.replace(tzinfo=None) - START).days
+            ranked = values[got.environment_id, day]
+            assert abs(bisect.bisect_right(ranked, got.p95_cpu) - 0.95 * 4000) <= 4000 / accuracy + 1
+            numbers = [k for k, v in want.asDict().items() if k != "p95_cpu" and isinstance(v, (int, float))]
+            assert [got[k] for k in numbers] == pytest.approx([want[k] for k in numbers]) and len(numbers) == 8
+
+
 def test_closed_windows(spark, events_folder):
     out = runner.run_append(
         stream_baseline.windowed_baseline(adapters.readings_of(stream(spark, events_folder))), "test-baseline"
