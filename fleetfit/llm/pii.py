@@ -4,11 +4,13 @@ Candidate spans come from strict patterns (the base) and looser ones. Labelers o
 patterns and checksums, gazetteers, and words in the context. Expectation-maximisation over the counts of vote patterns
 estimates how often each labeler votes which way on true and on false spans, and with that the probability of each
 pattern. A logistic model trained on those probabilities, which also sees the shape of the span, decides.
-Base spans always stay; spans that the model accepts are added.
+Base spans always stay; spans that the model accepts are added: written-out mail addresses, long addresses of hosts, numbers
+of cards and telephones in other forms, and secrets such as tokens and keys, which have no base pattern at all.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import re
 from collections import Counter
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetfit.llm.common import stored, text_of
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: Probability from which a span that is not in the base is added.
 ACCEPT = 0.9
 CONTEXT_CHARS = 40
@@ -34,10 +37,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
 # Looser candidates.
+_NAME, _LABEL, _DOT = r"\b[a-z0-9][a-z0-9._%+-]{0,63}", "[a-z0-9-]{1,63}", r"(?:\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
 WRITTEN_MAIL = re.compile(
-    r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:\[at\]|\(at\)|\sat\s)\s?[A-Za-z0-9-]{1,63}\s?(?:\[dot\]|\(dot\)|\sdot\s)\s?[A-Za-z]{2,24}\b"
+    rf"{_NAME}(?:\s?(?:\[at\]|\(at\))\s?{_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,4}}(?:{_DOT}|\.)[a-z]{{2,24}}\b"
+    rf"|\sat\s{_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}[a-z]{{2,24}}\b)",
+    re.I,
 )
-SIX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+WRITTEN = re.compile(r"dot|[\[(]at[\])]", re.I)
+SIX = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]{4,39}(?![0-9A-Za-z:])")
+SECRET = re.compile(r"(?<![0-9A-Za-z_+/=-])(?=[A-Za-z_+/=-]{0,255}[0-9])(?=[0-9_+/=-]{0,255}[A-Za-z])[A-Za-z0-9_+/=-]{20,256}(?![0-9A-Za-z_+/=-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,5}(?![0-9])")
 
 # Gazetteers and context words (fixed values).
@@ -49,9 +57,11 @@ CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|kontakt|courriel|correo|schreib)\w*", re.I),
     "ip": re.compile(r"\b(?:ip|server|host|addr\w*|login|client|ping|adresse|servidor)\b", re.I),
     "card": re.compile(r"\b(?:card|visa|credit|debit|karte|kredit\w*|carte|tarjeta|payment|amex|master\w*)\b", re.I),
+    "secret": re.compile(r"(?:token|secret|passw\w*|passwd|pwd|api.?key|key|auth\w*|bearer|credential\w*)\W{0,5}$", re.I),
     "phone": re.compile(r"(?:\b(?:tel|phone|call|fax|mobile|cell|ruf|appel\w*|tél\w*|teléfono|llam\w*|handy)\b)", re.I),
 }
-AGAINST = re.compile(r"\b(?:version|release|section|chapter|isbn|issn|doi|order|invoice|ticket|bestell\w*|v)\b[.:#\s]*$", re.I)
+AGAINST = re.compile(r"\b(?:sha\d*|md5|checksum|digest|commit|hash|version|release|section|chapter|isbn|issn|doi|order|invoice|ticket|bestell\w*|v)\b[.:#\s]*$", re.I)
+GIVEN = re.compile(r"""[\w"'][:=]\s?["']?$|\w\s[:=]\s["']?$""")
 LABELERS = 5
 
 
@@ -120,16 +130,25 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
+def _six(value: str) -> bool:
+    """Whether this is an address of version 6 with two groups at least."""
+    try:
+        return len(re.findall("[0-9A-Fa-f]+", value)) >= 2 and ipaddress.IPv6Address(value) is not None
+    except ValueError:
+        return False
+
+
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Base spans and looser ones that overlap no base span of their kind."""
     more: list[Span] = []
-    if "dot" in text:
+    if WRITTEN.search(text):
         more += [(0, m.start(), m.end()) for m in WRITTEN_MAIL.finditer(text)]
     if ":" in text and DIGIT.search(text):
-        more += [(1, m.start(), m.end()) for m in SIX.finditer(text)]
+        more += [(1, m.start(), m.end()) for m in SIX.finditer(text) if _six(m[0])]
     if DIGIT.search(text):
         more += [(2, a, b) for a, b, right in cards(text) if not right]
         more += [(3, m.start(), m.end()) for m in LOCAL_PHONE.finditer(text)]
+        more += [(4, m.start(), m.end()) for m in SECRET.finditer(text)]
     taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in range(len(KINDS))} if more else {}
     return base + [s for s in more if not any(a < s[2] and s[1] < b for a, b in taken[s[0]])]
 
@@ -150,9 +169,15 @@ def votes(text: str, span: Span, is_base: bool) -> tuple[int, ...]:
         own = (1 if 0 < first < 224 else -1, -1 if re.search(r"(?:^|\.)0[0-9]", value) else 0)
     elif name == "card":
         own = (1 if ISSUERS.match(digits) else -1, 1 if luhn(digits) else -1)
+    elif name == "secret":
+        # A secret is spread evenly over its letters; words and runs are not.
+        spread = len(set(value.lower())) / min(len(value), 16 if re.fullmatch("[0-9A-Fa-f]+", value) else 32)
+        own = (1 if spread > 0.5 and len(digits) * 8 > len(value) else -1, 1 if len(value) in (24, 32, 36, 40, 44, 48, 64) else 0)
     else:
         own = (1 if 10 <= len(digits) <= 13 else -1, (1 if COUNTRIES.match(digits) else -1) if value[0] == "+" or digits[:2] == "00" else 0)
-    return (1 if is_base else 0, *own, context, against)
+    # There is no base pattern for secrets: the first labeler asks whether the span is given to a name.
+    given = int(is_base) if name != "secret" else 1 if GIVEN.search(before) else -1
+    return (given, *own, context, against)
 
 
 def shape(text: str, span: Span) -> tuple[int, int]:
@@ -236,7 +261,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stored(rows.mapInArrow(scanned, f"id {kind}, found {span}"), "pii-candidates")
     patterns = found.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").count()
     counts: dict[int, Counter] = {k: Counter() for k in range(len(KINDS))}
-    for r in patterns.collect():  # at most 2 * 4 * 3**5 * 4 * 2 rows
+    for r in patterns.collect():  # at most 2 * 5 * 3**5 * 4 * 2 rows
         _, kind_no, *rest = map(int, r["pattern"].split(","))
         counts[kind_no][tuple(rest)] += r["count"]
     accepted = [

@@ -67,7 +67,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(documents(spark, sf_dir, "text"))
     return found.select(
         "doc_id",
-        *[pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        *[pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS],
         F.sha2(pii.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.as_text(F.col("spans")).alias("spans"),
     )

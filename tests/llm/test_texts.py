@@ -323,6 +323,41 @@ def test_personal_data(spark, documents):
     assert pii.personal_data(documents(rows).limit(0)).count() == 0
 
 
+def test_added_spans(documents):
+    """Accepted spans outside the base with their exact ends, and candidates that stay out."""
+    random.seed(12)
+    secret = lambda: "".join(random.choice("0123456789abcdef") for _ in range(40))
+    rows, want = [], {}
+
+    def add(text, kind=None, value=None):
+        rows.append((len(rows), text))
+        want[len(rows) - 1] = {f"{kind}:{text.index(value)}:{text.index(value) + len(value)}"} if kind else set()
+
+    for i in range(60):
+        value = secret()
+        add(f'some é text token = "{value}" and more', "secret", value)
+        mail = random.choice(["anna{0} at mail dot example dot com", "B{0}.c [AT] gmx [DOT] de", "x{0} (at) proton.example.org", "d{0}[at]mail[dot]com"]).format(i)
+        add(f"please write to {mail} or call", "email", mail)
+        add(f"order 12345678901{i:05d} of that day")
+        add(f"commit {secret()} is the last one")
+        add(f"the words a-long-word-with-hyphens{i} and nothing else")
+    for i in range(30):
+        add(f"server 2001:db8::{i:x}:1 is up", "ip", f"2001:db8::{i:x}:1")
+        add(f"ping 10.0.0.{i} now")
+        add(f"mail z{i}@mail.example.com")
+    found = {r.doc_id: (set(filter(None, r.b.split(","))), set(filter(None, r.s.split(",")))) for r in
+             pii.personal_data(documents(rows)).select("doc_id", pii.as_text("base").alias("b"), pii.as_text("spans").alias("s")).collect()}
+    added = {i: s - b for i, (b, s) in found.items()}
+    assert added == want and sum(map(len, added.values())) == 150
+
+
+def test_scanning_for_candidates_takes_linear_time():
+    for part in ("a at ", "a1-", "a dot ", "1:", "Z9", "(at)a.", "0 0", "a1=_", "x[at]y[dot]"):
+        started = time.process_time()
+        pii.candidates(part * 100_000, [])
+        assert time.process_time() - started < 20
+
+
 # --- the pipeline --------------------------------------------------------------------------------
 
 
