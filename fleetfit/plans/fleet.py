@@ -110,6 +110,11 @@ class Fleet:
         decided = whatif.decide(whatif.keep_all_moves(requests, result), texts=True)
         return whatif.name_unknown_types(decided, self.catalog)
 
+    def named(self, environments: list[str]) -> Fleet:
+        """The fleet of a few environments: their filter reaches the scans of telemetry and registry."""
+        own = F.col(ENV).isin(environments)
+        return replace(self, raw=self.raw.where(own), environments=self.environments.where(own))
+
     def baseline(self, families: list[str] | None = None) -> DataFrame:
         return baseline.baseline(self.passes, families, self.large)
 

@@ -533,14 +533,11 @@ def whatif_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whatif_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The experiment report: scenario environments with averages beside their baseline."""
     fleet = table_fleet(spark, sf_dir)
-    # At most three environments are picked; nothing but their telemetry is simulated.
+    # At most three environments are picked; nothing but their telemetry is read again.
     picked = session.written(scenarios.pick(fleet.environments, scenarios.classify(fleet.passes)), "picked")
-    telemetry = fleet.passes.join(picked.select(ENV), ENV, "left_semi")
-    moved = fleet.environments.join(picked.select(ENV), ENV, "left_semi")
-    result = whatif.what_if(
-        telemetry, moved, fleet.pricing, fleet.catalog, "step_down_or_self", means=True, large=fleet.large
-    )
-    measured = baseline.baseline(telemetry, ["cpu", "memory", "latency", "reliability"], fleet.large)
+    few = fleet.named([r[ENV] for r in picked.select(ENV).distinct().collect()])
+    result = few.what_if("step_down_or_self", means=True)
+    measured = few.baseline(["cpu", "memory", "latency", "reliability"])
     report = scenarios.experiment(picked, whatif.decide(result), measured)
     return shown(
         report,
