@@ -4,8 +4,8 @@ Tokenizer A is a byte-level BPE of the tokenizers library, B a sentencepiece mod
 tokens of both end cut a text into groups; every A token of a group is linked with every B token of it.
 
 1. Documents are encoded once, and their ids stored. Both tokenizers end a token before a single space that follows a visible
-   character, so the stretches between such places are encoded on their own, and once per worker. A document with a stretch
-   that does not come back is encoded whole.
+   character, so the stretches between such places are encoded on their own, many documents' at a time, and kept per worker:
+   of a full cache the half used most often stays. A document with a stretch that does not come back is encoded whole.
 2. Distinct pairs of linked ids are gathered per task and dealt by a hash. There are at most as many as ids of A times ids of
    B. Each part gets a minimal perfect hash function of its pairs, and keeps them in the order of their numbers to verify.
 3. Documents are aligned once more: tasks add up dense vectors of counts indexed by number, which are summed in two steps.
@@ -39,6 +39,7 @@ from fleetfit import session
 from fleetfit.llm.arrays import load, save
 from fleetfit.llm.common import stored
 from fleetfit.llm.perfect_hash import PerfectHash, build
+from fleetfit.llm.substring_dedup import expand
 from fleetfit.llm.wordhash import mix, pack, pack_counts, summed, unpack, unpack_counts
 
 #: A visible character, after which a space begins a new stretch.
@@ -49,6 +50,8 @@ ENDS_VISIBLE = re.compile(f"{VISIBLE}\\Z")
 UNEVEN = re.compile(f"(?<!{VISIBLE}) | \\Z")
 #: Characters of a text that are cut into stretches at once; bytes of stretches that a worker keeps.
 SLICE = 1 << 20
+#: Stretches that are encoded as one text.
+TOGETHER = 256
 CACHE_BYTES = 1 << 27
 #: Rows and bytes of text that are worked on at once, if that is more than one row.
 SLAB_ROWS, SLAB_BYTES = 512, 1 << 22
@@ -94,7 +97,10 @@ def stretches(text: str) -> Iterator[str]:
 
 
 class Encoder:
-    """Both tokenizers in a worker, with the stretches that it met."""
+    """Both tokenizers in a worker, with the stretches that it met, their first space left out.
+
+    Stretches are numbered in the order of ``known``. ``ids`` are those of A and of B of all stretches one after the other,
+    ``start`` and ``size`` where those of a stretch are; ``back`` whether they give it back, ``uses`` in how many slabs it was."""
 
     def __init__(self, files: Tokenizers):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -122,9 +128,30 @@ class Encoder:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self._keep_none()
+
+    def _keep_none(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = [np.zeros(0, ID) for _ in range(2)]
+        self.start, self.size = ([np.zeros(0, np.int64) for _ in range(2)] for _ in range(2))
+        self.back, self.uses = np.zeros(0, bool), np.zeros(0, np.int64)
         self.held = 0
 
+    def _keep_half(self) -> None:
+        """Forget the stretches that were used least; all, if the others are still too many."""
+        kept = np.sort(np.argsort(self.uses, kind="stable")[len(self.uses) // 2 :])
+        names = list(self.known)
+        names = [names[i] for i in kept.tolist()]
+        self.held = sum(map(_cost, names))
+        if self.held > CACHE_BYTES:
+            return self._keep_none()
+        self.known = dict(zip(names, range(len(names))))
+        self.back, self.uses = self.back[kept], self.uses[kept] // 2
+        for k in range(2):
+            size = self.size[k][kept]
+            self.ids[k] = self.ids[k][expand(self.start[k][kept], size)]
+            self.start[k], self.size[k] = np.cumsum(size) - size, size
+
     def _checked(self, whole: str, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
         data, of_a, of_b = whole.encode(), self.bytes_a, self.bytes_b
         if b"".join([of_a[i] for i in a]) != data or b"".join([of_b[i] for i in b]) != data:
@@ -137,48 +164,110 @@ class Encoder:
 
     def learn(self, new: list[str]) -> None:
         """Encode stretches, many at a time as one text: each begins where a token of both begins."""
-        joint = [s for s in new if ENDS_VISIBLE.search(s) and s[1:2] not in ("", " ")]
-        for at in range(0, len(joint), 256):
-            some = joint[at : at + 256]
-            found = self.whole("".join(some)[1:])
-            if found is None:
-                continue
-            ends = np.cumsum([len(s.encode()) for s in some])
-            cuts = []
-            for ids, length in zip(found, (self.length_a, self.length_b)):
-                sums = np.cumsum(length[ids])
-                after = np.searchsorted(sums, ends) + 1
-                if not np.array_equal(sums[after - 1], ends):
-                    break
-                cuts.append([0, *after.tolist()])
-            if len(cuts) == 2:
-                a, b = (ids.tobytes() for ids in found)
-                for s, i, j, k, m in zip(some, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
-                    self.known[s] = a[SIZE * i : SIZE * j], b[SIZE * k : SIZE * m]
+        joint, alone = [], []
         for s in new:
-            if s not in self.known:
-                found = self.whole(s[1:])
-                self.known[s] = found and (found[0].tobytes(), found[1].tobytes())
-        self.held += sum(2 * len(s) + 350 for s in new)
+            (joint if ENDS_VISIBLE.search(s) and s[:1] not in ("", " ") else alone).append(s)
+        names, back, ids, sizes = [], [], ([], []), ([], [])
+        for at in range(0, len(joint), TOGETHER):
+            some = joint[at : at + TOGETHER]
+            found = self.whole(" ".join(some))
+            cuts = []
+            if found is not None:
+                ends = np.cumsum([len(s.encode()) + 1 for s in some])
+                for own, length in zip(found, (self.length_a, self.length_b)):
+                    sums = np.cumsum(length[own])
+                    after = np.searchsorted(sums, ends) + 1
+                    if not np.array_equal(sums[after - 1], ends):
+                        break
+                    cuts.append(np.diff(after, prepend=0))
+            if len(cuts) < 2:
+                alone += some
+                continue
+            names += some
+            back.append(np.ones(len(some), bool))
+            for k in range(2):
+                ids[k].append(found[k])
+                sizes[k].append(cuts[k])
+        for s in alone:
+            found = self.whole(s)
+            names.append(s)
+            back.append(np.array([found is not None]))
+            for k in range(2):
+                ids[k].append(found[k] if found else np.zeros(0, ID))
+                sizes[k].append([len(ids[k][-1])])
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names))))
+        self.back = np.concatenate([self.back, *back])
+        self.uses = np.concatenate([self.uses, np.zeros(len(names), np.int64)])
+        for k in range(2):
+            self.ids[k] = np.concatenate([self.ids[k], *ids[k]])
+            self.size[k] = np.concatenate([self.size[k], *sizes[k]]).astype(np.int64)
+            self.start[k] = np.cumsum(self.size[k]) - self.size[k]
+        self.held += sum(map(_cost, names))
+
+    def _numbers(self, different: list[str]) -> np.ndarray:
+        """Numbers of different stretches, until others are asked for."""
+        if self.held > CACHE_BYTES:
+            self._keep_half()
+        new = [s for s in different if s not in self.known]
+        if new:
+            self.learn(new)
+        numbers = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
+        self.uses[numbers] += 1
+        return numbers
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """Ids of A and of B as bytes; none for a text without tokens."""
         if not text:
             return b"", b""
-        if self.held > CACHE_BYTES:
-            self.known.clear()
-            self.held = 0
-        parts, found, known = [], stretches(text), self.known
-        while some := list(islice(found, 100_000)):
-            try:
-                parts += [known[s] for s in some]
-            except KeyError:
-                self.learn([s for s in dict.fromkeys(some) if s not in known])
-                parts += [known[s] for s in some]
-        if None in parts:
-            ids = self.whole(text)
-            return (ids[0].tobytes(), ids[1].tobytes()) if ids else (b"", b"")
-        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        parts, found = ([], []), stretches(text)
+        while some := [s[1:] for s in islice(found, 100_000)]:
+            different = dict.fromkeys(some)
+            numbers = dict(zip(different, self._numbers(list(different)).tolist()))
+            own = np.array([numbers[s] for s in some], np.int64)
+            if not self.back[own].all():
+                return self._alone(text)
+            for k in range(2):
+                parts[k].append(self.ids[k][expand(self.start[k][own], self.size[k][own])].tobytes())
+        return b"".join(parts[0]), b"".join(parts[1])
+
+    def _alone(self, text: str) -> tuple[bytes, bytes]:
+        ids = self.whole(text)
+        return (ids[0].tobytes(), ids[1].tobytes()) if ids else (b"", b"")
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """As ``encode``, of the texts of a slab: each of their stretches is looked up once."""
+        out = [(b"", b"")] * len(texts)
+        even, other = [], []
+        for i, text in enumerate(texts):
+            if text and len(text) > SLICE:
+                out[i] = self.encode(text)
+            elif text:
+                (other if UNEVEN.search(text) else even).append(i)
+        if not even and not other:
+            return out
+        cut = pc.split_pattern(pa.array([texts[i] for i in even], pa.large_string()), " ")
+        lists = [[s[1:] for s in stretches(texts[i])] for i in other]
+        rest = pa.array([s for found in lists for s in found], pa.large_string())
+        coded = pa.concat_arrays([cut.flatten(), rest]).dictionary_encode()
+        counts = np.concatenate([pc.list_value_length(cut).to_numpy(zero_copy_only=False), [len(x) for x in lists]]).astype(np.int64)
+        numbers = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        first = np.cumsum(counts) - counts
+        back = np.logical_and.reduceat(self.back[numbers], first)
+        data, ends = [], []
+        for k in range(2):
+            size = self.size[k][numbers]
+            data.append(self.ids[k][expand(self.start[k][numbers], size)].tobytes())
+            ends.append((SIZE * np.cumsum(np.add.reduceat(size, first))).tolist())
+        at_a = at_b = 0
+        for i, whole, end_a, end_b in zip([*even, *other], back.tolist(), *ends):
+            out[i] = (data[0][at_a:end_a], data[1][at_b:end_b]) if whole else self._alone(texts[i])
+            at_a, at_b = end_a, end_b
+        return out
+
+
+def _cost(stretch: str) -> int:
+    """Bytes that a worker keeps for a stretch, about."""
+    return 2 * len(stretch) + 220
 
 
 def _byte_letters() -> list[str]:
@@ -235,13 +324,17 @@ def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], lengths: Lengths) ->
     start_a, start_b = (np.concatenate([[0], e])[:-1] for e in (end_a, end_b))
     n_a, n_b = end_a - start_a, end_b - start_b
     document = np.repeat(np.arange(len(ids_a)), np.diff(np.concatenate([[0], group_ends])))
-    usual = np.flatnonzero(n_a * n_b < LARGE_GROUP)
-    pairs = (n_a * n_b)[usual]
-    nth = np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-    group = np.repeat(usual, pairs)
-    key = a[start_a[group] + nth // n_b[group]] * len(lengths.b) + b[start_b[group] + nth % n_b[group]]
-    times, document_of = np.ones(len(key), np.int64), document[group]
-    for g in np.flatnonzero(n_a * n_b >= LARGE_GROUP):
+    # Most groups are a token of each.
+    pairs = n_a * n_b
+    one = np.flatnonzero(pairs == 1)
+    usual = np.flatnonzero((pairs > 1) & (pairs < LARGE_GROUP))
+    group = np.repeat(usual, pairs[usual])
+    nth, width = expand(np.zeros(len(usual), np.int64), pairs[usual]), n_b[group]
+    row = nth // width
+    many = a[start_a[group] + row] * len(lengths.b) + b[start_b[group] + nth - row * width]
+    key = np.concatenate([a[start_a[one]] * len(lengths.b) + b[start_b[one]], many])
+    times, document_of = np.ones(len(key), np.int64), document[np.concatenate([one, group])]
+    for g in np.flatnonzero(pairs >= LARGE_GROUP):
         x, n = np.unique(a[start_a[g] : end_a[g]], return_counts=True)
         y, m = np.unique(b[start_b[g] : end_b[g]], return_counts=True)
         key = np.concatenate([key, (x[:, None] * len(lengths.b) + y).reshape(-1)])
@@ -250,24 +343,32 @@ def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], lengths: Lengths) ->
     return Links(a, b, tokens_a, tokens_b, end_a, end_b, group_ends, document_of, key.astype(np.uint64), times)
 
 
-def shown_groups(links: Links, table: list[bytes], ids_a: int, ids_b: int) -> list[bytes]:
+def distinct_keys(links: Links) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of links, in any order, and which of them each link has."""
+    coded = pa.array(links.key).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def shown_groups(links: Links, table: np.ndarray, ids_a: int, ids_b: int) -> list[bytes]:
     """Per document the groups as text. ``table`` holds every id of A with ',' and with '|', and of B with ',' and with ';'."""
     start_a, start_b = (np.concatenate([[0], e])[:-1] for e in (links.end_a, links.end_b))
     n_a, n_b = links.end_a - start_a, links.end_b - start_b
-    order = np.empty(len(links.a) + len(links.b), np.int64)
+    shown = np.empty(len(links.a) + len(links.b), table.dtype)
     last_a, last_b = np.zeros(len(links.a), bool), np.zeros(len(links.b), bool)
     last_a[links.end_a - 1], last_b[links.end_b - 1] = True, True
-    order[np.arange(len(links.a)) + np.repeat(start_b, n_a)] = links.a + ids_a * last_a
-    order[np.arange(len(links.b)) + np.repeat(links.end_a, n_b)] = links.b + 2 * ids_a + ids_b * last_b
-    pieces, out, at = order.tolist(), [], 0
+    shown[np.arange(len(links.a)) + np.repeat(start_b, n_a)] = table[links.a + ids_a * last_a]
+    shown[np.arange(len(links.b)) + np.repeat(links.end_a, n_b)] = table[links.b + 2 * ids_a + ids_b * last_b]
+    out, at = [], 0
     for n in (links.tokens_a + links.tokens_b).tolist():
-        out.append(b"".join([table[i] for i in pieces[at : at + n]])[:-1])
+        out.append(shown[at : at + n].tobytes().translate(None, b"\0")[:-1])
         at += n
     return out
 
 
-def shown_ids(ids_a: int, ids_b: int) -> list[bytes]:
-    return [b"%d%c" % (i, end) for n, ends in ((ids_a, b",|"), (ids_b, b",;")) for end in ends for i in range(n)]
+def shown_ids(ids_a: int, ids_b: int) -> np.ndarray:
+    """Ids of up to five digits with what follows them, as eight bytes, zeros behind."""
+    shown = [b"%d%c" % (i, end) for n, ends in ((ids_a, b",|"), (ids_b, b",;")) for end in ends for i in range(n)]
+    return np.array(shown, "S8").view(np.uint64)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -305,7 +406,7 @@ def encoded(rows: DataFrame, shared, kind: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, small = encoder(shared), zstandard.ZstdCompressor(level=1)
         for slab in _slabs(batches, "text"):
-            both = [known.encode(t) for t in slab.column("text").to_pylist()]
+            both = known.encode_all(slab.column("text").to_pylist())
             columns = [pa.array([small.compress(_planes(p[k])) for p in both], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([slab.column("id"), *columns], names=["id", "a", "b"])
 
@@ -386,6 +487,14 @@ def numbers_of(folder: str, part: int, keys: np.ndarray) -> np.ndarray:
     return np.where(by_number[np.maximum(numbers, 0)] == keys.astype(np.uint64), numbers, -1)
 
 
+def slab_counts(links: Links) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, number of documents of the batch that hold each)."""
+    keys, which = distinct_keys(links)
+    small = len(links.tokens_a) * len(keys) <= np.iinfo(np.int32).max
+    held = np.unique((links.document * len(keys) + which).astype(np.int32 if small else np.int64))
+    return keys, np.bincount(held % max(1, len(keys)), minlength=len(keys)).astype(np.uint64)
+
+
 def document_counts(ids: DataFrame, lengths, folder: str, kinds: list[int]) -> dict[int, int]:
     """Numbers of documents that hold each pair, as files in the order of the pairs' numbers; the largest one of each A id."""
     parts = len(kinds)
@@ -405,9 +514,8 @@ def document_counts(ids: DataFrame, lengths, folder: str, kinds: list[int]) -> d
         branch, held, size = TaskContext.get().partitionId() % BRANCHES, [], 0
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for slab in _slabs(batches, "a"):
-            links = _aligned(slab, lengths.value)
-            held.append(np.unique(links.document.astype(np.uint64) << np.uint64(32) | links.key) & np.uint64(0xFFFFFFFF))
-            size += len(held[-1])
+            held.append(slab_counts(_aligned(slab, lengths.value)))
+            size += len(held[-1][0])
             if size >= HELD:
                 keys, counts = added(keys, counts, held)
                 held, size = [], 0
@@ -416,9 +524,8 @@ def document_counts(ids: DataFrame, lengths, folder: str, kinds: list[int]) -> d
                     keys, counts = keys[:0], counts[:0]
         yield from vectors(*added(keys, counts, held), branch)
 
-    def added(keys: np.ndarray, counts: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own, n = np.unique(np.concatenate([keys[:0], *held]), return_counts=True)
-        return summed(np.concatenate([keys, own]), np.concatenate([counts, n.astype(np.uint64)]))
+    def added(keys: np.ndarray, counts: np.ndarray, held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return summed(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([counts, *(h[1] for h in held)]))
 
     def add(table: pa.Table) -> np.ndarray:
         total = np.zeros(kinds[table["part"][0].as_py()], np.uint64)
@@ -479,9 +586,10 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
         most[list(best.value)] = list(best.value.values())
         for slab in _slabs(batches, "a"):
             links = _aligned(slab, lengths.value)
-            distinct = np.unique(links.key)
-            counts = look_up(distinct)[np.searchsorted(distinct, links.key)]
-            is_best = counts == most[(links.key // np.uint64(ids_b)).astype(np.int64)]
+            keys, which = distinct_keys(links)
+            counts = look_up(keys)
+            is_best = (counts == most[(keys // np.uint64(ids_b)).astype(np.int64)])[which]
+            counts = counts[which]
             sums = np.zeros((3, slab.num_rows), np.int64)
             for row, values in zip(sums, (links.times, links.times * is_best, links.times * counts)):
                 np.add.at(row, links.document, values)

@@ -123,6 +123,34 @@ def test_small_caches_and_slices(libraries, monkeypatch):
     assert cleared and known.encode(None) == known.encode("") == (b"", b"")
 
 
+def test_documents_of_a_slab_are_encoded_together(libraries, monkeypatch):
+    """Stretches of all documents of a slab are looked up once and encoded as few texts; uneven and long texts among them."""
+    known, calls = token_alignment.Encoder(token_alignment.read_tokenizers(*PATHS)), []
+    whole = known.whole
+    monkeypatch.setattr(known, "whole", lambda text: calls.append(text) or whole(text))
+    texts = [f"word{i % 50} of document {i}, and others." for i in range(400)]
+    found = known.encode_all(texts)
+    assert len(calls) <= 1 + len(known.known) // token_alignment.TOGETHER
+    monkeypatch.setattr(token_alignment, "SLICE", 200)
+    texts += [None, "", "two  spaces ", "plain words only " * 30, *odd_texts(300)]
+    found += known.encode_all(texts[400:])
+    for text, ids in zip(texts, found):
+        a, b = (libraries[0].encode(" " + text, add_special_tokens=False).ids, libraries[1].encode(text)) if text else ([], [])
+        if not next(brute([(0, text)], libraries))[-1]:
+            a, b = [], []
+        assert [np.frombuffer(f, token_alignment.ID).tolist() for f in ids] == [a, b]
+
+
+def test_full_cache_keeps_common_stretches(monkeypatch):
+    monkeypatch.setattr(token_alignment, "CACHE_BYTES", 30_000)
+    known = token_alignment.Encoder(token_alignment.read_tokenizers(*PATHS))
+    common = [f"common{i}" for i in range(20)]
+    for n in range(60):
+        known.encode_all([" ".join([*common, *(f"rare{n}x{i}" for i in range(20))])])
+        assert n < 2 or set(common) <= set(known.known)
+    assert len(known.known) < 200
+
+
 def test_large_groups(monkeypatch):
     """Groups whose different ids are paired have the links of all their tokens."""
     lengths = token_alignment.Lengths(np.array([1, 3, 5]), np.array([2, 7]))
