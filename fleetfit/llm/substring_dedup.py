@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetfit.llm.common import stored, text_of
 from fleetfit.llm.fm_index import FMIndex
-from fleetfit.llm.wordhash import located, mix, pack, pack_counts, unpack, unpack_counts
+from fleetfit.llm.wordhash import located, located_hashes, mix, pack, pack_counts, unpack, unpack_counts
 
 WORDS = 13
 #: Words of an anchor, and the most windows of a segment.
@@ -327,10 +327,10 @@ class Shard:
     """The different segments of a shard, and the places where they stand."""
 
     def __init__(self, table: pa.Table, words: int):
-        hashes, windows, hot, of, ids, rows, place, at = [], [], [], [], [], [], [], 0
+        windows, hot, of, ids, rows, place, at = [], [], [], [], [], [], 0
         columns, large = [table[f.split()[0]].to_pylist() for f in SENT.split(", ")[1:]], zstandard.ZstdDecompressor()
-        for sent, n, h, times, i, r, texts, p in zip(*columns):
-            hashes.append(located(large.decompress(sent))[2])
+        hashes = located_hashes(map(large.decompress, columns[0]))
+        for n, h, times, i, r, texts, p in zip(*columns[1:]):
             windows.append(unpack_counts(n).astype(np.int64))
             hot.append(unpack_counts(h).astype(bool))
             of.append(np.repeat(np.arange(len(windows[-1])) + at, unpack_counts(times).astype(np.int64)))
@@ -339,7 +339,7 @@ class Shard:
             rows.append(unpack_counts(r).view(np.int64)[texts])
             place.append(unpack_counts(p).astype(np.int64))
             at += len(windows[-1])
-        hashes, windows, hot = map(np.concatenate, (hashes, windows, hot))
+        windows, hot = map(np.concatenate, (windows, hot))
         self.of, self.ids, self.rows, self.place = map(np.concatenate, (of, ids, rows, place))
         size = windows + words - 1
         start = np.cumsum(size) - size

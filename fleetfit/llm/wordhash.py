@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -45,59 +45,66 @@ def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-#: Words located by ``located`` are hashed by two polynomials modulo this prime, at two points drawn once (any would do).
-PRIME = (1 << 31) - 1
-POINTS = 1_204_737_163, 715_827_889
-_fold31 = np.uint64(PRIME), np.uint64(31)
-_points: dict[int, np.ndarray] = {}
-
-
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """Below 2 ** 33 what is below 2 ** 62, unchanged modulo the prime."""
-    return (x & _fold31[0]) + (x >> _fold31[1])
-
-
-def _powers(point: int, n: int) -> np.ndarray:
-    known = _points.get(point)
-    if known is None or len(known) < n:
-        known = np.ones(1, np.uint64)
-        while len(known) < n:
-            known = np.concatenate([known, _reduced(_reduced(known * np.uint64(pow(point, len(known), PRIME))))])
-        known = _points[point] = known % _fold31[0]
-    return known[:n]
-
-
-_LETTERS = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(p)) % np.uint64(PRIME - 1) + np.uint64(1) for p in POINTS]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Words located by ``located`` are hashed eight bytes at a time, longer ones than this on their own.
+LONG = 64
+#: Joins the hash of a word's bytes so far with the next eight (an odd number; any would do).
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _hashed(part: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of every word; ``part`` ends with eight bytes that are in none. Words of up to eight bytes and one size never meet."""
+    eights = np.ndarray(len(part) - 7, "<u8", part, strides=(1,))
+    out = mix(mix(size.astype(np.uint64) ^ np.uint64(KEY)) + (eights[first] & _FIRST[np.minimum(size, 8)]))
+    going = np.flatnonzero((size > 8) & (size <= LONG))
+    for at in range(8, LONG, 8):
+        going = going[size[going] > at]
+        if not len(going):
+            break
+        more = eights[first[going] + at] & _FIRST[np.minimum(size[going] - at, 8)]
+        out[going] = mix(out[going] * _STEP + more)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxh3_64_intdigest(part[first[i] : first[i] + size[i]].data, KEY)
+    return out
 
 
 def located(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, end, hash) of every word, letters as they are; worked on about a megabyte at a time.
 
-    For texts whose words are needed as places: no object is made for a word."""
+    For texts whose words are needed as places: no object is made for a word, unless it is a long one."""
     starts, ends, hashes, at = [], [], [], 0
     while at < len(data):
         space = _SPACE.search(data, at + GROUP_BYTES) if len(data) - at > GROUP_BYTES else None
-        part = np.frombuffer(data, np.uint8, (space.start() if space else len(data)) - at, at)
-        inside = np.zeros(len(part) + 2, bool)
-        np.logical_not(_IS_SPACE[part], out=inside[1:-1])
+        size = (space.start() if space else len(data)) - at
+        part = np.zeros(size + 8, np.uint8)
+        part[:-8] = np.frombuffer(data, np.uint8, size, at)
+        inside = np.zeros(size + 2, bool)
+        np.logical_not(_IS_SPACE[part[:-8]], out=inside[1:-1])
         turns = np.flatnonzero(inside[1:] != inside[:-1])
         first, end = turns[::2], turns[1::2]
-        values = []
-        for letters, point in zip(_LETTERS, POINTS):
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_reduced(letters[part] * _powers(point, len(part))), out=sums[1:])
-            back = _powers(pow(point, -1, PRIME), len(part) + 1)[first]
-            values.append(_reduced(_reduced(_reduced(_reduced(sums[end] - sums[first]) * back))) % _fold31[0])
-        hashes.append(mix(values[0] << np.uint64(31) | values[1]) ^ mix((end - first).astype(np.uint64)))
+        hashes.append(_hashed(part, first, end - first))
         starts.append(first + at)
         ends.append(end + at)
-        at += len(part)
+        at += size
     empty = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) if x else e for x, e in ((starts, empty), (ends, empty), (hashes, empty.astype(np.uint64))))
 
 
+def located_hashes(texts: Iterable[bytes]) -> np.ndarray:
+    """Hashes as by ``located`` of the words of all texts, which may be many with few words: about a megabyte at a time."""
+    parts, held, size = [], [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text) + 1
+        if size >= GROUP_BYTES:
+            parts.append(located(b" ".join(held))[2])
+            held, size = [], 0
+    return np.concatenate([*parts, located(b" ".join(held))[2]])
+
+
 def grouped(texts: list[str | None], fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For stretches of texts of about a megabyte (or one longer text): (first, end, words per text, hashes)."""
     first = 0

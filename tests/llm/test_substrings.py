@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from text_fixtures import documents  # noqa: F401
-from fleetfit.llm import fm_index, substring_dedup
+from fleetfit.llm import fm_index, substring_dedup, wordhash
 
 
 def brute(rows, words):
@@ -77,6 +78,20 @@ def test_nothing_to_do(documents):
     same(substring_dedup.without_repeats(documents(rows)), rows, 13)
 
 
+def test_words_of_a_shard_are_hashed_together(monkeypatch):
+    """A shard gets as many texts as there were batches, each of few words: they are not hashed one by one."""
+    random.seed(3)
+    calls, one = [], wordhash.located
+    texts = [(" ".join([prose(20)] * (1 + i % 3))).encode() for i in range(50)]
+    made = substring_dedup.batches_of([pa.RecordBatch.from_pydict({"id": [i], "row": [i], "text": [t.decode()]}) for i, t in enumerate(texts)], 13, 1)
+    places = substring_dedup.Places((bytes(1 << 24), bytes(1 << 24)))
+    sent = pa.Table.from_batches([substring_dedup.send(batch, places, 13, 1) for batch in made])
+    assert sent.num_rows == 50
+    for module in (wordhash, substring_dedup):
+        monkeypatch.setattr(module, "located", lambda data: calls.append(data) or one(data))
+    assert len(substring_dedup.Shard(sent, 13).windows) and len(calls) == 1
+
+
 def test_segments(monkeypatch):
     """Every window is in one segment, whose windows share the least hash of four words; long segments are cut."""
     monkeypatch.setattr(substring_dedup, "MOST_WINDOWS", 5)

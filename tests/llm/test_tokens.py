@@ -135,6 +135,22 @@ def test_located_words(monkeypatch, piece):
     assert len(set(seen.values())) == len(seen) and [len(x) for x in wordhash.located(b"")] == [0, 0, 0]
 
 
+def test_located_words_of_several_eights(monkeypatch):
+    """Words around the sizes that are hashed in another way, equal but for one byte or the order of their eights."""
+    random.seed(7)
+    eights = [bytes(random.choices(b"ab\x00\xff", k=8)) for _ in range(4)]
+    words = {b"".join(random.choices(eights, k=random.randrange(1, 11)))[: random.randrange(1, 80)] for _ in range(3000)}
+    words |= {bytes([b]) * n for b in b"\x00a" for n in range(1, 2 * wordhash.LONG)}
+    words = sorted(words)
+    calls, one = [], wordhash._hashed
+    monkeypatch.setattr(wordhash, "_hashed", lambda *a: calls.append(a) or one(*a))
+    hashes = wordhash.located_hashes(words)
+    assert len(calls) == 1 and len(set(hashes.tolist())) == len(words)
+    assert hashes.tolist() == [int(wordhash.located(w)[2][0]) for w in words]
+    monkeypatch.setattr(wordhash, "GROUP_BYTES", 50)
+    assert wordhash.located_hashes(words).tolist() == hashes.tolist() and len(wordhash.located_hashes([])) == 0
+
+
 def test_language_model(documents):
     random.seed(5)
     vocabulary = [f"w{int(random.paretovariate(0.8))}" for _ in range(400)]
