@@ -51,19 +51,21 @@ class WaveletTree:
             now, start = after, following
 
     def rank(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """How often each symbol occurs before its place. ``symbols`` fall, so those with longer codes come first."""
+        """How often each symbol occurs before its place, or its places, one row of them after the other.
+
+        ``symbols`` fall, so those with longer codes come first."""
         out = places.copy()
-        going = len(symbols)
+        going, rising = len(symbols), -symbols
         for words, sums, bit_of, start, ones, active in self.levels:
-            going = int(np.searchsorted(-symbols[:going], -active, side="right"))
+            going = int(np.searchsorted(rising[:going], -active, side="right"))
             if not going:
                 break
-            own = symbols[:going]
-            at = start[own] + out[:going]
+            own, now = symbols[:going], out[..., :going]
+            at = start[own] + now
             word = at >> 6
             mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
             inside = sums[word] + np.bitwise_count(words[word] & mask) - ones[own]
-            out[:going] = np.where(bit_of[own], inside, out[:going] - inside)
+            np.copyto(now, np.where(bit_of[own], inside, now - inside))
         return out
 
 
@@ -71,11 +73,11 @@ def suffixes(sequence: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes, sorted by their first ``depth`` symbols or more; a suffix that ends is the smaller one."""
     n, known = len(sequence), 1
     rank = sequence.astype(np.uint64) + np.uint64(1)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while known < depth:
         key = rank << np.uint64(32)
         key[: max(0, n - known)] |= rank[known:]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         steps = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if n else np.zeros(0, bool)
         rank = np.empty(n, np.uint64)
@@ -98,8 +100,8 @@ class FMIndex:
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of the patterns that have each symbol in front; ``symbols`` fall."""
-        first = self.before[symbols]
-        return first + self.tree.rank(symbols, low), first + self.tree.rank(symbols, high)
+        low, high = self.before[symbols] + self.tree.rank(symbols, np.stack([low, high]))
+        return low, high
 
     def matching(self, sequence: np.ndarray, ends: np.ndarray, length: int, alone) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics by backward search, for the ``length`` symbols of ``sequence`` up to each of ``ends``.
@@ -108,12 +110,14 @@ class FMIndex:
         matched = np.zeros(len(ends), np.int64)
         low_of, high_of = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
         going = np.arange(len(ends))
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.order), np.int64)
         for step in range(length):
             symbols = sequence[ends[going] - step]
-            order = np.argsort(-symbols, kind="stable")
-            going, symbols = going[order], symbols[order]
-            low, high = self.extend(symbols, low[order], high[order])
+            if step:
+                order = np.argsort(-symbols)
+                going, symbols = going[order], symbols[order]
+                low, high = self.extend(symbols, low[order], high[order])
+            else:  # from the range of all
+                low, high = self.before[symbols], self.before[symbols + 1]
             held = high > low
             going, low, high = going[held], low[held], high[held]
             matched[going], low_of[going], high_of[going] = step + 1, low, high

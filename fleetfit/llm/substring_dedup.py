@@ -345,7 +345,7 @@ class Shard:
         start = np.cumsum(size) - size
         self.short, runs = run_hashes(hashes, words)
         digest = digests(runs, start, windows)
-        order = np.argsort(digest, kind="stable")
+        order = np.argsort(digest)
         first = starts_of(digest[order])
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(np.bincount(first, minlength=len(order))) - 1

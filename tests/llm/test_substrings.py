@@ -147,6 +147,20 @@ def test_index(n, kinds):
             assert all(tuple(sequence[s : s + length].tolist()) == pattern for s in index.order[a:b])
 
 
+def test_rank_of_both_ends(monkeypatch):
+    """Both ends of all ranges are ranked in one go, and none for the first symbol."""
+    random.seed(9)
+    sequence = np.array(sorted(random.choices(range(9), [2.0**-k for k in range(9)], k=500), key=lambda x: random.random()) + list(range(9)))
+    sequence = np.argsort(np.argsort(-np.bincount(sequence), kind="stable"))[sequence]
+    tree = fm_index.WaveletTree(sequence)
+    symbols, places = np.sort(sequence)[::-1], np.random.default_rng(0).integers(0, len(sequence) + 1, (2, len(sequence)))
+    assert tree.rank(symbols, places).tolist() == [tree.rank(symbols, p).tolist() for p in places]
+    index, calls, one = fm_index.FMIndex(sequence, 4), [], fm_index.WaveletTree.rank
+    monkeypatch.setattr(fm_index.WaveletTree, "rank", lambda *a: calls.append(a) or one(*a))
+    index.matching(sequence, np.arange(3, len(sequence)), 4, lambda a, b: np.zeros(len(a), bool))
+    assert len(calls) == 3
+
+
 def test_matching_statistics_of_another_text():
     """What matches of a text that is not in the index, up to the first symbol that does not."""
     sequence = np.array([1, 2, 1, 2, 1, 3, 0], np.int64)
