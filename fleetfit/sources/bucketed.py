@@ -35,7 +35,7 @@ class BucketedHistories:
             self._save(rows.select(*S.KEYS, S.HISTORIES[name]), name)
         new = reduce(DataFrame.union, [h.select(*S.KEYS) for h in histories.values()]).where(_keyed()).distinct()
         if self.spark.catalog.tableExists(self._table(SPINE)):
-            new = new.join(self.spark.table(self._table(SPINE)), S.KEYS, "left_anti")
+            new = new.join(self.spark.table(self._table(SPINE)).hint("merge"), S.KEYS, "left_anti")
         self._save(new, SPINE)
 
     def history(self, name: str) -> DataFrame:
@@ -45,12 +45,13 @@ class BucketedHistories:
         """Full outer merge of the histories on (timestamp, environment), as ``merge.merge_histories`` gives it.
 
         A key that is repeated in some histories is multiplied as joins do; a null key meets no other row. A left join
-        keeps the buckets of its left side, which a full outer join would not.
+        keeps the buckets of its left side, which a full outer join would not. Sorted buckets take few bytes a row on
+        disk, so millions of rows look small enough for a broadcast, which the driver could not hold: hence the hints.
         """
         parts = {name: self.history(name) for name in S.HISTORIES}
         joined = self.spark.table(self._table(SPINE))
         for name, rows in parts.items():
-            joined = joined.join(rows.where(_keyed()), S.KEYS, "left")
+            joined = joined.join(rows.where(_keyed()).hint("merge"), S.KEYS, "left")
         metrics = [S.HISTORIES[n] for n in parts]
         single = [
             rows.where(~_keyed()).select(*S.KEYS, *[F.col(m) if m == S.HISTORIES[n] else F.lit(None).cast("double").alias(m) for m in metrics])

@@ -51,6 +51,19 @@ def test_bucketed_merge_shuffles_nothing(spark, store):
     assert text.count("SortMergeJoin") == 5 and "Exchange" not in text
 
 
+def test_bucketed_merge_broadcasts_nothing(spark, store, monkeypatch):
+    """However few bytes the stored tables have: a row of theirs takes many times as much in the driver."""
+    saved = []
+    save = BucketedHistories._save
+    monkeypatch.setattr(BucketedHistories, "_save", lambda self, rows, history: (saved.append(rows), save(self, rows, history)))
+    store.append(histories(spark))
+    store.append({n: h.withColumn("environment_id", F.lit("new")) for n, h in histories(spark).items()})
+    keys = saved[-1]._jdf.queryExecution().executedPlan().toString()
+    text = store.merged()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in keys and "Broadcast" not in keys
+    assert text.count("SortMergeJoin") == 5 and "Broadcast" not in text and "Exchange" not in text
+
+
 def test_only_repeated_keys_are_merged_as_lists(spark):
     usual = merge.merge_histories(histories(spark))._jdf.queryExecution().executedPlan().toString()
     repeated = merge.merge_histories(histories(spark, repeat=True))._jdf.queryExecution().executedPlan().toString()
