@@ -114,6 +114,45 @@ def test_closed_windows(spark, events_folder):
     assert out.select("window_start", "environment_id").distinct().count() == out.count()
 
 
+@pytest.mark.parametrize(("length", "slide"), [("1 day", "1 hour"), ("5 hours", "2 hours")])
+def test_sliding_windows_of_panes(spark, tmp_path, length, slide):
+    """Late readings, null ids, times and values, over several micro-batches: as with a state row per window."""
+    random.seed(4)
+    schema = "environment_id string, ts timestamp_ntz, cpu double, memory double, latency double, availability double"
+    folder = str(tmp_path / "in")
+    for k in range(6):
+        rows = [
+            (e, START + timedelta(hours=20 * k + random.uniform(-30, 20)), random.choice([None, 1.0, 2.0, 5.0]), random.choice([None, 3.0]), 50.0 + k, 99.0 + i % 2)
+            for e in ("a", "b", "", None) for i in range(12)
+        ]
+        spark.createDataFrame([*rows, ("a", None, 9.0, 9.0, 9.0, 9.0)], schema).coalesce(1).write.mode("append").parquet(folder)
+    readings = lambda: runner.folder_stream(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+    want = runner.run_append(stream_baseline.windowed_baseline(readings(), length, slide), "by-window")
+    path = str(tmp_path / "windows")
+    got = stream_baseline.sliding_baseline(readings(), length, slide, path=path)
+    assert got.dtypes == want.dtypes
+    by = lambda r: (str(r.window_start), str(r.environment_id))
+    found, wanted = (sorted(df.collect(), key=by) for df in (got, want))
+    assert len(found) == len(wanted) > 100
+    for x, y in zip(found, wanted):
+        assert list(x)[:3] == list(y)[:3] and list(x)[3:] == pytest.approx(list(y)[3:])
+    again = stream_baseline.SlidingWindows(spark, path, readings().schema, length, slide)
+    again.add(spark.read.parquet(folder), 3)  # a micro-batch that is run again
+    again.finish()
+    assert again.baselines().count() == len(found)
+
+
+def test_sliding_state_has_a_reading_once(spark, tmp_path):
+    """A row per pane is kept and one per run of equal windows is written, not 24 of each."""
+    schema = "environment_id string, ts timestamp_ntz, cpu double, memory double, latency double, availability double"
+    rows = [("a", START + timedelta(days=5 * i), float(i), 20.0, 50.0, 100.0) for i in range(4)]
+    windows = stream_baseline.SlidingWindows(spark, str(tmp_path / "w"), spark.createDataFrame([], schema).schema, "1 day", "1 hour")
+    windows.add(spark.createDataFrame(rows, schema), 0)
+    windows.finish()
+    assert windows.panes.read().count() == 4 and windows.closed.read().count() <= 2 * 3
+    assert windows.baselines().count() == 24 * 3
+
+
 def test_stream_validation_keeps_the_first_row_of_a_key(spark, registry, tmp_path):
     folder = str(tmp_path / "in")
     rows = telemetry_rows("a", [10.0, None, 500.0, 20.0] + [30.0] * 40)
