@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from text_fixtures import documents  # noqa: F401
+from fleetfit import session
 from fleetfit.llm import components as connected
 from fleetfit.llm import exact_dedup, jaccard_join, syncmers
+from fleetfit.llm.common import stored
 from pyspark.sql import functions as F
 
 ODD = [(900, None), (901, ""), (902, "a b"), (903, "A B"), (904, "a"), (905, " \n"), (906, "x y z q"), (906, "x y z q"), (None, "x y z Q")]
@@ -100,6 +103,29 @@ def test_jaccard_components(documents, monkeypatch, usual, block, rule):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in found) == components(rows, *rule)
 
 
+def test_stored_tables_leave_no_shuffle(spark, documents):
+    """The files of a step's shuffles go when the step is stored, not when the driver collects its garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {name for name in map(str, disk.getAllFiles().mkString("|").split("|")) if name.endswith(".data")}
+    before, setting = shuffles(), spark.conf.get(session.CLEANUP, None)
+    found = stored(documents(near_copies()).groupBy("text").count().join(documents(ODD).hint("merge"), "text"), "test")
+    assert found.count() > 0 and spark.conf.get(session.CLEANUP, None) == setting
+    for _ in range(50):  # they are removed in the background
+        left = shuffles() - before
+        if len(left) <= 1:  # that of the count above may stay
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1
+
+
+def test_late_shingles_make_no_candidates(spark):
+    """Of 100 shingles 89 must be shared: a first common one at place 15 is too late, one at place 5 is not."""
+    rule = jaccard_join.Rule(5, 80, 100)
+    rows = spark.createDataFrame([(1, 100, 7, 15), (2, 100, 7, 3), (3, 100, 8, 11), (4, 100, 8, 5)], "cid long, n int, shingle long, place long")
+    pairs = jaccard_join.candidate_pairs(rows, spark.createDataFrame([], "cid long, hot long"), rule)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(3, 4)]
+
+
 def test_blocks_of_long_documents(spark, documents, monkeypatch):
     """A block is bounded by shingles too, and more blocks give the same links."""
     members = spark.createDataFrame([(1, 7, 1_000_000)] * 40 + [(2, 7, 400)] * 300, "hot long, band int, n int")
